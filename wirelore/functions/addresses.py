@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import c
+
 # Addresses and names that stand for "no address".
 NULL_ADDRESSES = ["0.0.0.0", "::", "", "N/A", "unknown"]
 
@@ -48,13 +50,14 @@ def is_ipv4(col: Column) -> Column:
     return F.coalesce(col.rlike(IPV4_PATTERN), F.lit(False))
 
 
+def _ipv4_hex(col: Column) -> Column:
+    octet = lambda part: F.lpad(F.lower(F.hex(part.try_cast("int"))), 2, "0")
+    return F.when(is_ipv4(col), F.array_join(F.transform(F.split(col, "[.]"), octet), ""))
+
+
 def ipv4_number(col: Column) -> Column:
     """Dotted quad as a BIGINT, NULL for anything else."""
-    parts = F.split(col, "[.]")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + F.try_element_at(parts, F.lit(i + 1)).try_cast("long")
-    return F.when(is_ipv4(col), value)
+    return F.conv(_ipv4_hex(col), 16, 10).cast("long")
 
 
 def _quad(address: str) -> int:
@@ -75,10 +78,6 @@ def is_private(col: Column) -> Column:
     return F.coalesce(inside, F.lit(False)) | F.coalesce(v6, F.lit(False))
 
 
-def _ipv4_hex(col: Column) -> Column:
-    return F.lower(F.lpad(F.hex(ipv4_number(col)), 8, "0"))
-
-
 def _ipv6_hex(col: Column) -> Column:
     halves = F.split(F.lower(col), "::", 2)
     left = F.filter(F.split(halves[0], ":"), lambda g: g != "")
@@ -96,7 +95,7 @@ def _ipv6_hex(col: Column) -> Column:
 
 def address_hex(col: Column) -> Column:
     """Network-order bytes of an address as hex; NULL when it is not an address."""
-    return F.when(is_ipv4(col), _ipv4_hex(col)).when(col.contains(":"), _ipv6_hex(col))
+    return F.when(col.contains(":"), _ipv6_hex(col)).otherwise(_ipv4_hex(col))
 
 
 def protocol_number(transport: Column) -> Column:
@@ -107,13 +106,23 @@ def protocol_number(transport: Column) -> Column:
     return chain.otherwise(name.try_cast("int"))
 
 
-def community_id(src: Column, dst: Column, sport: Column, dport: Column, transport: Column, seed: int = 0) -> Column:
-    """Direction-independent flow id, Community ID version 1 (P7); ``none`` without two addresses."""
-    a, b = address_hex(src), address_hex(dst)
-    proto = protocol_number(transport)
-    sp = F.coalesce(sport.try_cast("int"), F.lit(0))
-    dp = F.coalesce(dport.try_cast("int"), F.lit(0))
-    forward = (a < b) | ((a == b) & (sp <= dp))
+def add_flow_id(
+    df: DataFrame, src: str, dst: str, sport: str, dport: str, transport: str, name: str, seed: int = 0
+) -> DataFrame:
+    """Direction-independent flow id, Community ID version 1 (P7); ``none`` without two addresses.
+
+    The address bytes are a projection of their own, so they are computed once per row.
+    """
+    staged = df.withColumns({
+        "_a": address_hex(c(src)),
+        "_b": address_hex(c(dst)),
+        "_proto": protocol_number(c(transport)),
+        "_sp": F.coalesce(c(sport).try_cast("int"), F.lit(0)),
+        "_dp": F.coalesce(c(dport).try_cast("int"), F.lit(0)),
+    })
+    a, b, proto, sp, dp = (F.col(x) for x in ("_a", "_b", "_proto", "_sp", "_dp"))
+    staged = staged.withColumn("_forward", (a < b) | ((a == b) & (sp <= dp)))
+    forward = F.col("_forward")
     port_hex = lambda p: F.lpad(F.lower(F.hex(p)), 4, "0")
     ports = F.when(forward, F.concat(port_hex(sp), port_hex(dp))).otherwise(F.concat(port_hex(dp), port_hex(sp)))
     body = F.concat(
@@ -123,7 +132,7 @@ def community_id(src: Column, dst: Column, sport: Column, dport: Column, transpo
         F.lit("00"),
         F.when(proto.isin(PORT_PROTOCOLS), ports).otherwise(F.lit("")),
     )
-    usable = a.isNotNull() & b.isNotNull() & (F.length(a) == F.length(b)) & proto.between(0, 255)
-    usable = usable & sp.between(0, 65535) & dp.between(0, 65535)
+    usable = (F.length(a) == F.length(b)) & proto.between(0, 255) & sp.between(0, 65535) & dp.between(0, 65535)
     digest = F.base64(F.unhex(F.sha1(F.unhex(body))))
-    return F.when(usable, F.concat(F.lit("1:"), digest)).otherwise(F.lit(NO_FLOW_ID))
+    flow_id = F.when(usable, F.concat(F.lit("1:"), digest)).otherwise(F.lit(NO_FLOW_ID))
+    return staged.withColumn(name, flow_id).drop("_a", "_b", "_proto", "_sp", "_dp", "_forward")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.addresses import clean_address, clean_port, community_id
+from ..functions.addresses import add_flow_id, clean_address, clean_port
 from ..functions.columns import blank_to_null, c, optional
 from ..functions.layers import protocol_name, transport_name
 from ..schemas import DEEP_PACKET_FIELDS, ECS_SCHEMA, EVENT_SCHEMA, PACKET_FIELDS, SESSION_LOG_FIELDS
@@ -77,6 +77,11 @@ def events_from_packets(raw: DataFrame, source_file: str | None = None) -> DataF
     )
 
 
+def with_ecs_flow_id(df: DataFrame) -> DataFrame:
+    return add_flow_id(df, "source.ip", "destination.ip", "source.port", "destination.port", "network.transport",
+                       "network.community_id")
+
+
 def ecs_from_packets(raw: DataFrame) -> DataFrame:
     """Deep packet-field rows to ECS events with the default values of that shape."""
     raw = with_fields(raw, DEEP_PACKET_FIELDS)
@@ -88,19 +93,15 @@ def ecs_from_packets(raw: DataFrame) -> DataFrame:
     def filled(default: int, *names: str, kind: str = "int") -> Column:
         return F.coalesce(*[number(n, kind) for n in names], F.lit(default).cast(kind))
 
-    src = F.coalesce(c("ip.src"), c("ipv6.src"), F.lit("unknown"))
-    dst = F.coalesce(c("ip.dst"), c("ipv6.dst"), F.lit("unknown"))
-    sport, dport = filled(0, "tcp.srcport", "udp.srcport"), filled(0, "tcp.dstport", "udp.dstport")
-    transport = transport_name(c("tcp.srcport"))
     out = {
         "@timestamp": F.timestamp_micros(F.floor(number("frame.time_epoch", "double") * 1e6).cast("long")),
-        "source.ip": src,
-        "source.port": sport,
-        "destination.ip": dst,
-        "destination.port": dport,
+        "source.ip": F.coalesce(c("ip.src"), c("ipv6.src"), F.lit("unknown")),
+        "source.port": filled(0, "tcp.srcport", "udp.srcport"),
+        "destination.ip": F.coalesce(c("ip.dst"), c("ipv6.dst"), F.lit("unknown")),
+        "destination.port": filled(0, "tcp.dstport", "udp.dstport"),
         "network.ttl": filled(0, "ip.ttl", "ipv6.hlim"),
         "network.protocol": protocol_name(c("_ws.col.Protocol"), c("frame.protocols")),
-        "network.transport": transport,
+        "network.transport": transport_name(c("tcp.srcport")),
         "network.bytes": filled(0, "frame.len", kind="long"),
         "duration": F.lit(0.0),
         "risk_score": F.lit(10),
@@ -129,34 +130,29 @@ def ecs_from_packets(raw: DataFrame) -> DataFrame:
         "ssh.protocol": c("ssh.protocol"),
         "smb.cmd": c("smb.cmd"),
         "ftp.request.command": c("ftp.request.command"),
-        "network.community_id": community_id(src, dst, sport, dport, transport),
         "_ws.col.info": c("_ws.col.info"),
     }
-    return raw.select([col.alias(name) for name, col in out.items()])
+    return with_ecs_flow_id(raw.select([col.alias(name) for name, col in out.items()]))
 
 
 def ecs_from_sessions(log: DataFrame) -> DataFrame:
     """Session-log rows to ECS events; bytes are both directions with NULL as 0."""
     log = with_fields(log, SESSION_LOG_FIELDS)
-    src, dst = c("id.orig_h"), c("id.resp_h")
-    sport, dport = c("id.orig_p").try_cast("int"), c("id.resp_p").try_cast("int")
-    transport = F.lower(F.coalesce(c("proto"), F.lit("tcp")))
 
     def size(name: str) -> Column:
         return F.coalesce(c(name).try_cast("double").cast("long"), F.lit(0).cast("long"))
 
     out = {
         "@timestamp": F.timestamp_micros(F.floor(c("ts").try_cast("double") * 1e6).cast("long")),
-        "source.ip": src,
-        "source.port": sport,
-        "destination.ip": dst,
-        "destination.port": dport,
+        "source.ip": c("id.orig_h"),
+        "source.port": c("id.orig_p").try_cast("int"),
+        "destination.ip": c("id.resp_h"),
+        "destination.port": c("id.resp_p").try_cast("int"),
         "network.protocol": F.upper(c("service")),
-        "network.transport": transport,
+        "network.transport": F.lower(F.coalesce(c("proto"), F.lit("tcp"))),
         "network.bytes": size("orig_bytes") + size("resp_bytes"),
         "duration": c("duration").try_cast("double"),
         "data.source": F.lit("zeek"),
         "risk_score": F.lit(10),
-        "network.community_id": community_id(src, dst, sport, dport, transport),
     }
-    return align(log.select([col.alias(name) for name, col in out.items()]))
+    return align(with_ecs_flow_id(log.select([col.alias(name) for name, col in out.items()])))

@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from . import scalar_queries, summary_queries  # noqa: F401
+from . import detector_queries, ioc_queries, scalar_queries, summary_queries  # noqa: F401
 from .core import REGISTRY  # noqa: F401

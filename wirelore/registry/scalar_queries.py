@@ -68,8 +68,8 @@ _HEX8 = ("lower(lpad(to_hex(cast(split_part({0},'.',1) as bigint) * 16777216 + c
     from o group by all""")
 def flow_ids(spark, sf):
     flows = view(spark, sf, "v_flows").select("si", "sp", "di", "dp", "transport")
-    flow_id = addresses.community_id(*[F.col(x) for x in ("si", "di", "sp", "dp", "transport")])
-    return flows.groupBy(*flows.columns).agg(F.count("*").alias("flows")).withColumn("flow_id", flow_id)
+    distinct = flows.groupBy(*flows.columns).agg(F.count("*").alias("flows"))
+    return addresses.add_flow_id(distinct, "si", "di", "sp", "dp", "transport", "flow_id")
 
 
 @query("priority_risk", ids="P8", views="v_events", sql="""

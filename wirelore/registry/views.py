@@ -167,6 +167,20 @@ VIEWS = {
           concat('u', cast(user_id as {str}), '@d', cast({k} % 20 as {str}), '.example.com') as mailfrom,
           concat('a', cast({k} as {str}), '@corp.org,b', cast(user_id % 9 as {str}), '@corp.org') as rcptto
         from {events} where event_type = 'signup'""",
+    # alerts as tickets on five kinds of indicators
+    "v_cases": """
+        select cast(event_id as {str}) as ticket_id, ts as t0,
+          case {k} % 5 when 0 then 'ip' when 1 then 'domain' when 2 then 'url' when 3 then 'email' else 'user_agent' end as ioc_type,
+          case {k} % 5
+            when 0 then concat('10.0.', cast(user_id {div} 256 as {str}), '.', cast(user_id % 256 as {str}))
+            when 1 then concat('d', cast(user_id % 20 as {str}), '.example.com')
+            when 2 then concat('/p/', cast({k} as {str}), '?')
+            when 3 then case when user_id % 2 = 0 then concat('a', cast({k} as {str}), '@corp.org')
+              else concat('u', cast(user_id as {str}), '@d', cast({k} % 20 as {str}), '.example.com') end
+            else concat('agent/', cast({k} % 6 as {str})) end as ioc_value,
+          case event_id % 3 when 0 then 'Threat' when 1 then 'False Positive' end as outcome,
+          case when event_id % 2 = 0 then 'high' else 'medium' end as severity, 'open' as status, ts as created_at
+        from {events} where event_type = 'error'""",
     # every turn of a conversation as an application log record
     "v_app_log": """
         select conv_id, turn, role as level, text as message,
