@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.layers import table_protocol
 from ..operators import history, ioc, rules, scoring
+from ..session import cut_lineage
 
 
 def window_features(found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,9 +55,10 @@ def ticket_reports(logs: Mapping[str, DataFrame], tickets: DataFrame, hours: int
     """One nested report row per ticket (K9).
 
     ``tickets`` has ticket_id, created_at, status, severity, outcome, ioc_type, ioc_value and t0. A
-    ticket without sightings keeps an empty window.
+    ticket without sightings keeps an empty window. The sightings are written once, because counts,
+    peers and time buckets all read them and they are far smaller than the logs.
     """
-    found = ioc.in_ticket_windows(ioc.sightings(logs, tickets), tickets, hours)
+    found = cut_lineage(ioc.in_ticket_windows(ioc.sightings(logs, tickets), tickets, hours), "sightings")
     features = window_features(found, ["ticket_id"])
     base = history.history_without_self(tickets)
     joined = rules.map_techniques(base.join(features, "ticket_id", "left"))

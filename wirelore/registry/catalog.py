@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from . import detector_queries, enrich_queries, ioc_queries, scalar_queries, summary_queries  # noqa: F401
+from . import correlation_queries, detector_queries, enrich_queries, ioc_queries, scalar_queries, summary_queries  # noqa: F401
 from .core import REGISTRY  # noqa: F401

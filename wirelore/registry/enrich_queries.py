@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich, fusion, rules, ttp
-from ..operators import ioc as ioc_ops
+from ..plans.ticket_reports import window_features
+from ..session import cut_lineage
 from .core import query
-from .ioc_queries import BY_TICKET, FOUND, USED, found_by_indicator, found_by_ticket, _PEERS
+from .ioc_queries import FOUND, USED, _PEERS, found_by_indicator
 from .views import view
 
 
@@ -232,8 +233,6 @@ def techniques_per_tactic(spark, sf):
 
 # --- rules over ticket windows ---------------------------------------------------------------
 
-from ..plans.ticket_reports import window_features  # noqa: E402
-
 _FEATURES = FOUND + ", " + _PEERS.strip() + """,
       sh as (select ioc_value, max(events) / sum(events) as top1_share from r group by all),
       b as (select ioc_value, date_trunc('hour', ts) as h, count(*) as n from found group by all),
@@ -260,7 +259,7 @@ def _register(name, ids, orders, build):
 
     @query(f"rules_{name}", ids=ids, views=USED, sql=sql)
     def run(spark, sf):
-        features = window_features(found_by_indicator(spark, sf), ["ioc_value"])
+        features = window_features(cut_lineage(found_by_indicator(spark, sf), "sightings"), ["ioc_value"])
         hits = features.select("ioc_value", F.explode(F.filter(F.array(*build()), lambda r: r.isNotNull())).alias("r"))
         return hits.select("ioc_value", "r.technique_id", "r.confidence")
 
@@ -287,6 +286,6 @@ def rules_remote_access(spark, sf):
       o as (select *, row_number() over (partition by ioc_value order by confidence desc, ord) as position from u where k = 1)
     select ioc_value, technique_id, confidence, cast(position as int) as position from o where position <= 6""")
 def rules_ranked(spark, sf):
-    features = window_features(found_by_indicator(spark, sf), ["ioc_value"])
+    features = window_features(cut_lineage(found_by_indicator(spark, sf), "sightings"), ["ioc_value"])
     mapped = rules.map_techniques(features).select("ioc_value", F.posexplode("observed_ttps").alias("i", "ttp"))
     return mapped.select("ioc_value", "ttp.technique_id", "ttp.confidence", (F.col("i") + 1).alias("position"))

@@ -112,7 +112,7 @@ VIEWS = {
         from {pages}""",
     # 20.<nation>.x.y networks of four widths
     "v_geo_blocks": """
-        select n_nationkey as geo_id, n_name as country, substring(n_name, 1, 2) as code,
+        select n_nationkey as geo_id, n_name as country, concat('N', cast(n_nationkey as {str})) as code,
           cast(335544320 + n_nationkey * 4096 as bigint) as lo,
           cast(335544320 + n_nationkey * 4096 + case n_nationkey % 4 when 0 then 4095 when 1 then 2047
             when 2 then 1023 else 255 end as bigint) as hi
@@ -181,6 +181,25 @@ VIEWS = {
           case event_id % 3 when 0 then 'Threat' when 1 then 'False Positive' end as outcome,
           case when event_id % 2 = 0 then 'high' else 'medium' end as severity, 'open' as status, ts as created_at
         from {events} where event_type = 'error'""",
+    # packets whose identifying fields are present in different combinations
+    "v_packets": """
+        select event_id, ts, cast(cast(floor({ep_ts}) as bigint) as {str}) as ts_precise,
+          case when event_id % 7 = 0 then cast(event_id as {str}) end as frame_number,
+          case when event_type = 'click' and {k} % 10 = 0 then 'unknown'
+            else concat('10.0.', cast(user_id {div} 256 as {str}), '.', cast(user_id % 256 as {str})) end as si,
+          concat('172.16.0.', cast({k} % 16 as {str})) as di,
+          case when {k} % 4 = 0 then null else cast(1024 + user_id % 9 as {str}) end as sp, cast({k} as {str}) as dp,
+          case event_type when 'purchase' then 'udp' else 'tcp' end as transport, '64' as ttl,
+          case when event_type = 'signup' then cast(event_id % 100 as {str}) end as ip_id,
+          case when event_type = 'signup' then cast(event_id * 17 as {str}) end as tcp_seq,
+          case when event_type = 'purchase' and user_id % 2 = 0 then cast({k} as {str}) end as dns_id,
+          case when event_type = 'purchase' then concat('h', cast({k} as {str}), '.example.com') end as dns_query,
+          case when event_type = 'view' then md5(cast({k} % 9 as {str})) end as ja3,
+          case when event_type = 'view' then case {k} % 3 when 0 then '-' when 1 then 'N/A' else concat('cdn', cast({k} % 5 as {str}), '.tls.net') end end as sni,
+          case when event_type = 'click' then concat('www', cast({k} % 10 as {str}), '.org') end as http_host,
+          case when event_type = 'click' then case {k} % 2 when 0 then 'GET' else 'POST' end end as http_method,
+          case when event_type = 'click' then cast(200 + {k} as {str}) end as http_status, '00:11:22:33:44:55' as eth_src
+        from {events} where event_type <> 'error'""",
     # every turn of a conversation as an application log record
     "v_app_log": """
         select conv_id, turn, role as level, text as message,
