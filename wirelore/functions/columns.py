@@ -23,6 +23,15 @@ def bound(col: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(col), use)[0]
 
 
+def computed(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """Add a column whose expression is evaluated once per row, however often it is used later.
+
+    The optimizer merges projections and would copy a long expression into every use; an outer
+    generator of one element is a step that it keeps and infers no filter from.
+    """
+    return df.select("*", F.explode_outer(F.array(col)).alias(name))
+
+
 def blank_to_null(col: Column) -> Column:
     return F.when(F.trim(col) != "", col)
 

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import c
+from ..functions.columns import c, computed
 from ..functions.text import meaningful
 
 BLOCKS_TYPE = "array<struct<type:string,kv:map<string,string>>>"
@@ -93,7 +93,7 @@ def packet_blocks(df: DataFrame) -> DataFrame:
         if protocol == "ip":
             kind = F.when(row.get("ipv6.flow").isNotNull(), "PROTO:IPV6").otherwise("PROTO:IP")
         layers.append(block(kind, facts))
-    return df.withColumn("blocks", _block_list(meta, flow, *layers))
+    return computed(df, "blocks", _block_list(meta, flow, *layers))
 
 
 def session_blocks(df: DataFrame) -> DataFrame:
@@ -108,13 +108,13 @@ def session_blocks(df: DataFrame) -> DataFrame:
     service = row.get("service")
     protocol = F.when(service.isNotNull(), block(F.concat(F.lit("PROTO:"), F.upper(service)), {
         "service": service, "conn_state": row.get("conn_state"), "orig_pkts": row.get("orig_pkts"), "resp_pkts": row.get("resp_pkts")}))
-    return df.withColumn("blocks", _block_list(meta, flow, protocol))
+    return computed(df, "blocks", _block_list(meta, flow, protocol))
 
 
 def alert_blocks(df: DataFrame) -> DataFrame:
     """IDS alerts: META, FLOW, PROTO:IDS."""
     row = RowFacts(df)
-    return df.withColumn("blocks", _block_list(
+    return computed(df, "blocks", _block_list(
         block("META", {"ts": row.get("@timestamp"), "alert_id": row.get("alert_id")}),
         _ecs_flow(row),
         block("PROTO:IDS", {
@@ -139,7 +139,7 @@ def fused_blocks(df: DataFrame) -> DataFrame:
     alert = row.get("alert_id")
     ids = F.when(alert.isNotNull(), block("PROTO:IDS", {"alert_id": alert, "mitre_attack": row.get("mitre_attack")}))
     meta = block("META", {"ts": row.get("@timestamp"), "community_id": row.get("network.community_id")})
-    return df.withColumn("blocks", _block_list(meta, _ecs_flow(row, bytes=row.get("network.bytes")), proto, ids))
+    return computed(df, "blocks", _block_list(meta, _ecs_flow(row, bytes=row.get("network.bytes")), proto, ids))
 
 
 TRANSFORMS = {"tshark": packet_blocks, "zeek": session_blocks, "snort": alert_blocks, "fused": fused_blocks}

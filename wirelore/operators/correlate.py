@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_rule, time_bucket
+from ..functions.columns import computed, first_rule, time_bucket
 from .blocks import BLOCKS_TYPE, block_text
 
 # Order of blocks in a group; others come after these by name, IDS last.
@@ -18,7 +18,7 @@ CONFIDENCES = ["high", "medium", "low"]
 
 def parse_blocks(text: Column) -> Column:
     """Blocks of a text with ``[TYPE]`` headers and ``key=value`` lines."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     # A header line starts a new part; lines before the first header have no type and are dropped.
     marked = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"^\[.*\]$"), F.concat(F.lit("\u0001"), x)).otherwise(x)), "\n")
     parts = F.filter(F.split(marked, "\u0001"), lambda p: p.startswith("["))
@@ -63,7 +63,8 @@ CORRELATION_FACTS = {
 
 def correlation_facts(df: DataFrame) -> DataFrame:
     """The identifying facts of each row as a struct ``meta``."""
-    return df.withColumn("meta", F.struct(*[_fact(*spec).alias(name) for name, spec in CORRELATION_FACTS.items()]))
+    facts = [_fact(*spec).alias(name) for name, spec in CORRELATION_FACTS.items()]
+    return computed(df, "meta", F.struct(*facts))
 
 
 def correlation_key(meta: Column, bucket_seconds: int = 1, missing_port: str = "None") -> Column:
@@ -100,7 +101,7 @@ def correlation_key(meta: Column, bucket_seconds: int = 1, missing_port: str = "
 
 def with_correlation(df: DataFrame, bucket_seconds: int = 1) -> DataFrame:
     """Rows with corr_key, corr_level, corr_confidence and corr_method; NULL keys are uncorrelated."""
-    staged = correlation_facts(df).withColumn("_c", correlation_key(F.col("meta"), bucket_seconds))
+    staged = computed(correlation_facts(df), "_c", correlation_key(F.col("meta"), bucket_seconds))
     return staged.withColumns({
         "corr_key": F.col("_c.key"), "corr_level": F.col("_c.level"), "corr_confidence": F.col("_c.confidence"),
         "corr_method": F.coalesce("_c.method", F.lit("uncorrelated")),

@@ -142,7 +142,7 @@ def sightings(logs: Mapping[str, DataFrame], indicators: DataFrame) -> DataFrame
     plain = ["log_type", "ts", *LOG_COLUMNS]
 
     def opened(lookups: str) -> DataFrame:
-        return rows.select(*plain, F.explode(lookups).alias("_l")).select(*plain, "_l.*").filter(F.col("value").isNotNull())
+        return rows.select(*plain, F.explode_outer(lookups).alias("_l")).select(*plain, "_l.*").filter(F.col("value").isNotNull())
 
     columns = ["ioc_type", "ioc_value", "matched_field", *plain]
     exact = opened("_exact").withColumnRenamed("value", "ioc_value").join(indicators, ["ioc_type", "ioc_value"]).select(columns)

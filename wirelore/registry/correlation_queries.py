@@ -187,9 +187,9 @@ def correlation_ids(spark, sf):
 _GROUP_SQL = "with" + _KEY_SQL + """,
       v as (select corr_key, corr_level, corr_confidence, type, fact, arg_min(value, (-length(value), ord)) as value
         from k join facts using (ord) where corr_key is not null group by all),
-      b as (select corr_key, corr_level, corr_confidence, type, '[' || type || ']' || chr(10) || string_agg(fact || '=' || value, chr(10) order by fact) as text from v group by all),
+      b as (select corr_key, corr_level, corr_confidence, type, '[' || type || ']' || chr(10) || string_agg(fact || '=' || value, chr(10) order by fact) as text from v group by corr_key, corr_level, corr_confidence, type),
       g as (select corr_level || '_' || substring(md5(corr_key), 1, 8) as corr_id, corr_key, corr_level, corr_confidence, string_agg(text, chr(10) order by
-        case type when 'META' then 1 when 'FLOW' then 2 when 'PROTO:IP' then 3 when 'PROTO:TCP' then 5 when 'PROTO:IDS' then 99 else 50 end, type) as blocks from b group by all)"""
+        case type when 'META' then 1 when 'FLOW' then 2 when 'PROTO:IP' then 3 when 'PROTO:TCP' then 5 when 'PROTO:IDS' then 99 else 50 end, type) as blocks from b group by corr_key, corr_level, corr_confidence)"""
 
 
 def groups(spark, sf):
