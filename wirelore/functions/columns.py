@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +13,9 @@ def c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def optional(df: DataFrame, name: str, dtype: str = "string") -> Column:
-    """The column when ``df`` has it, otherwise a typed NULL."""
-    return c(name) if name in df.columns else F.lit(None).cast(dtype)
+def optional(columns: Collection[str], name: str, dtype: str = "string") -> Column:
+    """The column when it is among ``columns``, otherwise a typed NULL."""
+    return c(name) if name in columns else F.lit(None).cast(dtype)
 
 
 def bound(col: Column, use: Callable[[Column], Column]) -> Column:

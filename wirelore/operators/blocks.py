@@ -5,7 +5,8 @@ A block is ``struct(type, kv)`` with ``kv`` a map of facts; text is only made at
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,22 +48,29 @@ class RowFacts:
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def block(kind: Column | str, facts: Mapping[str, Column]) -> Column:
-    """A block of the facts that have a usable value; NULL when none has."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in facts.items()])
-    kept = F.filter(pairs, lambda p: meaningful(p["value"]))
-    label = F.lit(kind) if isinstance(kind, str) else kind
-    return F.when(F.size(kept) > 0, F.struct(label.alias("type"), F.map_from_entries(kept).alias("kv")))
+def with_blocks(df: DataFrame, parts: Sequence[tuple[Column | str, Mapping[str, Column]]]) -> DataFrame:
+    """Add ``blocks`` from (type, facts) pairs; a block without facts or without a type is left out.
 
-
-def _block_list(*blocks: Column) -> Column:
-    return F.filter(F.array(*blocks), lambda b: b.isNotNull()).cast(BLOCKS_TYPE)
+    The facts are computed in a step of their own, so that the block expressions only refer to them.
+    """
+    fields = []
+    for i, (kind, facts) in enumerate(parts):
+        fields.append((F.lit(kind) if isinstance(kind, str) else kind).alias(f"k{i}"))
+        fields.extend(value.alias(f"f{i}_{j}") for j, value in enumerate(facts.values()))
+    staged = computed(df, "_facts", F.struct(*fields))
+    blocks = []
+    for i, (_, facts) in enumerate(parts):
+        kind, values = F.col(f"_facts.k{i}"), [F.col(f"_facts.f{i}_{j}") for j in range(len(facts))]
+        pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in zip(facts, values)])
+        kept = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+        filled = kind.isNotNull() & F.coalesce(*values).isNotNull()
+        blocks.append(F.when(filled, F.struct(kind.alias("type"), kept.alias("kv"))))
+    listed = F.filter(F.array(*blocks), lambda b: b.isNotNull()).cast(BLOCKS_TYPE)
+    return computed(staged, "blocks", listed).drop("_facts")
 
 
 def drop_low_layers(df: DataFrame) -> DataFrame:
     """Without the columns that name the two lowest layers."""
-    import re
-
     return df.select([c(x) for x in df.columns if not re.search(LOW_LAYER_KEY, x)])
 
 
@@ -80,66 +88,71 @@ PACKET_BLOCKS = {
 def packet_blocks(df: DataFrame) -> DataFrame:
     """Packet rows: META, FLOW and one block per protocol with facts."""
     row = RowFacts(drop_low_layers(df))
-    meta = block("META", {"ts": row.get("@timestamp"), "ts_precise": row.get("frame.time_epoch"), "frame_number": row.get("frame.number")})
-    flow = block("FLOW", {
-        "src_ip": row.get("source.ip", "ip.src"), "dst_ip": row.get("destination.ip", "ip.dst"),
-        "src_port": row.get("source.port", "tcp.srcport", "udp.srcport"),
-        "dst_port": row.get("destination.port", "tcp.dstport", "udp.dstport"), "proto": row.get("network.transport", "ip.proto"),
-    })
-    layers = []
+    parts = [
+        ("META", {"ts": row.get("@timestamp"), "ts_precise": row.get("frame.time_epoch"), "frame_number": row.get("frame.number")}),
+        ("FLOW", {
+            "src_ip": row.get("source.ip", "ip.src"), "dst_ip": row.get("destination.ip", "ip.dst"),
+            "src_port": row.get("source.port", "tcp.srcport", "udp.srcport"),
+            "dst_port": row.get("destination.port", "tcp.dstport", "udp.dstport"), "proto": row.get("network.transport", "ip.proto")}),
+    ]
     for protocol, columns in PACKET_BLOCKS.items():
-        facts = {x.removeprefix(f"{protocol}."): row.get(x) for x in columns}
-        kind = F.concat(F.lit("PROTO:"), F.lit(protocol.upper()))
+        kind = f"PROTO:{protocol.upper()}"
         if protocol == "ip":
             kind = F.when(row.get("ipv6.flow").isNotNull(), "PROTO:IPV6").otherwise("PROTO:IP")
-        layers.append(block(kind, facts))
-    return computed(df, "blocks", _block_list(meta, flow, *layers))
+        parts.append((kind, {x.removeprefix(f"{protocol}."): row.get(x) for x in columns}))
+    return with_blocks(df, parts)
+
+
+def _protocol_type(name: Column) -> Column:
+    """``PROTO:NAME``, NULL for an unusable name."""
+    return F.concat(F.lit("PROTO:"), F.upper(name))
 
 
 def session_blocks(df: DataFrame) -> DataFrame:
     """Session-log rows: META with the uid, FLOW with duration and bytes, PROTO:service (P25)."""
     row = RowFacts(df)
-    meta = block("META", {"ts": row.get("ts"), "zeek_uid": row.get("uid")})
-    flow = block("FLOW", {
-        "src_ip": row.get("id.orig_h"), "dst_ip": row.get("id.resp_h"), "src_port": row.get("id.orig_p"),
-        "dst_port": row.get("id.resp_p"), "proto": row.get("proto"), "duration": row.get("duration"),
-        "orig_bytes": row.get("orig_bytes"), "resp_bytes": row.get("resp_bytes"),
-    })
-    service = row.get("service")
-    protocol = F.when(service.isNotNull(), block(F.concat(F.lit("PROTO:"), F.upper(service)), {
-        "service": service, "conn_state": row.get("conn_state"), "orig_pkts": row.get("orig_pkts"), "resp_pkts": row.get("resp_pkts")}))
-    return computed(df, "blocks", _block_list(meta, flow, protocol))
+    return with_blocks(df, [
+        ("META", {"ts": row.get("ts"), "zeek_uid": row.get("uid")}),
+        ("FLOW", {
+            "src_ip": row.get("id.orig_h"), "dst_ip": row.get("id.resp_h"), "src_port": row.get("id.orig_p"),
+            "dst_port": row.get("id.resp_p"), "proto": row.get("proto"), "duration": row.get("duration"),
+            "orig_bytes": row.get("orig_bytes"), "resp_bytes": row.get("resp_bytes")}),
+        (_protocol_type(row.get("service")), {
+            "service": row.get("service"), "conn_state": row.get("conn_state"), "orig_pkts": row.get("orig_pkts"),
+            "resp_pkts": row.get("resp_pkts")}),
+    ])
+
+
+def _ecs_flow(row: RowFacts, **more: Column) -> dict[str, Column]:
+    return {
+        "src_ip": row.get("source.ip"), "dst_ip": row.get("destination.ip"), "src_port": row.get("source.port"),
+        "dst_port": row.get("destination.port"), "proto": row.get("network.transport"), **more}
 
 
 def alert_blocks(df: DataFrame) -> DataFrame:
     """IDS alerts: META, FLOW, PROTO:IDS."""
     row = RowFacts(df)
-    return computed(df, "blocks", _block_list(
-        block("META", {"ts": row.get("@timestamp"), "alert_id": row.get("alert_id")}),
-        _ecs_flow(row),
-        block("PROTO:IDS", {
+    return with_blocks(df, [
+        ("META", {"ts": row.get("@timestamp"), "alert_id": row.get("alert_id")}),
+        ("FLOW", _ecs_flow(row)),
+        ("PROTO:IDS", {
             "alert_id": row.get("alert_id"), "alert_message": row.get("alert.message"),
             "signature_id": row.get("alert.signature_id"), "severity": row.get("alert.severity"), "risk_score": row.get("risk_score")}),
-    ))
-
-
-def _ecs_flow(row: RowFacts, **more: Column) -> Column:
-    return block("FLOW", {
-        "src_ip": row.get("source.ip"), "dst_ip": row.get("destination.ip"), "src_port": row.get("source.port"),
-        "dst_port": row.get("destination.port"), "proto": row.get("network.transport"), **more})
+    ])
 
 
 def fused_blocks(df: DataFrame) -> DataFrame:
     """Fused sightings: META with the flow id, FLOW with bytes, one protocol block, IDS if there was an alert."""
     row = RowFacts(df)
-    protocol = row.get("network.protocol")
-    proto = F.when(protocol.isNotNull(), block(F.concat(F.lit("PROTO:"), F.upper(protocol)), {
-        "protocol": protocol, "risk_score": row.get("risk_score"), "osi_stack": row.get("osi_stack"),
-        "dns_query": row.get("dns.question.name"), "tls_sni": row.get("tls.client.server_name"), "ja3": row.get("tls.handshake.ja3")}))
-    alert = row.get("alert_id")
-    ids = F.when(alert.isNotNull(), block("PROTO:IDS", {"alert_id": alert, "mitre_attack": row.get("mitre_attack")}))
-    meta = block("META", {"ts": row.get("@timestamp"), "community_id": row.get("network.community_id")})
-    return computed(df, "blocks", _block_list(meta, _ecs_flow(row, bytes=row.get("network.bytes")), proto, ids))
+    protocol, alert = row.get("network.protocol"), row.get("alert_id")
+    return with_blocks(df, [
+        ("META", {"ts": row.get("@timestamp"), "community_id": row.get("network.community_id")}),
+        ("FLOW", _ecs_flow(row, bytes=row.get("network.bytes"))),
+        (_protocol_type(protocol), {
+            "protocol": protocol, "risk_score": row.get("risk_score"), "osi_stack": row.get("osi_stack"),
+            "dns_query": row.get("dns.question.name"), "tls_sni": row.get("tls.client.server_name"), "ja3": row.get("tls.handshake.ja3")}),
+        (F.when(alert.isNotNull(), "PROTO:IDS"), {"alert_id": alert, "mitre_attack": row.get("mitre_attack")}),
+    ])
 
 
 TRANSFORMS = {"tshark": packet_blocks, "zeek": session_blocks, "snort": alert_blocks, "fused": fused_blocks}

@@ -71,15 +71,18 @@ def _lookup(kind: str, field: str, value: Column) -> Column:
 
 def _row_keys(log_type: str, columns: Sequence[str], ways: Sequence[str]) -> Column:
     """The (indicator type, field, value) look-ups that a row offers for some ways of matching."""
-    arrays = [F.array().cast(KEYS_TYPE)]
+    single, arrays = [], []
     for kind, column, field, way in rules_for(log_type, columns):
         if way not in ways:
             continue
-        values = F.array(c(column).cast("string"))
         if way == "suffix":
-            values = F.when(c(column).isNotNull(), name_suffixes(c(column))).otherwise(values)
-        arrays.append(F.transform(values, lambda v: _lookup(kind, field, v)))
-    return F.concat(*arrays)
+            names = F.when(c(column).isNotNull(), name_suffixes(c(column))).otherwise(F.array(c(column)))
+            arrays.append(F.transform(names, lambda v: _lookup(kind, field, v)))
+        else:
+            single.append(_lookup(kind, field, c(column).cast("string")))
+    if single:
+        arrays.append(F.array(*single))
+    return F.concat(*arrays).cast(KEYS_TYPE) if arrays else F.array().cast(KEYS_TYPE)
 
 
 def stack_logs(logs: Mapping[str, DataFrame]) -> DataFrame:
@@ -90,11 +93,12 @@ def stack_logs(logs: Mapping[str, DataFrame]) -> DataFrame:
     """
     stacked = None
     for log_type, df in logs.items():
+        present = df.columns
         part = df.select(
             F.lit(log_type).alias("log_type"), "ts",
-            *[optional(df, name).cast("string").alias(name) for name in LOG_COLUMNS],
-            _row_keys(log_type, df.columns, ("equal", "suffix")).alias("_exact"),
-            _row_keys(log_type, df.columns, ("contains",)).alias("_texts"))
+            *[optional(present, name).cast("string").alias(name) for name in LOG_COLUMNS],
+            _row_keys(log_type, present, ("equal", "suffix")).alias("_exact"),
+            _row_keys(log_type, present, ("contains",)).alias("_texts"))
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 

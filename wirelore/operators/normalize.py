@@ -20,14 +20,15 @@ def clean_endpoints(df: DataFrame, addresses=("si", "di"), ports=("sp", "dp")) -
 
 def with_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     """Exactly ``fields``, as text; the missing ones are NULL."""
-    return df.select([optional(df, f).alias(f) for f in fields])
+    present = set(df.columns)
+    return df.select([optional(present, f).alias(f) for f in fields])
 
 
 def align(df: DataFrame, schema=ECS_SCHEMA, default_risk: int = 10) -> DataFrame:
     """Pad to the schema, drop extra columns, reorder, and fill a missing risk (P10)."""
-    columns = []
+    columns, present = [], set(df.columns)
     for field in schema.fields:
-        col = optional(df, field.name, field.dataType.simpleString()).try_cast(field.dataType)
+        col = optional(present, field.name, field.dataType.simpleString()).try_cast(field.dataType)
         if field.name == "risk_score":
             col = F.coalesce(col, F.lit(default_risk))
         columns.append(col.alias(field.name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import blocks, correlate, validate
 from .core import query
 from .enrich_queries import FUSED_SQL, ecs_events, fused_events
-from .views import view
+from .views import table, view
 
 _NOTHING = "('', '-', 'n/a', 'unknown', 'null', 'none')"
 ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -106,7 +106,7 @@ def transform_counters(spark, sf):
     select role as l, case when lower(trim(substring(text, 1, 12))) in ('', '-', 'n/a', 'unknown', 'null', 'none') then null else substring(text, 1, 12) end as m,
       cast(turn % 3 as varchar) as t, count(*) as dc from conversations group by all""")
 def log_record_collapse(spark, sf):
-    log = spark.read.parquet(f"{sf}/conversations.parquet").select(
+    log = table(spark, sf, "conversations").select(
         F.col("role").alias("level"), F.substring("text", 1, 12).alias("message"), (F.col("turn") % 3).alias("timestamp"))
     return blocks.collapse_log(log)
 

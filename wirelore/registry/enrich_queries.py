@@ -9,7 +9,7 @@ from ..plans.ticket_reports import window_features
 from ..session import cut_lineage
 from .core import query
 from .ioc_queries import FOUND, USED, _PEERS, found_by_indicator
-from .views import view
+from .views import table, view
 
 
 @query("session_match", ids="J1", views="v_events v_sessions", sql="""
@@ -98,7 +98,7 @@ def geo_totals(spark, sf):
     select si, di, a.owner, a.importance, r.kind as threat_type, r.score as reputation_score, count(*) as flows
     from v_flows f left join a on a.ip = f.si left join r on r.ip = f.di group by all""")
 def asset_and_reputation(spark, sf):
-    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    read = lambda t: table(spark, sf, t)
     quad = lambda prefix, k: F.concat(F.lit(prefix), F.floor(F.col(k) / 256).cast("string"), F.lit("."), (F.col(k) % 256).cast("string"))
     assets = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         quad("10.0.", "s_suppkey").alias("ip_address"), F.lit("server").alias("asset_type"), F.col("n_name").alias("owner"),

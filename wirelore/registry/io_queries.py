@@ -3,6 +3,7 @@ shared folder and reads them back through the source, or sends them through a si
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from .core import query
 from .correlation_queries import _ECS_FLOW, ISO, _block_sql
 from .enrich_queries import FUSED_SQL, ecs_events, fused_events
 from .ioc_queries import BY_TICKET, USED, cases, logs
-from .views import view
+from .views import table, view
 
 
 def epoch_text(ts) -> F.Column:
@@ -134,11 +135,16 @@ def session_log_ecs_text(spark, sf):
         F.when(n % 10 == 3, "x").otherwise(F.coalesce("sp", F.lit(0)).cast("string")), F.col("di"), F.col("dp").cast("string"),
         F.col("transport"), F.when(n % 3 == 0, "-").otherwise(F.col("pr")), F.lit("1.5"),
         F.when(n % 5 == 0, "-").otherwise(F.col("bytes_sent").cast("string")), F.col("bytes_recv").cast("string"), F.col("conn_state")]
-    header = spark.createDataFrame([("#separator \\x09",)], "value string")
-    lines = header.unionByName(e.select(F.concat_ws("\t", *fields).alias("value")))
+    # Every part file begins with the separator line, as each file of a rotated log does.
+    lines = e.select(F.concat_ws("\t", *fields).alias("value")).mapInPandas(_with_header, "value string")
     return _ecs(generic.load_file(spark, _written(lines, "conn", "text", ".log")), _SESSION_ECS_COLUMNS)
 
 
+def _with_header(batches):
+    yield pd.DataFrame({"value": ["#separator \\x09"]})
+    yield from batches
+
+
 def alert_lines(spark, sf) -> DataFrame:
     e = view(spark, sf, "v_events").filter("alert_msg is not null")
     head = F.concat(F.date_format("ts", "MM/dd-HH:mm:ss.SSSSSS"), F.lit(" [**] ["), F.col("alert_id"), F.lit("] "), F.col("alert_msg"), F.lit(" [**] "))
@@ -197,10 +203,10 @@ def unknown_json(spark, sf):
     select event_id, count(*) as copies from (select event_id from v_events union all select event_id from v_events) group by event_id""")
 def parquet_append(spark, sf):
     rows = view(spark, sf, "v_events").select("event_id", "ts", "si")
-    source, table = shared_folder(spark, "export"), shared_folder(spark, "table")
+    source, store = shared_folder(spark, "export"), shared_folder(spark, "table")
     tables.export_parquet(rows, source)
-    generic.load_parquet(spark, source, table)
-    return generic.load_parquet(spark, source, table, append=True).groupBy("event_id").agg(F.count("*").alias("copies"))
+    generic.load_parquet(spark, source, store)
+    return generic.load_parquet(spark, source, store, append=True).groupBy("event_id").agg(F.count("*").alias("copies"))
 
 
 @query("ticket_lookup", ids="S12", views="v_tickets", sql="""
@@ -216,7 +222,7 @@ def ticket_lookup(spark, sf):
     select cast(335544320 + n_nationkey * 4096 as bigint) as lo, cast(335544320 + n_nationkey * 4096 + (1 << (n_nationkey % 4 + 9)) - 1 as bigint) as hi,
       'N' || n_nationkey as country_code, n_name as country_name from nation""")
 def geo_block_files(spark, sf):
-    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    nation = table(spark, sf, "nation")
     key = F.col("n_nationkey")
     network = F.concat(F.lit("20.0."), (key * 16).cast("string"), F.lit(".9/"), (F.lit(23) - key % 4).cast("string"))
     network = F.when(key * 16 < 256, network).otherwise(

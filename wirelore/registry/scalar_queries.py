@@ -10,7 +10,7 @@ from ..operators.normalize import align, clean_endpoints
 from ..functions.columns import c
 from ..schemas import ECS_SCHEMA
 from .core import query
-from .views import view
+from .views import table, view
 
 _TACTICS = attack.SIGNATURES
 
@@ -122,7 +122,7 @@ def attack_signatures(spark, sf):
                           + [("text is not null", "'General/Unknown'")], "null")} as label
     from documents""")
 def attack_labels(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", attack.signature_label(F.col("text")).alias("label"))
 
 
@@ -162,7 +162,7 @@ def group_entropy(spark, sf):
     select page_id, payload_entropy, substring(h, 1, 64) || '...' as payload_hex_preview from e join p using (page_id)""")
 def payload_entropy(spark, sf):
     payload = F.hex(F.encode("html", "UTF-8"))
-    return spark.read.parquet(f"{sf}/pages.parquet").select(
+    return table(spark, sf, "pages").select(
         "page_id", text.payload_entropy(payload).alias("payload_entropy"),
         text.payload_preview(payload).alias("payload_hex_preview"))
 
@@ -186,7 +186,7 @@ def second_level_labels(spark, sf):
 @query("text_previews", ids="P20", sql="""
     select doc_id, case when length(text) > 60 then substring(text, 1, 60) || '...' else text end as preview from documents""")
 def text_previews(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.preview(F.col("text")).alias("preview"))
+    return table(spark, sf, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
 @query("time_buckets", ids="P21", views="v_events", sql="""
@@ -210,5 +210,5 @@ def mac_addresses(spark, sf):
     digest = F.substring(F.md5(F.col("event_id").cast("string")), 1, 12)
     mac = F.regexp_replace(digest, "(..)(..)(..)(..)(..)(..)", "$1:$2:$3:$4:$5:$6")
     value = F.when(F.col("event_id") % 2 == 0, mac).otherwise(F.col("props"))
-    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", value.alias("value"))
+    rows = table(spark, sf, "events").select("event_id", value.alias("value"))
     return rows.withColumn("is_mac", text.is_mac_address(F.col("value")))

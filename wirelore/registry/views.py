@@ -214,13 +214,26 @@ def _fill(text: str, tokens: dict[str, str], table: dict[str, str]) -> str:
     return text
 
 
-def spark_view_sql(name: str, sf_dir: str) -> str:
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return _fill(VIEWS[name], SPARK_TOKENS, tables)
+_REGISTERED: set[tuple[int, str]] = set()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table; its file footers are read once per session."""
+    return spark.table(_table_view(spark, sf_dir, name))
+
+
+def _table_view(spark: SparkSession, sf_dir: str, name: str) -> str:
+    label = re.sub(r"\W", "_", f"wl_{sf_dir}_{name}")
+    key = (id(spark._jsparkSession), label)
+    if key not in _REGISTERED or not spark.catalog.tableExists(label):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(label)
+        _REGISTERED.add(key)
+    return label
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_view_sql(name, sf_dir))
+    used = {t: _table_view(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in VIEWS[name]}
+    return spark.sql(_fill(VIEWS[name], SPARK_TOKENS, used))
 
 
 def sql_views(names: list[str]) -> list[tuple[str, str]]:
