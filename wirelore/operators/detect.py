@@ -35,12 +35,14 @@ def gaps(df: DataFrame, keys: Sequence[str], t: str = "t", slice_seconds: int =
     times = times.withColumn("_slice", slice_of)
     inside = Window.partitionBy(*keys, "_slice").orderBy("_t")
     stepped = times.withColumn("gap", F.col("_t") - F.lag("_t").over(inside))
-    repeats = stepped.filter(F.col("_n") > 1).select(*keys, F.lit(0.0).alias("gap"), (F.col("_n") - 1).alias("n"))
-    within = stepped.filter(F.col("gap").isNotNull()).select(*keys, "gap", F.lit(1).cast("long").alias("n"))
+    both = F.array(
+        F.struct(F.col("gap"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(0.0).alias("gap"), (F.col("_n") - 1).alias("n")))
+    within = stepped.select(*keys, F.explode(both).alias("g")).select(*keys, "g.gap", "g.n")
+    within = within.filter(F.col("gap").isNotNull() & (F.col("n") > 0))
     ends = times.groupBy(*keys, "_slice").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     over_slices = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
     across = ends.withColumn("gap", F.col("_first") - F.lag("_last").over(over_slices)).filter(F.col("gap").isNotNull())
-    return within.unionByName(across.select(*keys, "gap", F.lit(1).cast("long").alias("n"))).unionByName(repeats)
+    return within.unionByName(across.select(*keys, "gap", F.lit(1).cast("long").alias("n")))
 
 
 def interval_metrics(events: DataFrame, keys: Sequence[str] = CONNECTION, min_events: int = 5) -> DataFrame:

@@ -296,7 +296,10 @@ def peer_concentration(peers: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = peers.groupBy(*keys).agg(F.sum("events").alias("total"))
     best = top_peers(peers, keys, 3).groupBy(*keys).agg(
         F.max("events").alias("_top1"), F.sum("events").alias("_top3"))
-    joined = totals.join(best, list(keys)) if keys else totals.crossJoin(best)
+    if keys:
+        joined = totals.join(best, list(keys))
+    else:
+        joined = best.withColumn("total", totals.scalar())
     top1 = ratio(F.col("_top1"), F.col("total"))
     level = F.when(top1 > 0.7, "high").when(top1 > 0.5, "medium").otherwise("low")
     return joined.select(*keys, "total", top1.alias("top1_share"), ratio(F.col("_top3"), F.col("total")).alias("top3_share"),

@@ -1,0 +1,4 @@
+"""Nothing to build here so far: all analyses are batch jobs over bounded tables.
+
+Time windows in them (resampling, ticket windows, correlation buckets) are ordinary group keys.
+"""
