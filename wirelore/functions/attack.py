@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import first_rule
+from .columns import bound, first_rule
 
 # Alert fragment, tactic, technique; the first fragment found wins.
 SIGNATURES = [
@@ -67,9 +67,12 @@ def signature_mapping(message: Column) -> Column:
 
 def signature_label(message: Column) -> Column:
     """``Tactic (Txxxx)`` label; NULL stays NULL."""
-    rules = [(message.ilike(f"%{frag}%"), F.lit(f"{tactic} ({tech})")) for frag, tactic, tech in SIGNATURES]
-    rules.append((message.isNotNull(), F.lit(UNMATCHED_LABEL)))
-    return first_rule(message, rules)
+    def label(lowered: Column) -> Column:
+        rules = [(lowered.contains(frag.lower()), F.lit(f"{tactic} ({tech})")) for frag, tactic, tech in SIGNATURES]
+        rules.append((lowered.isNotNull(), F.lit(UNMATCHED_LABEL)))
+        return first_rule(lowered, rules)
+
+    return bound(F.lower(message), label)  # a long text is lowered once, not once per fragment
 
 
 def fusion_label(message: Column) -> Column:

@@ -35,9 +35,9 @@ def parse_blocks(text: Column) -> Column:
     return F.transform(parts, one).cast(BLOCKS_TYPE)
 
 
-def _fact(kind: str, *keys: str) -> Column:
-    """The value of a key in the last block of a kind."""
-    block = F.try_element_at(F.filter(F.col("blocks"), lambda b: b["type"] == kind), F.lit(-1))
+def _fact(blocks: Column, types: Column, kind: str, *keys: str) -> Column:
+    """The value of a key in the first block of a kind."""
+    block = F.try_element_at(blocks, F.nullif(F.array_position(types, kind), F.lit(0)).cast("int"))
     values = [F.nullif(F.try_element_at(block["kv"], F.lit(k)), F.lit("")) for k in keys]
     return F.coalesce(*values)
 
@@ -63,8 +63,11 @@ CORRELATION_FACTS = {
 
 def correlation_facts(df: DataFrame) -> DataFrame:
     """The identifying facts of each row as a struct ``meta``."""
-    facts = [_fact(*spec).alias(name) for name, spec in CORRELATION_FACTS.items()]
-    return computed(df, "meta", F.struct(*facts))
+    # Reversed, so that the last block of a kind is found first.
+    backwards = F.reverse("blocks")
+    staged = computed(df, "_b", F.struct(backwards.alias("blocks"), F.transform(backwards, lambda b: b["type"]).alias("types")))
+    facts = [_fact(F.col("_b.blocks"), F.col("_b.types"), *spec).alias(name) for name, spec in CORRELATION_FACTS.items()]
+    return computed(staged, "meta", F.struct(*facts)).drop("_b")
 
 
 def correlation_key(meta: Column, bucket_seconds: int = 1, missing_port: str = "None") -> Column:
