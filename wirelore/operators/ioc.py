@@ -159,14 +159,14 @@ def sightings(logs: Mapping[str, DataFrame], indicators: DataFrame) -> DataFrame
     return exact.unionByName(texts.join(hits, ["ioc_type", "value"]).select(columns))
 
 
-def in_ticket_windows(found: DataFrame, tickets: DataFrame, hours: int = 24) -> DataFrame:
-    """Sightings within ``hours`` of each ticket's trigger time ``t0``.
+def in_ticket_windows(found: DataFrame, tickets: DataFrame, hours: int = 24, keep: Sequence[str] = ("ticket_id",)) -> DataFrame:
+    """Sightings within ``hours`` of each ticket's trigger time ``t0``, with the ``keep`` columns of the ticket.
 
     The window is turned into the days it touches, so tickets and sightings of a common indicator
     meet per day and not all with all.
     """
     half = F.make_dt_interval(hours=F.lit(hours))
-    windows = tickets.select("ticket_id", "ioc_type", "ioc_value", (F.col("t0") - half).alias("window_start"),
+    windows = tickets.select(*keep, "ioc_type", "ioc_value", (F.col("t0") - half).alias("window_start"),
                              (F.col("t0") + half).alias("window_end"))
     days = F.sequence(F.to_date("window_start"), F.to_date("window_end"), F.make_dt_interval(days=F.lit(1)))
     windows = windows.withColumn("_day", F.explode(days))

@@ -55,13 +55,16 @@ def ticket_reports(logs: Mapping[str, DataFrame], tickets: DataFrame, hours: int
     """One nested report row per ticket (K9).
 
     ``tickets`` has ticket_id, created_at, status, severity, outcome, ioc_type, ioc_value and t0. A
-    ticket without sightings keeps an empty window. The sightings are written once, because counts,
+    ticket without sightings keeps an empty window. Tickets of one indicator and trigger time share
+    a window, which is evaluated once. The sightings are written once, because counts,
     peers and time buckets all read them and they are far smaller than the logs.
     """
-    found = cut_lineage(ioc.in_ticket_windows(ioc.sightings(logs, tickets), tickets, hours), "sightings")
-    features = window_features(found, ["ticket_id"])
+    window = ["ioc_type", "ioc_value", "t0"]
+    distinct_windows = tickets.select(window).distinct()
+    sighted = ioc.in_ticket_windows(ioc.sightings(logs, tickets), distinct_windows, hours, keep=["t0"])
+    features = window_features(cut_lineage(sighted, "sightings"), window)
     base = history.history_without_self(tickets)
-    joined = rules.map_techniques(base.join(features, "ticket_id", "left"))
+    joined = rules.map_techniques(base.join(features, window, "left"))
     sightings = F.coalesce("total_sightings", F.lit(0))
     score = scoring.ticket_score(sightings, F.coalesce("protocols", F.lit(0)), F.col("threat_ratio"))
     joined = joined.withColumn("confidence", score)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..schemas import EVENT_SCHEMA, TICKET_SCHEMA
 from ..operators.normalize import align
 
+# Names of the event tables.
 EVENT_TABLES = ["events", "purified_events", "toon_events", "assets", "reputation"]
 
 
