@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, license_scan, packing, pii, token_counts, toxicity, url_filter
+from . import ann, license_scan, near_dedup, packing, pii, token_counts, toxicity, url_filter
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -49,17 +53,17 @@ def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_pii_spans, op6_nearest_vectors, op7_url_verdicts, op8_toxicity, op9_token_counts, op10_license_notices)
+    f.__name__: f for f in (op1_packing, op2_pii_spans, op3_near_duplicates, op6_nearest_vectors, op7_url_verdicts, op8_toxicity, op9_token_counts, op10_license_notices)
 }
 
 ORACLE: dict[str, str] = {
     "op6_nearest_vectors": """
         with good as (
             select vec_id, embedding::double[] as v from embeddings
-            where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-              and len(list_filter(embedding, x -> x <> 0)) > 0),
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
         pairs as (
-            select q.vec_id as query_id, c.vec_id, list_distance(q.v, c.v) as score
+            select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) as score
             from good q join good c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
         ranked as (select *, row_number() over (partition by query_id order by score, vec_id)::integer as rank from pairs)
         select query_id, rank, vec_id, score from ranked where rank <= 10""",
