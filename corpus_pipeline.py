@@ -1,6 +1,7 @@
 """Clean and pack the documents: toxicity, near duplicates, benchmark leaks, personal data, packing.
 
-Each stage gets what the one before it kept. All stages but the last return the columns of documents.
+Each stage gets what the one before it kept; all but the last return the columns of documents. A row without id can't
+be rejected by name, so it stays; rows that repeat an id share its fate. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -10,26 +11,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelore.llm import pii, toxicity
+from wirelore.llm import decontaminate, near_dedup, packing, pii, toxicity
+from wirelore.llm.queries import public_vocabulary
 from wirelore.llm.tables import table
 from wirelore.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``rejected``, which is written first so that its plan runs once."""
+    ids = cut_lineage(rejected.select("doc_id").distinct(), "rejected")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows predicted toxic go; the model is fitted on the labelled part of ``docs``."""
-    rejected = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents predicted toxic go; the model is fitted on the labelled part of ``docs``."""
+    return _without(docs, toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return _without(docs, near_dedup.link_documents(docs).filter("not kept"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other values, go."""
+    return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Personal data is replaced by its kind; n_chars follows the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of 2048-token sequences, with their ids."""
+    return packing.pack(docs, public_vocabulary())
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("pii", mask_pii)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("benchmark_leaks", drop_benchmark_leaks), ("pii", mask_pii), ("packing", pack_documents)]
 
-# Trained models, tokenizers and compressed blocks are beyond SQL; tests/llm checks the stages against plain versions.
+# Trained models and tokenizers are beyond SQL; tests/llm checks the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, near_dedup, packing, pii, token_counts, toxicity, url_filter
+from . import ann, decontaminate, license_scan, near_dedup, packing, pii, suffix_tree, token_counts, toxicity, url_filter
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +61,7 @@ def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_pii_spans, op3_near_duplicates, op5_benchmark_leaks, op6_nearest_vectors, op7_url_verdicts, op8_toxicity, op9_token_counts, op10_license_notices)
+    f.__name__: f for f in (op1_packing, op2_pii_spans, op3_near_duplicates, op4_suffix_tree_scores, op5_benchmark_leaks, op6_nearest_vectors, op7_url_verdicts, op8_toxicity, op9_token_counts, op10_license_notices)
 }
 
 ORACLE: dict[str, str] = {
