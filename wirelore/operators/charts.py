@@ -16,25 +16,14 @@ TS = "@timestamp"
 
 # --- time series -----------------------------------------------------------------------------
 
-def _span(df: DataFrame, t: Column) -> Column:
-    """struct(low, high) of epoch time as a scalar subquery; it reads one column."""
-    return df.agg(F.struct(F.min(t).alias("low"), F.max(t).alias("high"))).scalar()
-
-
-def bucket_width(span: Column, default: int = 60) -> Column:
-    """Seconds per bucket: one minute, 5 s below five minutes, 1 s up to ten seconds."""
-    length = span["high"] - span["low"]
-    return F.when(length <= 10, 1).when(length < 300, 5).otherwise(default)
-
-
 def _number(col: Column) -> Column:
     """Numbers as they are; NULL and text count as zero."""
     return F.coalesce(col.cast("string").try_cast("double"), F.lit(0.0))
 
 
 def _aggregate(agg: str, metric: str | None, exact_type: str | None) -> Column:
-    if metric is None or agg == "count":
-        return F.count(F.lit(1)).cast("double")
+    if agg == "count":
+        return F.count(F.lit(1) if metric is None else c(metric)).cast("double")
     if agg == "nunique":
         return F.countDistinct(c(metric)).cast("double")
     value = F.coalesce(c(metric), F.lit(0)).cast("double") if exact_type in ("int", "bigint", "double") else _number(c(metric))
@@ -42,20 +31,18 @@ def _aggregate(agg: str, metric: str | None, exact_type: str | None) -> Column:
     return plain[agg](value)
 
 
-def bucketed(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: str = TS, default_width: int = 60) -> DataFrame:
-    """Aggregates per time bucket, without the empty ones: (bucket, width, ...).
+def bucketed(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: str = TS, width: int = 60) -> DataFrame:
+    """Aggregates per time bucket of ``width`` seconds, without the empty ones: (bucket, ...).
 
     ``aggregates`` maps an output name to (aggregate, metric). A median is taken from the counts
     per distinct value, so equal values of a busy bucket are collapsed before they meet.
     """
     rows = df.filter(c(ts).isNotNull()).withColumn("_t", epoch_seconds(c(ts)))
-    width = bucket_width(_span(rows, F.col("_t")), default_width)
-    rows = rows.withColumn("width", width)
-    rows = rows.withColumn("bucket", (F.floor(F.col("_t") / F.col("width")) * F.col("width")).cast("long"))
+    rows = rows.withColumn("bucket", (F.floor(F.col("_t") / width) * width).cast("long"))
     types = dict(df.dtypes)
     medians = {name: metric for name, (agg, metric) in aggregates.items() if agg == "median"}
     plain = [_aggregate(agg, metric, types.get(metric)).alias(name) for name, (agg, metric) in aggregates.items() if agg != "median"]
-    out = rows.groupBy("bucket").agg(F.max("width").alias("width"), *plain)
+    out = rows.groupBy("bucket").agg(*plain) if plain else rows.select("bucket").distinct()
     for name, metric in medians.items():
         counted = rows.withColumn("_v", _number(c(metric))).groupBy("bucket", "_v").agg(F.count(F.lit(1)).alias("_k"))
         median = counted.groupBy("bucket").agg(F.expr("percentile(_v, 0.5, _k)").alias(name))
@@ -63,21 +50,27 @@ def bucketed(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: s
     return out
 
 
-def time_series(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: str = TS, default_width: int = 60) -> DataFrame:
+def time_series(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: str = TS, width: int = 60) -> DataFrame:
     """Resampled series with empty buckets as zero (A27, R8): (bucket, one column per aggregate)."""
-    filled = bucketed(df, aggregates, ts, default_width)
-    edges = filled.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.max("width").alias("width"))
-    spine = edges.select(F.explode(F.sequence("low", "high", F.col("width").cast("long"))).alias("bucket"))
-    return spine.join(filled.drop("width"), "bucket", "left").fillna(0.0, list(aggregates))
+    filled = bucketed(df, aggregates, ts, width)
+    return _spine(filled, width).join(filled, "bucket", "left").fillna(0.0, list(aggregates))
+
+
+def _spine(filled: DataFrame, width: int, piece: int = 10_000) -> DataFrame:
+    """All buckets from the first to the last. The range is cut into pieces first, which are then spread
+    over tasks, so one event with a far time makes a long series but no giant row."""
+    edges = filled.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).filter("low is not null")
+    step = F.lit(width * piece).cast("long")
+    pieces = edges.select("high", F.explode(F.sequence("low", "high", step)).alias("start")).repartition("start")
+    last = F.least("high", F.col("start") + step - width)
+    return pieces.select(F.explode(F.sequence("start", last, F.lit(width).cast("long"))).alias("bucket"))
 
 
-def bandwidth(df: DataFrame, volume: str = "network.bytes", ts: str = TS) -> DataFrame:
+def bandwidth(df: DataFrame, volume: str = "network.bytes", ts: str = TS, width: int = 60) -> DataFrame:
     """Mbps per bucket."""
-    series = bucketed(df, {"total": ("sum", volume)}, ts)
-    mbps = series.select("bucket", "width", (F.col("total") * 8 / (F.col("width") * 1e6)).alias("mbps"))
-    edges = mbps.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.max("width").alias("width"))
-    spine = edges.select(F.explode(F.sequence("low", "high", F.col("width").cast("long"))).alias("bucket"))
-    return spine.join(mbps.drop("width"), "bucket", "left").fillna(0.0, ["mbps"])
+    series = bucketed(df, {"total": ("sum", volume)}, ts, width)
+    mbps = series.select("bucket", (F.col("total") * 8 / (width * 1e6)).alias("mbps"))
+    return _spine(mbps, width).join(mbps, "bucket", "left").fillna(0.0, ["mbps"])
 
 
 def coverage_gaps(df: DataFrame, ts: str = TS, bucket_seconds: int = 3600) -> DataFrame:
@@ -185,14 +178,10 @@ def with_layer(df: DataFrame) -> DataFrame:
     return df.withColumn("layer", osi_layer(c("osi_stack"), c("destination.port")))
 
 
-def layer_timeline(df: DataFrame, ts: str = TS) -> DataFrame:
-    """Events of the layers 3, 4 and 7 per time bucket."""
+def layer_timeline(df: DataFrame, ts: str = TS, width: int = 86400) -> DataFrame:
+    """Events of the layers 3, 4 and 7 per time bucket of ``width`` seconds."""
     rows = with_layer(df.filter(c(ts).isNotNull())).withColumn("_t", epoch_seconds(c(ts)))
-    span = _span(rows, F.col("_t"))
-    length = span["high"] - span["low"]
-    width = F.when(length > 604800, 86400).when(length > 86400, 3600).when(length > 300, 300).when(length > 10, 5).otherwise(1)
-    rows = rows.withColumn("_w", width)
-    bucket = (F.floor(F.col("_t") / F.col("_w")) * F.col("_w")).cast("long")
+    bucket = (F.floor(F.col("_t") / width) * width).cast("long")
     return rows.groupBy(bucket.alias("bucket")).agg(*[F.count_if(F.col("layer") == x).alias(f"layer_{x}") for x in (3, 4, 7)])
 
 
@@ -201,6 +190,7 @@ def layer_distribution(df: DataFrame) -> DataFrame:
     return with_layer(df).groupBy("layer").agg(F.count(F.lit(1)).alias("events"))
 
 
+# Columns that hold names.
 IDENTITY_COLUMNS = ["dns.question.name", "url.domain", "tls.client.server_name", "user_agent.original"]
 
 
@@ -223,8 +213,7 @@ def pair_counts(df: DataFrame, source: str, target: str) -> DataFrame:
 def network_edges(df: DataFrame, source: str, target: str, weight: str | None = None, max_nodes: int = 50) -> DataFrame:
     """Weighted edges between the nodes with the most events.
 
-    The edge list is aggregated first. The chosen nodes are at most ``max_nodes`` rows, so both
-    ends are checked by broadcast semi joins.
+    The edge list is aggregated first; Spark decides by size how to join it with the chosen nodes.
     """
     w = F.lit(1).cast("long") if weight is None else c(weight)
     rows = df.filter(c(source).isNotNull() & c(target).isNotNull())
@@ -232,8 +221,8 @@ def network_edges(df: DataFrame, source: str, target: str, weight: str | None =
         F.sum(w).alias("weight"), F.count(F.lit(1)).alias("events"))
     ends = edges.select(F.explode(F.array("source", "target")).alias("node"), "events")
     top = ends.groupBy("node").agg(F.sum("events").alias("n")).orderBy(F.col("n").desc(), "node").limit(max_nodes).select("node")
-    kept = edges.join(F.broadcast(top), edges.source == top.node, "left_semi")
-    return kept.join(F.broadcast(top), kept.target == top.node, "left_semi")
+    kept = edges.join(top, edges.source == top.node, "left_semi")
+    return kept.join(top, kept.target == top.node, "left_semi")
 
 
 def node_index(edges: DataFrame) -> DataFrame:

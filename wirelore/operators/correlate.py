@@ -29,6 +29,9 @@ def parse_blocks(text: Column) -> Column:
         pairs = F.transform(facts, lambda x: F.struct(
             F.substring_index(x, "=", 1).alias("key"),
             F.regexp_replace(x, "^[^=]*=", "").alias("value")))
+        # Of a repeated key the last line counts.
+        keys = F.transform(pairs, lambda p: p["key"])
+        pairs = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
         header = F.element_at(rows, 1)
         return F.struct(F.regexp_replace(header, r"^\[|\]$", "").alias("type"), F.map_from_entries(pairs).alias("kv"))
 

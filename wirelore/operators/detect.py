@@ -217,7 +217,7 @@ def outliers(
         "flagged", F.coalesce(flagged, F.lit(False)))
 
 
-def time_gaps(df: DataFrame, t: str = "t", min_gap: float = 0.1, limit: int | None = 100, slice_seconds: int = 600) -> DataFrame:
+def time_gaps(df: DataFrame, t: str = "t", min_gap: float = 0.1, limit: int | None = None, slice_seconds: int = 600) -> DataFrame:
     """Pauses longer than ``min_gap`` in the whole event sequence, earliest first.
 
     A pause cannot lie inside a cell half as wide as ``min_gap``, so each cell is reduced to its

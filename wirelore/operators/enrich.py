@@ -111,10 +111,10 @@ def attach_alerts(events: DataFrame, matched: DataFrame, event_id: str = "event_
 def geo_of_addresses(addresses: DataFrame, blocks: DataFrame, ip: str = "ip", bits: int = 16) -> DataFrame:
     """Country of each distinct address.
 
-    ``blocks`` has disjoint ranges ``lo``..``hi`` with ``country_code`` and ``country_name``. Blocks
-    are laid over the networks of ``bits`` prefix bits; disjoint blocks give at most one row each
-    plus one per covered network. Inside a network, addresses and block starts are merged in order
-    and the last block start is carried forward, so the work is a sort and not a range join.
+    ``blocks`` has ranges ``lo``..``hi`` with ``country_code`` and ``country_name``; they may be nested, and the
+    innermost one counts. Blocks are laid over the networks of ``bits`` prefix bits and cut there into disjoint pieces
+    (a network has a bounded number of addresses, so also of blocks). Inside a network, addresses and starts of pieces
+    are merged in order and the last start is carried forward, so the work is a sort and not a range join.
     """
     shift = 32 - bits
     known = addresses.select(c(ip).alias("ip")).filter(F.col("ip").isNotNull()).distinct()
@@ -123,9 +123,18 @@ def geo_of_addresses(addresses: DataFrame, blocks: DataFrame, ip: str = "ip", bi
     classed = known.select("ip", private.alias("_private"), valid.alias("_valid"), ipv4_number(F.col("ip")).alias("_n"))
     searched = classed.filter(~F.col("_private") & F.col("_n").isNotNull())
 
-    block = F.struct("hi", "country_code", "country_name")
-    starts = blocks.withColumn("_net", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift)))).select(
-        "_net", F.greatest("lo", F.shiftleft("_net", shift)).alias("_n"), block.alias("_block"), F.lit(None).cast("string").alias("ip"))
+    # Ordered so that the greatest block over a point is the innermost: the latest start, then the earliest end.
+    entry = F.struct("lo", (-F.col("hi")).alias("minus_hi"), "country_code", "country_name")
+    laid = blocks.filter("lo <= hi").withColumn("_net", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
+    per_net = laid.groupBy("_net").agg(F.collect_set(entry).alias("_blocks"))
+    first, last = F.shiftleft("_net", shift), F.shiftleft(F.col("_net") + 1, shift) - 1
+    cuts = F.concat(F.transform("_blocks", lambda b: F.greatest(b["lo"], first)), F.transform("_blocks", lambda b: 1 - b["minus_hi"]))
+    points = per_net.select("_net", "_blocks", F.explode(F.array_distinct(cuts)).alias("_n")).filter(F.col("_n") <= last)
+    inner = F.array_max(F.filter("_blocks", lambda b: (b["lo"] <= F.col("_n")) & (-b["minus_hi"] >= F.col("_n"))))
+    owned = points.select("_net", "_n", inner.alias("_b"))
+    block = F.struct((-F.col("_b.minus_hi")).alias("hi"), F.col("_b.country_code").alias("country_code"), F.col("_b.country_name").alias("country_name"))
+    nothing = F.struct(F.lit(-1).cast("long").alias("hi"), F.lit(None).cast("string").alias("country_code"), F.lit(None).cast("string").alias("country_name"))
+    starts = owned.select("_net", "_n", F.when(F.col("_b").isNotNull(), block).otherwise(nothing).alias("_block"), F.lit(None).cast("string").alias("ip"))
     no_block = F.lit(None).cast(starts.schema["_block"].dataType)
     probes = searched.select(F.shiftright("_n", shift).alias("_net"), "_n", no_block.alias("_block"), "ip")
     ordered = Window.partitionBy("_net").orderBy("_n", F.col("ip").isNotNull())
@@ -166,6 +175,6 @@ def with_assets(events: DataFrame, assets: DataFrame, ip: str) -> DataFrame:
 
 def with_reputation(events: DataFrame, reputation: DataFrame, column: str) -> DataFrame:
     """Reputation score of an address or name column."""
-    scores = reputation.groupBy("indicator").agg(F.max_by("threat_type", "reputation_score").alias("threat_type"),
-                                                 F.max("reputation_score").alias("reputation_score"))
+    best = F.max(F.struct("reputation_score", "threat_type")).alias("best")
+    scores = reputation.groupBy("indicator").agg(best).select("indicator", "best.threat_type", "best.reputation_score")
     return events.join(scores.withColumnRenamed("indicator", column), column, "left")

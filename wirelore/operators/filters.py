@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,10 @@ from ..functions.addresses import NO_FLOW_ID
 from ..functions.columns import c
 
 
+def _utc_date(t: float) -> date:
+    return (datetime(1970, 1, 1) + timedelta(seconds=t)).date()
+
+
 def query_events(
     events: DataFrame,
     start: float | None = None,
@@ -19,11 +23,17 @@ def query_events(
     src: str | None = None,
     dst: str | None = None,
     protocol: str | None = None,
-    limit: int | None = 10_000,
+    limit: int | None = None,
     tiebreak: Sequence[str] = ("si", "di"),
 ) -> DataFrame:
-    """Events matching every given condition, newest first (F1). Both time bounds are inclusive."""
+    """Events matching every given condition, newest first (F1). Both time bounds are inclusive.
+
+    On a store with date folders the time bounds also become bounds on the date, which prunes folders.
+    """
     conditions = []
+    if "event_date" in events.columns:
+        conditions += [F.col("event_date") >= F.lit(_utc_date(start))] if start is not None else []
+        conditions += [F.col("event_date") <= F.lit(_utc_date(end))] if end is not None else []
     if start is not None:
         conditions.append(F.col("t") >= start)
     if end is not None:
@@ -92,15 +102,6 @@ def with_flow_id(df: DataFrame, flow_id: str = "network.community_id") -> DataFr
     return df.filter(c(flow_id).isNotNull() & (c(flow_id) != NO_FLOW_ID))
 
 
-def top_volume(df: DataFrame, volume: str, tiebreak: Sequence[str], count: int | None = None, cap: int = 2000) -> DataFrame:
-    """The rows with the largest volume.
-
-    Without ``count`` it is a tenth of the table plus one, at most ``cap``; a table of ten rows or
-    fewer is kept whole.
-    """
-    order = [c(volume).desc_nulls_last(), *[c(x) for x in tiebreak]]
-    if count is None:
-        # Spark needs a literal LIMIT, so the size is read first; only one number reaches the driver.
-        n = df.count()
-        count = min(cap, n // 10 + 1) if n > 10 else 100
-    return df.orderBy(*order).limit(count)
+def top_volume(df: DataFrame, volume: str, tiebreak: Sequence[str], count: int) -> DataFrame:
+    """The ``count`` rows with the largest volume."""
+    return df.orderBy(c(volume).desc_nulls_last(), *[c(x) for x in tiebreak]).limit(count)

@@ -147,7 +147,7 @@ def field_completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "p.field", "p.filled", ratio(F.col("p.filled"), F.col("n")).alias("completeness"))
 
 
-def evidence_index(df: DataFrame, category: Column, reference: str, per_category: int = 20) -> DataFrame:
+def evidence_index(df: DataFrame, category: Column, reference: str, per_category: int) -> DataFrame:
     """The first ``per_category`` event references of each category.
 
     Spark applies a rank filter of this form as a group limit in every map task before the

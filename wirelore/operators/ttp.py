@@ -31,9 +31,8 @@ def _pattern(df: DataFrame, names: list[str], evidence: list[Column], confidence
 
 
 def beaconing_pattern(events: DataFrame, max_cv: float = 0.05, min_events: int = 5) -> DataFrame:
-    """The first connection, by its end points, with steady intervals."""
+    """Every connection with steady intervals."""
     steady = interval_metrics(events, min_events=min_events).filter(F.col("cv") < max_cv)
-    first = steady.orderBy("si", "di", "dp").limit(1)
     link = F.concat(F.lit("Connection: "), F.col("si"), F.lit("->"), F.col("di"), F.lit(":"),
                     F.coalesce(F.col("dp").cast("string"), F.lit("None")))
     evidence = [
@@ -42,19 +41,19 @@ def beaconing_pattern(events: DataFrame, max_cv: float = 0.05, min_events: int =
         F.format_string("Interval: %.1fs (±%.1fs)", "interval_avg", "interval_stddev"),
         F.format_string("Consistency: %.1f%%", (1 - F.col("cv")) * 100),
     ]
-    return _pattern(first, ["beaconing", "c2_pattern"], evidence, F.lit("HIGH"))
+    return _pattern(steady, ["beaconing", "c2_pattern"], evidence, F.lit("HIGH"))
 
 
 def scan_pattern(events: DataFrame, ports: int = 20, destinations: int = 10, high_ports: int = 50, min_events: int = 10) -> DataFrame:
-    """The first source, by address, that contacts many ports or hosts."""
+    """Every source that contacts many ports or hosts."""
     scans = scan_metrics(events).filter((F.col("unique_ports") > ports) | (F.col("unique_destinations") > destinations))
-    first = scans.filter(events.agg(F.count(F.lit(1))).scalar() >= min_events).orderBy("si").limit(1)
+    found = scans.filter(events.agg(F.count(F.lit(1))).scalar() >= min_events)
     evidence = [
         F.concat(F.lit("Source: "), F.col("si")),
         F.format_string("Unique destinations: %d", "unique_destinations"),
         F.format_string("Unique ports: %d", "unique_ports"),
     ]
-    return _pattern(first, ["port_scan"], evidence, F.when(F.col("unique_ports") > high_ports, "HIGH").otherwise("MEDIUM"))
+    return _pattern(found, ["port_scan"], evidence, F.when(F.col("unique_ports") > high_ports, "HIGH").otherwise("MEDIUM"))
 
 
 def dns_pattern(events: DataFrame, min_events: int = 10, length: int = 50, min_long: int = 5) -> DataFrame:
@@ -71,8 +70,23 @@ def dns_pattern(events: DataFrame, min_events: int = 10, length: int = 50, min_l
     return _pattern(found, ["dns_tunneling", "dns_exfil"], evidence, F.lit("MEDIUM"))
 
 
-def tls_pattern(events: DataFrame, min_events: int = 3) -> DataFrame:
-    """TLS without a server name (T4), with the first five destinations and three fingerprints."""
+def tls_pattern(events: DataFrame, min_events: int = 3, destinations: int | None = None, fingerprints: int | None = None) -> DataFrame:
+    """TLS without a server name (T4): one row per destination, and one for the whole when a number of
+    examples is asked for."""
+    return _tls_rows(events, min_events) if destinations is None else _tls_summary(events, min_events, destinations, fingerprints or destinations)
+
+
+def _tls_rows(events: DataFrame, min_events: int) -> DataFrame:
+    bare = events.filter((F.col("pr") == "tls") & (F.coalesce("tls_sni", F.lit("")) == "") & F.col("di").isNotNull())
+    enough = bare.agg(F.count(F.lit(1))).scalar() > min_events
+    per_pair = bare.groupBy("di", "tls_ja3").agg(F.count(F.lit(1)).alias("n")).filter(enough)
+    evidence = [
+        F.format_string("TLS connections without SNI: %d", "n"), F.concat(F.lit("Destination: "), F.col("di")),
+        F.concat(F.lit("JA3 fingerprint: "), F.nullif("tls_ja3", F.lit("")))]
+    return _pattern(per_pair, ["tls_no_sni", "tls_direct_ip"], evidence, F.lit("HIGH"))
+
+
+def _tls_summary(events: DataFrame, min_events: int, destinations: int, fingerprints: int) -> DataFrame:
     bare = events.filter((F.col("pr") == "tls") & (F.coalesce("tls_sni", F.lit("")) == "") & F.col("di").isNotNull())
 
     def first_values(df: DataFrame, column: str, n: int) -> Column:
@@ -80,8 +94,8 @@ def tls_pattern(events: DataFrame, min_events: int = 3) -> DataFrame:
         return chosen.agg(F.array_join(F.sort_array(F.collect_set(column)), ", ")).scalar()
 
     found = bare.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_events).select(
-        "n", first_values(bare, "di", 5).alias("_di"),
-        first_values(bare.filter(F.col("tls_ja3").isNotNull()), "tls_ja3", 3).alias("_ja3"))
+        "n", first_values(bare, "di", destinations).alias("_di"),
+        first_values(bare.filter(F.col("tls_ja3").isNotNull()), "tls_ja3", fingerprints).alias("_ja3"))
     evidence = [
         F.format_string("TLS connections without SNI: %d", "n"),
         F.concat(F.lit("Destinations: "), F.col("_di")),
@@ -104,7 +118,7 @@ def remote_service_pattern(events: DataFrame, min_events: int = 2) -> DataFrame:
 def detect_patterns(events: DataFrame) -> DataFrame:
     """All patterns of an event set."""
     out = beaconing_pattern(events)
-    for part in (scan_pattern(events), dns_pattern(events), tls_pattern(events), remote_service_pattern(events)):
+    for part in (scan_pattern(events), dns_pattern(events), tls_pattern(events, destinations=5, fingerprints=3), remote_service_pattern(events)):
         out = out.unionByName(part)
     return out
 

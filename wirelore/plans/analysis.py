@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich, history, summary
 from ..operators.normalize import align, events_from_packets
-from ..schemas import EVENT_SCHEMA
+from ..schemas import EVENT_SCHEMA, TICKET_SCHEMA
 from ..session import cut_lineage
 from ..sinks import reports, tables
 from ..sources import alerts as alert_source
@@ -25,11 +26,24 @@ def enriched_events(events: DataFrame, session_rows: DataFrame | None = None, al
     numbered = cut_lineage(events.withColumn("event_id", F.monotonically_increasing_id()), "numbered-events")
     out = numbered if session_rows is None else enrich.match_sessions(numbered, session_rows)
     if alert_rows is not None:
-        keyed = alert_rows.withColumn("alert_key", F.xxhash64(*alert_rows.columns)).dropDuplicates(["alert_key"])
+        keyed = cut_lineage(alert_rows.withColumn("alert_key", F.monotonically_increasing_id()), "numbered-alerts")
         out = enrich.attach_alerts(out, enrich.match_alerts(keyed, numbered)).drop("alert_count")
     return align(out.drop("event_id"), EVENT_SCHEMA)
 
 
+def _history(spark: SparkSession, path: str, ioc_type: str, ioc_value: str) -> DataFrame:
+    """Verdicts of the earlier tickets of one indicator; none where there is no ticket table yet."""
+    try:
+        tickets = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        tickets = spark.createDataFrame([], TICKET_SCHEMA)
+    earlier = tickets.filter((F.col("ioc_type") == ioc_type) & (F.col("ioc_value") == ioc_value))
+    # Written before the new ticket joins the table.
+    return cut_lineage(history.verdict_history(earlier, keys=()), "ticket-history")
+
+
 def analyze_capture(
     spark: SparkSession, packets_path: str, store_path: str, tickets_path: str, report_path: str,
     sessions_path: str | None = None, alerts_path: str | None = None, alert_year: int | None = None,
@@ -48,10 +62,10 @@ def analyze_capture(
     past = None
     if ticket_id is not None:
         at = lambda t: datetime.fromtimestamp(t, timezone.utc) if t is not None else None
+        # History first: the new ticket is no evidence for itself.
+        past = _history(spark, tickets_path, main.ioc_type, main.ioc_value)
         tables.create_ticket(
             spark, tickets_path, ticket_id=ticket_id, ioc_type=main.ioc_type, ioc_value=main.ioc_value, trigger_type="pcap_analysis",
             created_at=created_at, window_start=at(main.window_start), window_end=at(main.window_end), report_path=report_path)
-        earlier = spark.read.parquet(tickets_path).filter(F.col("ioc_value") == main.ioc_value)
-        past = history.verdict_history(earlier)
     reports.export_machine_report(events, report_path, history=past)
     return {"events_inserted": inserted, "primary_indicator": main.ioc_value, "sightings": main.sightings}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import c
-from ..operators import charts, detect, filters, summary
+from ..operators import charts, detect, summary
 
 BYTES, RISK, SRC, DST = "network.bytes", "risk_score", "source.ip", "destination.ip"
 SPORT, DPORT, PROTO = "source.port", "destination.port", "network.protocol"
@@ -81,10 +81,6 @@ def _by_country(df: DataFrame, metric: str | None, agg: str) -> DataFrame:
     return df.groupBy(country.alias("country")).agg(value.alias("value"))
 
 
-def _top_rows(df: DataFrame, count: int | None = None) -> DataFrame:
-    return filters.top_volume(df, BYTES, [charts.TS, SRC, DST, SPORT, DPORT], count)
-
-
 def _catalog() -> dict[str, Callable[[DataFrame], DataFrame]]:
     out: dict[str, Callable[[DataFrame], DataFrame]] = {}
     for cid, spec in SERIES.items():
@@ -102,13 +98,13 @@ def _catalog() -> dict[str, Callable[[DataFrame], DataFrame]]:
     path = ["network.transport", "osi_stack", DPORT]
     out.update({
         "TS_001": lambda df: charts.bandwidth(df),
-        "TS_005": lambda df: charts.time_series(_top_rows(df), {"value": ("sum", BYTES)}),
-        "NG_003": lambda df: charts.network_edges(_top_rows(df, 500), SRC, DST, BYTES, 25),
+        "TS_005": lambda df: charts.time_series(df, {"value": ("sum", BYTES)}),
+        "NG_003": lambda df: charts.network_edges(df, SRC, DST, BYTES, 25),
         "IN_001": _kpi("total_events"), "IN_002": _kpi("total_bytes"), "IN_003": _kpi("high_risk_events"),
         "IN_004": _kpi("mean_risk"), "IN_005": _kpi("unique_sources"),
         "T1_TOTAL_EVENTS": _kpi("total_events"), "T2_HIGH_RISK_COUNT": _kpi("high_risk_events"),
         "OSI_001": charts.layer_timeline, "OSI_002": charts.layer_distribution, "OSI_003": charts.top_identities,
-        "ST_001": lambda df: charts.ranking(df.withColumn("osi_stack", F.substring("osi_stack", 1, 30)), "osi_stack"),
+        "ST_001": lambda df: charts.ranking(df, "osi_stack"),
         "ST_004": charts.week_heatmap, "S4_TEMPORAL_HEATMAP": charts.week_heatmap,
         "ST_005": lambda df: charts.density(df, DPORT, BYTES),
         "ST_006": lambda df: charts.category_volume(df, PROTO, BYTES),

@@ -103,11 +103,11 @@ def transform_counters(spark, sf):
 
 
 @query("log_record_collapse", ids="P29", sql="""
-    select role as l, case when lower(trim(substring(text, 1, 12))) in ('', '-', 'n/a', 'unknown', 'null', 'none') then null else substring(text, 1, 12) end as m,
+    select role as l, case when lower(trim(text)) in ('', '-', 'n/a', 'unknown', 'null', 'none') then null else text end as m,
       cast(turn % 3 as varchar) as t, count(*) as dc from conversations group by all""")
 def log_record_collapse(spark, sf):
     log = table(spark, sf, "conversations").select(
-        F.col("role").alias("level"), F.substring("text", 1, 12).alias("message"), (F.col("turn") % 3).alias("timestamp"))
+        F.col("role").alias("level"), F.col("text").alias("message"), (F.col("turn") % 3).alias("timestamp"))
     return blocks.collapse_log(log)
 
 
@@ -277,6 +277,11 @@ def validation_gate_faulty(spark, sf):
     return validate.gate(faulty_groups(spark, sf))
 
 
+@query("validation_violations", ids="V5", views="v_events", sql=f"{_STRUCTURE} union all {_HYGIENE} union all {_LAYER} union all {_CONSISTENCY}")
+def validation_violations(spark, sf):
+    return validate.violations(faulty_groups(spark, sf))
+
+
 @query("validation_gate", ids="V5", views=CORR_VIEWS, sql=_GROUP_SQL + """
     select 'VALID' as status, cast(0 as bigint) as violations, count(*) as groups,
       concat('validation_summary=passed (', count(*), ' CORR_GROUPs validated)') as summary from g""")

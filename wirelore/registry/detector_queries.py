@@ -124,7 +124,7 @@ def statistical_outliers(spark, sf):
 
 
 @query("time_gaps", ids="D10", views="v_events", sql="""
-    select t, delta from (select t, t - lag(t) over (order by t) as delta from v_events) where delta > 0.1 order by t limit 100""")
+    select t, delta from (select t, t - lag(t) over (order by t) as delta from v_events) where delta > 0.1""")
 def time_gaps(spark, sf):
     return detect.time_gaps(view(spark, sf, "v_events"))
 

@@ -161,7 +161,7 @@ def _shown(patterns):
 @query("pattern_beaconing", ids="T1", views="v_events", sql="""
     with g as (select si, di, t - lag(t) over (partition by si, di order by t) as gap from v_events),
       s as (select si, di, count(gap) + 1 as n, avg(gap) as m, stddev_pop(gap) as sd from g group by all having count(gap) >= 4),
-      f as (select * from s where sd / m < 0.6 order by si, di limit 1)
+      f as (select * from s where sd / m < 0.6)
     select unnest(['beaconing', 'c2_pattern']) as pattern, 'HIGH' as confidence, concat('Connection: ', si, '->', di, ':None; Beacons: ', n,
       '; Interval: ', printf('%.1f', m), 's (±', printf('%.1f', sd), 's); Consistency: ', printf('%.1f', (1 - sd / m) * 100), '%') as evidence from f""")
 def pattern_beaconing(spark, sf):
@@ -170,7 +170,7 @@ def pattern_beaconing(spark, sf):
 
 
 @query("pattern_scan", ids="T2", views="v_events", sql="""
-    with s as (select si, count(distinct dp) as p, count(distinct di) as d from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 10 order by si limit 1)
+    with s as (select si, count(distinct dp) as p, count(distinct di) as d from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 10)
     select 'port_scan' as pattern, case when p > 50 then 'HIGH' else 'MEDIUM' end as confidence,
       concat('Source: ', si, '; Unique destinations: ', d, '; Unique ports: ', p) as evidence from s""")
 def pattern_scan(spark, sf):
@@ -192,6 +192,14 @@ def pattern_dns(spark, sf):
     select unnest(['tls_no_sni', 'tls_direct_ip']) as pattern, 'HIGH' as confidence, concat('TLS connections without SNI: ', (select count(*) from b),
       '; Destinations: ', (select string_agg(di, ', ' order by di) from d), '; JA3 fingerprints: ', (select string_agg(tls_ja3, ', ' order by tls_ja3) from j)) as evidence""")
 def pattern_tls(spark, sf):
+    return _shown(ttp.tls_pattern(view(spark, sf, "v_events"), destinations=5, fingerprints=3))
+
+
+@query("pattern_tls_destinations", ids="T4", views="v_events", sql="""
+    with b as (select di, tls_ja3, count(*) as n from v_events where pr = 'tls' and tls_sni is null and di is not null group by all)
+    select unnest(['tls_no_sni', 'tls_direct_ip']) as pattern, 'HIGH' as confidence, concat_ws('; ', 'TLS connections without SNI: ' || n, 'Destination: ' || di,
+      'JA3 fingerprint: ' || nullif(tls_ja3, '')) as evidence from b where (select sum(n) from b) > 3""")
+def pattern_tls_destinations(spark, sf):
     return _shown(ttp.tls_pattern(view(spark, sf, "v_events")))
 
 
@@ -209,7 +217,7 @@ _PATTERN_SQL = f"""
     with tt(indicator, technique_id, technique_name, tactic) as (values {_TECHNIQUE_VALUES}),
       n as (select count(*) filter (dp = 3389 or sp = 3389) as rdp, count(*) filter (dp = 22 or sp = 22) as ssh,
         count(*) filter (dp in (445, 139) or sp in (445, 139)) as smb, count(*) filter (pr = 'tls' and tls_sni is null) as bare from v_events),
-      s as (select count(distinct dp) as p from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 10 order by si limit 1),
+      s as (select count(distinct dp) as p from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 10),
       p as (select 'rdp' as pattern, 'MEDIUM' as confidence from n where rdp > 2 union all select 'ssh', 'MEDIUM' from n where ssh > 2
         union all select 'smb', 'MEDIUM' from n where smb > 2 union all select unnest(['tls_no_sni', 'tls_direct_ip']), 'HIGH' from n where bare > 3
         union all select 'port_scan', case when p > 50 then 'HIGH' else 'MEDIUM' end from s)"""

@@ -3,7 +3,6 @@ shared folder and reads them back through the source, or sends them through a si
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,16 +134,16 @@ def session_log_ecs_text(spark, sf):
         F.when(n % 10 == 3, "x").otherwise(F.coalesce("sp", F.lit(0)).cast("string")), F.col("di"), F.col("dp").cast("string"),
         F.col("transport"), F.when(n % 3 == 0, "-").otherwise(F.col("pr")), F.lit("1.5"),
         F.when(n % 5 == 0, "-").otherwise(F.col("bytes_sent").cast("string")), F.col("bytes_recv").cast("string"), F.col("conn_state")]
-    # Every part file begins with the separator line, as each file of a rotated log does.
-    lines = e.select(F.concat_ws("\t", *fields).alias("value")).mapInPandas(_with_header, "value string")
+    # Every part file begins with the header lines, as each file of a rotated log does.
+    parts = 4
+    lines = e.select(F.pmod("event_id", F.lit(parts)).alias("part"), F.lit(2).alias("place"), F.concat_ws("\t", *fields).alias("value"))
+    names = "#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tservice\tduration\torig_bytes\tresp_bytes\tconn_state"
+    heads = F.array(F.struct(F.lit(0).alias("place"), F.lit("#separator \\x09").alias("value")), F.struct(F.lit(1), F.lit(names)))
+    headed = spark.range(parts).select(F.col("id").alias("part"), F.explode(heads).alias("h")).select("part", "h.*").unionByName(lines)
+    lines = headed.repartitionByRange(parts, "part").sortWithinPartitions("part", "place").select("value")
     return _ecs(generic.load_file(spark, _written(lines, "conn", "text", ".log")), _SESSION_ECS_COLUMNS)
 
 
-def _with_header(batches):
-    yield pd.DataFrame({"value": ["#separator \\x09"]})
-    yield from batches
-
-
 def alert_lines(spark, sf) -> DataFrame:
     e = view(spark, sf, "v_events").filter("alert_msg is not null")
     head = F.concat(F.date_format("ts", "MM/dd-HH:mm:ss.SSSSSS"), F.lit(" [**] ["), F.col("alert_id"), F.lit("] "), F.col("alert_msg"), F.lit(" [**] "))
@@ -286,20 +285,18 @@ def table_export(spark, sf):
         "case when pr <> 'unknown' then " + _block_sql("'PROTO:' || upper(pr)", {
             "protocol": "pr", "risk_score": "cast(risk_score as varchar)", "osi_stack": "osi_stack", "dns_query": "dns", "tls_sni": "sni", "ja3": "ja3"}) + " end",
         "case when alert_id <> '' then " + _block_sql("'PROTO:IDS'", {"alert_id": "alert_id", "mitre_attack": "mitre_attack"}) + " end"]) + """], chr(10))) as text
-    from k where pr <> 'tcp'""")
+    from k""")
 def fused_group_export(spark, sf):
-    # TCP-only sightings are left out, as their protocol block has its own place in the order.
     from ..operators.correlate import group_text
 
     path = shared_folder(spark, "groups-text")
-    fused = fused_events(spark, sf).filter("`network.protocol` <> 'tcp'")
-    reports.export_groups(fused, path)
+    reports.export_groups(fused_events(spark, sf), path)
     text = spark.read.option("lineSep", "\n\n").text(path).select(F.rtrim(F.col("value")).alias("text")).filter("text <> ''")
     return text.select(F.regexp_extract("text", "corr_id=(\\S+)", 1).alias("corr_id"), "text")
 
 
 @query("intel_objects", ids="K7", views="v_events", sql=FUSED_SQL + """,
-      top as (select * from fused where risk_score > 0 order by risk_score desc, community_id limit 100)
+      top as (select * from fused where risk_score > 0 and si is not null and di is not null and bytes is not null)
     select 'network-traffic' as object_type, 'network-traffic--' || md5(community_id) as object_id, concat('{"type":"network-traffic","id":"network-traffic--', md5(community_id),
       '","start":"', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '","src":"', si, '","dst":"', di, '","protocols":["', pr, '"],"byte_count":', bytes, '}') as body from top
     union all select 'relationship', 'relationship--' || md5(community_id), concat('{"type":"relationship","relationship_type":"related-to","target_ref":"network-traffic--', md5(community_id),

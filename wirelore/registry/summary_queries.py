@@ -18,7 +18,7 @@ EVENT_COLUMNS = ["event_id", "t", "si", "di", "pr"]
 
 @query("event_query", ids="F1", views="v_events", sql="""
     select event_id, t, si, di, pr from v_events where t >= 1704500000 and t <= 1706000000 and si = '10.0.0.7'
-      and pr = 'http' order by t desc, event_id limit 10000""")
+      and pr = 'http'""")
 def event_query(spark, sf):
     found = filters.query_events(view(spark, sf, "v_events"), start=1704500000, end=1706000000, src="10.0.0.7",
                                  protocol="HTTP", tiebreak=["event_id"])
@@ -26,7 +26,7 @@ def event_query(spark, sf):
 
 
 @query("event_query_newest", ids="F1", views="v_events", sql="""
-    select event_id, t, si, di, pr from v_events order by t desc, event_id limit 10000""")
+    select event_id, t, si, di, pr from v_events""")
 def event_query_newest(spark, sf):
     return filters.query_events(view(spark, sf, "v_events"), tiebreak=["event_id"]).select(EVENT_COLUMNS)
 
@@ -75,9 +75,10 @@ def fusable_events(spark, sf):
 
 @query("top_volume_tenth", ids="F9", views="v_events", sql="""
     select event_id, bytes_sent from (select *, row_number() over (order by bytes_sent desc, event_id) as rn,
-      count(*) over () as n from v_events) where rn <= least(2000, n // 10 + 1)""")
+      count(*) over () as n from v_events) where rn <= n // 10 + 1""")
 def top_volume_tenth(spark, sf):
-    return filters.top_volume(view(spark, sf, "v_events").select("event_id", "bytes_sent"), "bytes_sent", ["event_id"])
+    rows = view(spark, sf, "v_events").select("event_id", "bytes_sent")
+    return filters.top_volume(rows, "bytes_sent", ["event_id"], rows.count() // 10 + 1)
 
 
 @query("top_volume_500", ids="F9", views="v_events", sql="""
@@ -242,7 +243,7 @@ def dashboard_cards(spark, sf):
     select * from (select pr as category, row_number() over (partition by pr order by event_id) as position,
       event_id as ref from v_events) where position <= 20""")
 def evidence_index(spark, sf):
-    return summary.evidence_index(view(spark, sf, "v_events"), F.col("pr"), "event_id").withColumn(
+    return summary.evidence_index(view(spark, sf, "v_events"), F.col("pr"), "event_id", 20).withColumn(
         "position", F.col("position").cast("long"))
 
 

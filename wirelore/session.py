@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,14 +35,21 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    The cluster names that folder; only a session without one (a laptop, a test) gets a
-    temporary folder.
+    The cluster names that folder. Only a session that runs in one process (a laptop, a test) may do without and
+    gets a temporary one; anywhere else a missing setting is an error, as executors don't see each other's disks. What
+    is written there is deleted when the session's file system closes.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not root:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="wirelore-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

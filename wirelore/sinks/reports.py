@@ -36,13 +36,15 @@ def export_groups(fused: DataFrame, path: str) -> dict:
     return verdict
 
 
-def intel_objects(fused: DataFrame, limit: int = 100) -> DataFrame:
-    """Traffic and relationship objects of the riskiest sightings (K7): (object_type, object_id, body).
+def intel_objects(fused: DataFrame, limit: int | None = None) -> DataFrame:
+    """Traffic and relationship objects of risky sightings (K7): (object_type, object_id, body).
 
-    Sightings without two IPv4 addresses or a byte count are skipped after the limit is taken.
+    Sightings need two addresses, of either IP version, and a byte count. ``limit`` keeps the riskiest.
     """
-    top = fused.filter(F.col("risk_score") > 0).orderBy(F.col("risk_score").desc(), c("network.community_id")).limit(limit)
-    usable = top.filter(is_ipv4(c("source.ip")) & is_ipv4(c("destination.ip")) & c("network.bytes").isNotNull())
+    address = lambda x: is_ipv4(c(x)) | c(x).contains(":")
+    usable = fused.filter((F.col("risk_score") > 0) & address("source.ip") & address("destination.ip") & c("network.bytes").isNotNull())
+    if limit is not None:
+        usable = usable.orderBy(F.col("risk_score").desc(), c("network.community_id")).limit(limit)
     key = F.md5(c("network.community_id"))
     traffic_id = F.concat(F.lit("network-traffic--"), key)
     traffic = F.to_json(F.struct(
@@ -58,7 +60,7 @@ def intel_objects(fused: DataFrame, limit: int = 100) -> DataFrame:
     return usable.select(F.explode(objects).alias("o")).select("o.*")
 
 
-def export_intel(fused: DataFrame, path: str, limit: int = 100) -> None:
+def export_intel(fused: DataFrame, path: str, limit: int | None = None) -> None:
     intel_objects(fused, limit).select("body").write.mode("overwrite").text(path)
 
 

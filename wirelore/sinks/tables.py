@@ -17,12 +17,13 @@ EVENT_TABLES = ["events", "purified_events", "toon_events", "assets", "reputatio
 def append_events(events: DataFrame, path: str) -> int:
     """Append normalised events partitioned by UTC date and return how many (K1).
 
-    The count is taken while writing. A later time filter on ``event_date`` prunes folders.
+    The count is taken while writing. Rows are rebalanced by date first: a date is written by few tasks, and
+    Spark splits a busy one. A later time filter on ``event_date`` prunes folders.
     """
     written = Observation("events")
     dated = events.select(EVENT_SCHEMA.fieldNames()).withColumn("event_date", F.to_date(F.timestamp_micros((F.col("t") * 1e6).cast("long"))))
     counted = dated.observe(written, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("append").partitionBy("event_date").parquet(path)
+    counted.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
     return written.get["rows"]
 
 

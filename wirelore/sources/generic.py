@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import c
 from ..operators.normalize import align
-from .sessions import first_line, read_sessions_as_ecs
+from .sessions import read_sessions_as_ecs, session_files
 
 # Header words of the ECS fields.
 ALIASES = {
@@ -22,7 +23,6 @@ ALIASES = {
     "network.transport": ["proto", "protocol", "transport", "prototype"],
     "network.bytes": ["bytes", "size", "length", "orig_bytes", "resp_bytes", "octets", "traffic"],
 }
-SAMPLE = 20
 
 
 def _plain(name: str) -> str:
@@ -43,38 +43,23 @@ def map_headers(columns: Sequence[str]) -> dict[str, str]:
     return mapping
 
 
-def sample_values(df: DataFrame, columns: Sequence[str], size: int = SAMPLE) -> dict[str, list[str]]:
-    """The first non-null values of each column, at most ``size`` per column, in one job."""
-    out: dict[str, list[str]] = {x: [] for x in columns}
-    parts = None
-    for name in columns:
-        part = df.filter(c(name).isNotNull()).select(F.lit(name).alias("n"), c(name).cast("string").alias("v")).limit(size)
-        parts = part if parts is None else parts.unionByName(part)
-    for row in parts.collect() if parts is not None else []:
-        out[row["n"]].append(row["v"])
-    return out
-
-
-def _is_port(value: str) -> bool:
-    try:
-        return 0 <= float(value) <= 65535
-    except ValueError:
-        return False
-
-
 def discover(df: DataFrame) -> dict[str, str]:
-    """Header words, then content: dotted quads are addresses, small numbers are ports."""
+    """Header words, then content (P9): a column whose values are all dotted quads holds addresses, one whose values are
+    all small numbers holds ports. All values are tested, in one aggregate."""
     mapping = map_headers(df.columns)
     open_columns = [x for x in df.columns if x not in mapping]
-    samples = sample_values(df, open_columns)
-    tests = [
-        (("source.ip", "destination.ip"), lambda v: re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", v) is not None),
-        (("source.port", "destination.port"), _is_port),
-    ]
-    for targets, test in tests:
-        for name in open_columns:
+    if not open_columns:
+        return mapping
+    text = {x: c(x).cast("string") for x in open_columns}
+    number = {x: text[x].try_cast("double") for x in open_columns}
+    counts = []
+    for i, x in enumerate(open_columns):
+        counts += [F.count(c(x)).alias(f"n{i}"), F.count_if(text[x].rlike(r"^\d{1,3}(\.\d{1,3}){3}$")).alias(f"ip{i}"), F.count_if(number[x].between(0, 65535)).alias(f"port{i}")]
+    row = df.agg(*counts).first()
+    for kind, targets in (("ip", ("source.ip", "destination.ip")), ("port", ("source.port", "destination.port"))):
+        for i, name in enumerate(open_columns):
             free = [x for x in targets if x not in mapping.values()]
-            if free and name not in mapping and samples[name] and all(test(v) for v in samples[name]):
+            if free and name not in mapping and row[f"n{i}"] and row[f"{kind}{i}"] == row[f"n{i}"]:
                 mapping[name] = free[0]
     return mapping
 
@@ -93,7 +78,7 @@ def _as_events(raw: DataFrame, tag: str, default_risk: int) -> DataFrame:
     return align(named.withColumn("data.source", F.lit(tag)))
 
 
-def read_unknown_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_unknown_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S7."""
     return _as_events(spark.read.option("header", True).csv(path), "csv_mystery", default_risk=0)
 
@@ -110,7 +95,7 @@ def load_parquet(spark: SparkSession, path: str, table_path: str, append: bool =
 
 
 def load_file(spark: SparkSession, path: str) -> DataFrame:
-    """Read a file by its extension; a ``.log`` file is told apart by its first line."""
+    """Read files by their extension (S10). Files of a ``.log`` path are told apart one by one: session logs, or unknown CSV."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         return read_unknown_csv(spark, path)
@@ -119,6 +104,8 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
     if kind in ("json", "ndjson"):
         return read_unknown_json(spark, path)
     if kind == "log":
-        start = first_line(spark, path)
-        return read_sessions_as_ecs(spark, path) if start.startswith(("#separator", '{"')) else read_unknown_csv(spark, path)
+        session, other = session_files(spark, path)
+        parts = [read_sessions_as_ecs(spark, session)] if session else []
+        parts += [read_unknown_csv(spark, other or path)] if other or not session else []
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     raise ValueError(f"unsupported file format: {kind}")
