@@ -15,7 +15,7 @@ from ..sinks import reports, tables
 from ..sources import alerts, generic, packets, sessions, warehouse
 from .core import query
 from .correlation_queries import _ECS_FLOW, ISO, _block_sql
-from .enrich_queries import FUSED_SQL, ecs_events, fused_events
+from .enrich_queries import _PATTERN_SQL, FUSED_SQL, ecs_events, fused_events
 from .ioc_queries import BY_TICKET, USED, cases, logs
 from .views import table, view
 
@@ -138,7 +138,7 @@ def session_log_ecs_text(spark, sf):
     parts = 4
     lines = e.select(F.pmod("event_id", F.lit(parts)).alias("part"), F.lit(2).alias("place"), F.concat_ws("\t", *fields).alias("value"))
     names = "#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tservice\tduration\torig_bytes\tresp_bytes\tconn_state"
-    heads = F.array(F.struct(F.lit(0).alias("place"), F.lit("#separator \\x09").alias("value")), F.struct(F.lit(1), F.lit(names)))
+    heads = F.array(F.struct(F.lit(0).alias("place"), F.lit("#separator \\x09").alias("value")), F.struct(F.lit(1).alias("place"), F.lit(names).alias("value")))
     headed = spark.range(parts).select(F.col("id").alias("part"), F.explode(heads).alias("h")).select("part", "h.*").unionByName(lines)
     lines = headed.repartitionByRange(parts, "part").sortWithinPartitions("part", "place").select("value")
     return _ecs(generic.load_file(spark, _written(lines, "conn", "text", ".log")), _SESSION_ECS_COLUMNS)
@@ -305,11 +305,11 @@ def intel_objects(spark, sf):
     return reports.intel_objects(fused_events(spark, sf))
 
 
-@query("machine_report", ids="K8", views="v_events", sql="""
-    with s as (select si from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 15),
+@query("machine_report", ids="K8", views="v_events", sql=_PATTERN_SQL.replace("s as (", "ps as (").replace("from s)", "from ps)") + """,
+      s as (select si from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 15),
       d as (select list_extract(string_split(dns_query, '.'), -2) as l from v_events where pr = 'dns' group by 1 having count(*) > 20)
-    select count(*) as total_events, 5 as ttps_detected, (select count(*) from s) + (select count(*) from d)
-      + (count(*) filter (pr = 'icmp') > 10 and count(*) filter (pr = 'icmp') / count(*) > 0.05)::int as anomalies_found, 20 as sample_size,
+    select count(*) as total_events, (select count(*) from p join tt on pattern = indicator)::integer as ttps_detected, (select count(*) from s) + (select count(*) from d)
+      + (count(*) filter (pr = 'icmp') > 10 and count(*) filter (pr = 'icmp') / count(*) > 0.05)::int as anomalies_found, least(20, count(*))::integer as sample_size,
       max(t) as newest from v_events""")
 def machine_report(spark, sf):
     report = reports.machine_report(view(spark, sf, "v_events"))

@@ -89,7 +89,10 @@ def machine_report(events: DataFrame, history: DataFrame | None = None, sample:
 
 
 def export_machine_report(events: DataFrame, path: str, **options) -> None:
+    """The report as one row, and next to it every finding of the detectors."""
     machine_report(events, **options).write.mode("overwrite").json(path)
+    thresholds = {k: v for k, v in options.items() if k not in ("history", "sample")}
+    detect.all_detectors(events, **thresholds).write.mode("overwrite").json(f"{path.rstrip('/')}-findings")
 
 
 def export_ticket_reports(logs: Mapping[str, DataFrame], tickets: DataFrame, path: str, hours: int = 24) -> None:
