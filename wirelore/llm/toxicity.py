@@ -41,7 +41,7 @@ _SIGNS = str.maketrans("013457@$!|", "oieastasil")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _HIDDEN = re.compile(r"(?<!\w)[A-Za-z@$][A-Za-z]*(?:[0-9@$!|*._-]+[A-Za-z]+)+(?!\w)|(?<!\w)(?:[A-Za-z][ ._*-]){3,}[A-Za-z](?!\w)")
 _DROPPED = re.compile(r"[ ._*-]+")
-FEATURES = ("words", "listed", "listed_log", "listed_kinds", "learned", "learned_log", "learned_kinds", "near_you", "you", "capitals",
+FEATURES = ("listed", "listed_log", "listed_kinds", "learned", "learned_log", "learned_kinds", "near_you", "you", "capitals",
             "capital_words", "exclaim", "question", "repeated_marks", "signs", "digits", "hidden", "hidden_listed")
 _REPEATED = re.compile(r"[!?]{2,}")
 
@@ -68,7 +68,7 @@ def features(text: str, learned: frozenset[str]) -> list[float]:
     hidden = [_DROPPED.sub("", h.lower()).translate(_SIGNS) for h in _HIDDEN.findall(text)]
     signs = int(counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum())
     return [
-        math.log1p(n), len(listed) / n, math.log1p(len(listed)), len({low[i] for i in listed}), len(other) / n, math.log1p(len(other)),
+        len(listed) / n, math.log1p(len(listed)), len({low[i] for i in listed}), len(other) / n, math.log1p(len(other)),
         len({low[i] for i in other}), near / n, len(you) / n, int(counts[65:91].sum()) / letters,
         sum(1 for w in words if len(w) > 2 and w.isupper()) / n, int(counts[33]) / size, int(counts[63]) / size,
         len(_REPEATED.findall(text)) / n, signs / size, int(counts[48:58].sum()) / size, len(hidden) / n,
@@ -87,8 +87,8 @@ def _with_features(docs: DataFrame, learned: frozenset[str]) -> DataFrame:
     return docs.mapInPandas(scan, f"{kept}, features array<double>").withColumn("features", array_to_vector("features"))
 
 
-def learned_words(sample: DataFrame, limit: int = LEARNED, least: int = 3) -> frozenset[str]:
-    """Words whose share of toxic documents stands out most (log-odds with a prior, five standard errors)."""
+def learned_words(sample: DataFrame, limit: int = LEARNED, least: int = 5) -> frozenset[str]:
+    """Words whose share of toxic documents stands out most (log-odds with a prior, four standard errors)."""
     totals = sample.groupBy("label").count().collect()
     size = {int(r["label"]): r["count"] for r in totals}
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})")))).alias("word")
@@ -97,7 +97,7 @@ def learned_words(sample: DataFrame, limit: int = LEARNED, least: int = 3) -> fr
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     c, d = F.lit(size[1] + 1.0) - a, F.lit(size[0] + 1.0) - b
     z = F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    top = seen.select("word", z.alias("z")).filter("z > 5").orderBy(F.desc("z"), "word").limit(limit)
+    top = seen.select("word", z.alias("z")).filter("z > 4").orderBy(F.desc("z"), "word").limit(limit)
     return frozenset(r["word"] for r in top.collect())
 
 
