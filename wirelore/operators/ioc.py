@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import c, optional, ratio
 from ..functions.layers import table_protocol
+from ..session import cut_lineage
 
 # Where each kind of indicator is looked for: log table, column, reported field, way of matching.
 MATCH_RULES = [
@@ -110,29 +111,39 @@ def _grams(text: Column, length: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, length)))
 
 
-def needle_anchors(needles: DataFrame) -> DataFrame:
-    """One short substring per needle that a text must contain: the one shared by the fewest needles."""
+def needle_anchors(needles: DataFrame, text_grams: DataFrame) -> DataFrame:
+    """One short substring per needle that a text must contain: the one that occurs in the fewest texts."""
     grams = needles.select(
         "kind", "needle", F.explode(_grams(F.col("needle"), F.least(F.length("needle"), F.lit(GRAM)))).alias("gram"))
-    shared = grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("_n"))
-    best = F.min(F.struct("_n", "gram")).alias("_best")
-    return grams.join(shared, ["kind", "gram"]).groupBy("kind", "needle").agg(best).select(
-        "kind", "needle", F.col("_best.gram").alias("gram"))
+    wanted = grams.select("kind", "gram").distinct()
+    seen = text_grams.join(wanted, ["kind", "gram"], "left_semi").groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_best")
+    found = grams.join(seen, ["kind", "gram"], "left").groupBy("kind", "needle").agg(best)
+    return found.filter("_best.n > 0").select("kind", "needle", F.col("_best.gram").alias("gram"))
 
 
 def contains_join(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(kind, text, needle) for every needle that occurs in a distinct text of its kind.
 
-    Needles and texts meet on an anchor substring, so only texts that hold the anchor are tested;
-    no text is compared with every needle and no needle count is too large.
+    Needles and texts meet on an anchor substring, so only texts that hold the anchor are tested; no text is compared
+    with every needle. The anchor is the piece that is rarest in the texts, and a text is known by its number until
+    it has met a needle, so its pieces don't carry it along.
     """
-    distinct = texts.filter(F.length("text") > 0).distinct()
     needles = needles.filter(F.length("needle") > 0).distinct()
+    numbered = texts.filter(F.length("text") > 0).distinct().withColumn("_id", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered, "searched-texts")
     lengths = needles.agg(F.collect_set(F.least(F.length("needle"), F.lit(GRAM)))).scalar()  # at most GRAM values
-    sized = distinct.select("kind", "text", F.explode(lengths).alias("_length"))
-    grams = sized.select("kind", "text", F.explode(_grams(F.col("text"), F.col("_length"))).alias("gram"))
-    met = grams.join(needle_anchors(needles), ["kind", "gram"])
-    return met.filter(F.col("text").contains(F.col("needle"))).select("kind", "text", "needle")
+    sized = numbered.select("kind", "_id", "text", F.explode(lengths).alias("_length"))
+    grams = sized.select("kind", "_id", F.explode(_grams(F.col("text"), F.col("_length"))).alias("gram"))
+    met = grams.join(needle_anchors(needles, grams), ["kind", "gram"]).select("_id", "needle")
+    return numbered.join(met, "_id").filter(F.col("text").contains(F.col("needle"))).select("kind", "text", "needle")
+
+
+def within_any_window(logs: Mapping[str, DataFrame], tickets: DataFrame, hours: int = 24) -> dict[str, DataFrame]:
+    """Log rows between the first ticket's window start and the last one's end; the bounds are read before the logs are."""
+    half = F.make_dt_interval(hours=F.lit(hours))
+    low, high = tickets.agg(F.min("t0") - half).scalar(), tickets.agg(F.max("t0") + half).scalar()
+    return {name: df.filter((F.col("ts") >= low) & (F.col("ts") <= high)) for name, df in logs.items()}
 
 
 def sightings(logs: Mapping[str, DataFrame], indicators: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.text import is_mac_address
 from .blocks import LOW_LAYER_KEY
 from .correlate import CONFIDENCES, LEVELS
 
+# Tokens and phrases of the rules.
 PLACEHOLDER_VALUES = ["-", "N/A", "unknown"]
 LOW_LAYER_PHRASES = ["layer 1", "layer 2", "l1", "l2", "physical layer", "data link"]
 
@@ -122,7 +123,10 @@ def violations(groups: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def gate(groups: DataFrame, strict: bool = False) -> DataFrame:
-    """One row: status, number of violations and summary (V5). No group at all is a violation."""
+    """One row: status, number of violations and summary (V5). No group at all is a violation.
+
+    The checks read ``groups`` several times: hand in a written table. ``violations`` lists what was found.
+    """
     n = groups.agg(F.count(F.lit(1))).scalar()
     found = violations(groups, strict).agg(F.count(F.lit(1)).alias("found"))
     counted = found.select((F.col("found") + F.when(n == 0, 1).otherwise(0)).alias("violations"), n.alias("groups"))

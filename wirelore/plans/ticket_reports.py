@@ -61,7 +61,8 @@ def ticket_reports(logs: Mapping[str, DataFrame], tickets: DataFrame, hours: int
     """
     window = ["ioc_type", "ioc_value", "t0"]
     distinct_windows = tickets.select(window).distinct()
-    sighted = ioc.in_ticket_windows(ioc.sightings(logs, tickets), distinct_windows, hours, keep=["t0"])
+    near = ioc.within_any_window(logs, distinct_windows, hours)
+    sighted = ioc.in_ticket_windows(ioc.sightings(near, tickets), distinct_windows, hours, keep=["t0"])
     features = window_features(cut_lineage(sighted, "sightings"), window)
     base = history.history_without_self(tickets)
     joined = rules.map_techniques(base.join(features, window, "left"))

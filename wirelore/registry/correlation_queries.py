@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..operators import blocks, correlate, validate
 from .core import query
 from .enrich_queries import FUSED_SQL, ecs_events, fused_events
@@ -286,4 +287,4 @@ def validation_violations(spark, sf):
     select 'VALID' as status, cast(0 as bigint) as violations, count(*) as groups,
       concat('validation_summary=passed (', count(*), ' CORR_GROUPs validated)') as summary from g""")
 def validation_gate(spark, sf):
-    return validate.gate(groups(spark, sf))
+    return validate.gate(cut_lineage(groups(spark, sf), "groups"))

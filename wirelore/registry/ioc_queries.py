@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ioc
+from ..sources import warehouse
 from .core import query
 from .views import view
 
@@ -70,21 +73,48 @@ BY_TICKET = FOUND + (", w as (select c.ticket_id, f.* from found f join v_cases
     select 'dns.query' as matched_field, query as value, count(*) as events from v_log_dns where query = 'd7.example.com' or query like '%.d7.example.com' group by all
     union all select 'http.host', host, count(*) from v_log_http where host = 'd7.example.com' or host like '%.d7.example.com' group by all
     union all select 'http.uri', uri, count(*) from v_log_http where contains(uri, '/p/4') group by all
-    union all select 'smtp.rcptto', rcptto, count(*) from v_log_smtp where contains(rcptto, 'a17@corp.org') group by all""")
+    union all select 'smtp.rcptto', rcptto, count(*) from v_log_smtp where contains(rcptto, 'a17@corp.org') group by all
+    union all select 'smtp.mailfrom', mailfrom, count(*) from v_log_smtp where mailfrom like 'u%@d7.example.com' and mailfrom = 'u7@d7.example.com' group by all
+    union all select 'http.user_agent', user_agent, count(*) from v_log_http where user_agent = 'agent/3' group by all
+    union all select 'src_ip', orig_h, count(*) from v_log_dns where orig_h = '10.0.0.7' group by all
+    union all select 'dst_ip', resp_h, count(*) from v_log_dns where resp_h = '172.16.0.7' group by all
+    union all select 'files.md5', md5(uri), count(*) from v_log_http where md5(uri) = md5('/p/4?u=4') group by all
+    union all select 'files.sha256', sha256(uri), count(*) from v_log_http where sha256(uri) = sha256('/p/4?u=4') group by all""")
 def ioc_predicates(spark, sf):
     tables, out = logs(spark, sf), None
-    for kind, value, table in (("domain", "d7.example.com", "dns"), ("domain", "d7.example.com", "http"),
-                               ("url", "/p/4", "http"), ("email", "a17@corp.org", "smtp")):
+    # Files are the resources of the web log, known by their digests.
+    tables["files"] = tables["http"].select(F.md5("uri").alias("md5"), F.sha1("uri").alias("sha1"), F.sha2("uri", 256).alias("sha256"))
+    digest = {name: getattr(hashlib, name)(b"/p/4?u=4").hexdigest() for name in ("md5", "sha1", "sha256")}
+    wanted = [
+        ("domain", "d7.example.com", "dns"), ("domain", "d7.example.com", "http"), ("url", "/p/4", "http"), ("email", "a17@corp.org", "smtp"),
+        ("email", "u7@d7.example.com", "smtp"), ("user_agent", "agent/3", "http"), ("ip", "10.0.0.7", "dns"), ("ip", "172.16.0.7", "dns"),
+        ("md5", digest["md5"], "files"), ("sha256", digest["sha256"], "files")]
+    for kind, value, table in wanted:
         df = tables[table]
         for field, condition in ioc.ioc_predicates(kind, value, table, df.columns):
-            if field == "smtp.mailfrom":
-                continue
-            part = df.filter(condition).groupBy(F.col(field.split(".")[1]).alias("value")).agg(
+            part = df.filter(condition).groupBy(F.col(field.split(".")[-1]).alias("value")).agg(
                 F.count("*").alias("events")).withColumn("matched_field", F.lit(field))
             out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("warehouse_log_tables", ids="S11 S12", views="v_log_conn v_log_dns v_log_smtp", sql="""
+    select 'conn' as log_type, orig_h as src_ip, count(*) as events from v_log_conn group by all
+    union all select 'dns', orig_h, count(*) from v_log_dns group by all union all select 'smtp', orig_h, count(*) from v_log_smtp where orig_h = '10.0.0.7' group by all""")
+def warehouse_log_tables(spark, sf):
+    """Log tables found in the catalog by name, a missing one left out; one of them narrowed down to a ticket's rows."""
+    for name in ("conn", "dns", "smtp"):
+        view(spark, sf, f"v_log_{name}").withColumnRenamed("orig_h", "id_orig_h").createOrReplaceTempView(f"store_{name}")
+    found = warehouse.log_tables(spark, ["store_conn", "store_dns", "store_smtp", "store_telnet"])
+    of_ticket = found["store_smtp"].withColumn("ticket_id", F.col("src_ip"))
+    found["store_smtp"] = warehouse.ids_results_of_ticket(of_ticket, "10.0.0.7")
+    out = None
+    for name, df in found.items():
+        part = df.groupBy("src_ip").agg(F.count("*").alias("events")).withColumn("log_type", F.lit(name.removeprefix("store_")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("ioc_sightings", ids="J4", views=USED, sql=FOUND + """
     select ioc_type, ioc_value, log_type, matched_field, count(*) as sightings, count(distinct src_ip) as distinct_src,
       count(distinct dst_ip) as distinct_dst, min(ts) as first_seen, max(ts) as last_seen from found group by all""")

@@ -12,7 +12,7 @@ from ..functions.columns import c
 from ..operators import detect, ttp
 from ..operators.blocks import transform_batch
 from ..operators.correlate import group_text, merge_groups, with_correlation
-from ..operators.validate import gate
+from ..operators.validate import gate, violations
 from ..plans.ticket_reports import ticket_reports
 from ..session import cut_lineage
 
@@ -31,7 +31,8 @@ def export_groups(fused: DataFrame, path: str) -> dict:
     groups = cut_lineage(correlated_groups(fused), "groups")
     verdict = gate(groups).first().asDict()
     if verdict["status"] != "VALID":
-        raise ValueError(f"correlation groups are invalid: {verdict['violations']} violations")
+        first = [f"{v.corr_id} {v.place}: {v.violation}" for v in violations(groups).limit(5).collect()]
+        raise ValueError(f"correlation groups are invalid: {verdict['violations']} violations, among them {first}")
     group_text(groups).select("text").write.mode("overwrite").option("lineSep", "\n\n").text(path)
     return verdict
 
