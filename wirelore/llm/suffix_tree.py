@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .tables import id_and_text, id_bucket
 
-SHARE = 2.0**-14
+SHARE = 1 / 60_000
 ENTRY_SHARE = 2.0**-21
 DEPTH = 3
 GAIN = 0.01
@@ -43,6 +43,7 @@ SMOOTH = 0.1
 RARE, END = 0, 1  # symbols; frequent words follow
 _BITS = 16
 _FLUSH = 300_000
+_SLICE = 1_000_000  # symbols worked on at once
 
 
 def words_of(text: str) -> list[bytes]:
@@ -157,12 +158,14 @@ def _level(rows: DataFrame, depth: int, allowed: np.ndarray | None, least: int)
                     key = key[contexts[at] == context] if len(contexts) else key[:0]
                 waiting.append(key)
                 size += len(key)
-            if size >= 4_000_000:
+            if size >= _SLICE:
                 keys, counts = merge()
                 waiting, size = [], 0
+                if len(keys) >= _SLICE:  # enough in memory; Spark adds the parts up
+                    yield pd.DataFrame({"key": keys.view(np.int64), "n": counts})
+                    keys, counts = keys[:0], counts[:0]
         keys, counts = merge()
-        for at in range(0, len(keys), 100_000):
-            yield pd.DataFrame({"key": keys[at:at + 100_000].view(np.int64), "n": counts[at:at + 100_000]})
+        yield pd.DataFrame({"key": keys.view(np.int64), "n": counts})
 
     counted = rows.filter("not held_out").select("symbols").mapInPandas(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     # What comes back is bounded: at most tokens / least keys.
@@ -251,6 +254,21 @@ def grow(root: np.ndarray, symbol_counts: np.ndarray, counted: list[pd.DataFrame
     return Tree(root, out)
 
 
+def _sums(model: Tree, texts: list[np.ndarray], depth: int) -> np.ndarray:
+    """log10 probability of each text. All are put in one array, each after a gap of symbols that are in no context."""
+    gap = np.full(depth, (1 << _BITS) - 1, np.uint16)
+    flat = np.concatenate([x for t in texts for x in (gap, t)])
+    history = np.zeros(len(flat) - depth, np.uint64)
+    for i in range(depth):
+        history = (history << np.uint64(_BITS)) | flat[i:i + len(history)].astype(np.uint64)
+    symbol = flat[depth:]
+    real = symbol != (1 << _BITS) - 1
+    score = np.zeros(len(symbol))
+    score[real] = np.log10(model.probability(history[real], symbol[real]))
+    own = np.repeat(np.arange(len(texts)), [len(t) + depth for t in texts])[depth:]
+    return np.bincount(own, score, len(texts))
+
+
 def _scored(rows: DataFrame, tree: Tree) -> DataFrame:
     """row, doc_id, held_out, symbol_score: log10 probability of the symbol sequence."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
@@ -259,19 +277,13 @@ def _scored(rows: DataFrame, tree: Tree) -> DataFrame:
         model: Tree = shared.value
         depth = len(model.levels)
         for batch in batches:
-            # All texts of a batch in one array, each after a gap of symbols that are in no context.
             texts = [np.frombuffer(raw, np.uint16) for raw in batch["symbols"]]
-            gap = np.full(depth, (1 << _BITS) - 1, np.uint16)
-            flat = np.concatenate([x for t in texts for x in (gap, t)]) if texts else gap
-            history = np.zeros(len(flat) - depth, np.uint64)
-            for i in range(depth):
-                history = (history << np.uint64(_BITS)) | flat[i:i + len(history)].astype(np.uint64)
-            symbol = flat[depth:]
-            score = np.zeros(len(symbol))
-            own = np.repeat(np.arange(len(texts)), [len(t) + depth for t in texts])[depth:]
-            real = symbol != (1 << _BITS) - 1
-            score[real] = np.log10(model.probability(history[real], symbol[real]))
-            yield batch[["row"]].assign(symbol_score=np.bincount(own, score, len(texts)))
+            slices = np.cumsum([len(t) + depth for t in texts]) // _SLICE
+            total = np.zeros(len(texts))
+            for k in np.unique(slices):
+                part = np.flatnonzero(slices == k)
+                total[part] = _sums(model, [texts[i] for i in part], depth)
+            yield batch[["row"]].assign(symbol_score=total)
 
     return rows.select("row", "symbols").mapInPandas(scan, "row long, symbol_score double")
 
