@@ -48,25 +48,57 @@ class RowFacts:
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def with_blocks(df: DataFrame, parts: Sequence[tuple[Column | str, Mapping[str, Column]]]) -> DataFrame:
-    """Add ``blocks`` from (type, facts) pairs; a block without facts or without a type is left out.
+Part = tuple[Column | str, Mapping[str, Column]]
 
-    The facts are computed in a step of their own, so that the block expressions only refer to them.
-    """
-    fields = []
+
+def filled(part: Part) -> Column:
+    kind, facts = part
+    filled = F.coalesce(*facts.values()).isNotNull()
+    return filled if isinstance(kind, str) else kind.isNotNull() & filled
+
+
+def fact_of(parts: Sequence[Part], kind: str, *keys: str) -> Column:
+    """A fact of the last block of a kind, straight from the columns it would be made of."""
+    chain = None
+    for part in reversed(parts):
+        name, facts = part
+        values = [F.nullif(facts[k], F.lit("")) for k in keys if k in facts]
+        if isinstance(name, str) and name != kind:
+            continue
+        hit = filled(part) if isinstance(name, str) else F.coalesce(name == kind, F.lit(False)) & filled(part)
+        value = F.coalesce(*values) if values else F.lit(None).cast("string")
+        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
+    return F.lit(None).cast("string") if chain is None else chain
+
+
+def staged_facts(df: DataFrame, parts: Sequence[Part]) -> tuple[DataFrame, list[Part]]:
+    """The facts as a struct column of their own, worked out once, and the parts in terms of it."""
+    fields, staged = [], []
     for i, (kind, facts) in enumerate(parts):
-        fields.append((F.lit(kind) if isinstance(kind, str) else kind).alias(f"k{i}"))
+        if not isinstance(kind, str):
+            fields.append(kind.alias(f"k{i}"))
         fields.extend(value.alias(f"f{i}_{j}") for j, value in enumerate(facts.values()))
-    staged = computed(df, "_facts", F.struct(*fields))
+        named = {k: F.col(f"_facts.f{i}_{j}") for j, k in enumerate(facts)}
+        staged.append((kind if isinstance(kind, str) else F.col(f"_facts.k{i}"), named))
+    return computed(df, "_facts", F.struct(*fields)), staged
+
+
+def add_blocks(df: DataFrame, parts: Sequence[Part]) -> DataFrame:
+    """``blocks`` from staged (type, facts) pairs; a block without facts or without a type is left out."""
     blocks = []
-    for i, (_, facts) in enumerate(parts):
-        kind, values = F.col(f"_facts.k{i}"), [F.col(f"_facts.f{i}_{j}") for j in range(len(facts))]
-        pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in zip(facts, values)])
+    for part in parts:
+        kind, facts = part
+        pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in facts.items()])
         kept = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
-        filled = kind.isNotNull() & F.coalesce(*values).isNotNull()
-        blocks.append(F.when(filled, F.struct(kind.alias("type"), kept.alias("kv"))))
+        name = F.lit(kind) if isinstance(kind, str) else kind
+        blocks.append(F.when(filled(part), F.struct(name.alias("type"), kept.alias("kv"))))
     listed = F.filter(F.array(*blocks), lambda b: b.isNotNull()).cast(BLOCKS_TYPE)
-    return computed(staged, "blocks", listed).drop("_facts")
+    return computed(df, "blocks", listed).drop("_facts")
+
+
+def with_blocks(df: DataFrame, parts: Sequence[Part]) -> DataFrame:
+    """Add ``blocks`` from (type, facts) pairs."""
+    return add_blocks(*staged_facts(df, parts))
 
 
 def drop_low_layers(df: DataFrame) -> DataFrame:
@@ -85,7 +117,7 @@ PACKET_BLOCKS = {
 }
 
 
-def packet_blocks(df: DataFrame) -> DataFrame:
+def packet_parts(df: DataFrame) -> list[Part]:
     """Packet rows: META, FLOW and one block per protocol with facts."""
     row = RowFacts(drop_low_layers(df))
     parts = [
@@ -100,7 +132,7 @@ def packet_blocks(df: DataFrame) -> DataFrame:
         if protocol == "ip":
             kind = F.when(row.get("ipv6.flow").isNotNull(), "PROTO:IPV6").otherwise("PROTO:IP")
         parts.append((kind, {x.removeprefix(f"{protocol}."): row.get(x) for x in columns}))
-    return with_blocks(df, parts)
+    return parts
 
 
 def _protocol_type(name: Column) -> Column:
@@ -108,10 +140,10 @@ def _protocol_type(name: Column) -> Column:
     return F.concat(F.lit("PROTO:"), F.upper(name))
 
 
-def session_blocks(df: DataFrame) -> DataFrame:
+def session_parts(df: DataFrame) -> list[Part]:
     """Session-log rows: META with the uid, FLOW with duration and bytes, PROTO:service (P25)."""
     row = RowFacts(df)
-    return with_blocks(df, [
+    return [
         ("META", {"ts": row.get("ts"), "zeek_uid": row.get("uid")}),
         ("FLOW", {
             "src_ip": row.get("id.orig_h"), "dst_ip": row.get("id.resp_h"), "src_port": row.get("id.orig_p"),
@@ -120,7 +152,7 @@ def session_blocks(df: DataFrame) -> DataFrame:
         (_protocol_type(row.get("service")), {
             "service": row.get("service"), "conn_state": row.get("conn_state"), "orig_pkts": row.get("orig_pkts"),
             "resp_pkts": row.get("resp_pkts")}),
-    ])
+    ]
 
 
 def _ecs_flow(row: RowFacts, **more: Column) -> dict[str, Column]:
@@ -129,32 +161,49 @@ def _ecs_flow(row: RowFacts, **more: Column) -> dict[str, Column]:
         "dst_port": row.get("destination.port"), "proto": row.get("network.transport"), **more}
 
 
-def alert_blocks(df: DataFrame) -> DataFrame:
+def alert_parts(df: DataFrame) -> list[Part]:
     """IDS alerts: META, FLOW, PROTO:IDS."""
     row = RowFacts(df)
-    return with_blocks(df, [
+    return [
         ("META", {"ts": row.get("@timestamp"), "alert_id": row.get("alert_id")}),
         ("FLOW", _ecs_flow(row)),
         ("PROTO:IDS", {
             "alert_id": row.get("alert_id"), "alert_message": row.get("alert.message"),
             "signature_id": row.get("alert.signature_id"), "severity": row.get("alert.severity"), "risk_score": row.get("risk_score")}),
-    ])
+    ]
 
 
-def fused_blocks(df: DataFrame) -> DataFrame:
+def fused_parts(df: DataFrame) -> list[Part]:
     """Fused sightings: META with the flow id, FLOW with bytes, one protocol block, IDS if there was an alert."""
     row = RowFacts(df)
     protocol, alert = row.get("network.protocol"), row.get("alert_id")
-    return with_blocks(df, [
+    return [
         ("META", {"ts": row.get("@timestamp"), "community_id": row.get("network.community_id")}),
         ("FLOW", _ecs_flow(row, bytes=row.get("network.bytes"))),
         (_protocol_type(protocol), {
             "protocol": protocol, "risk_score": row.get("risk_score"), "osi_stack": row.get("osi_stack"),
             "dns_query": row.get("dns.question.name"), "tls_sni": row.get("tls.client.server_name"), "ja3": row.get("tls.handshake.ja3")}),
         (F.when(alert.isNotNull(), "PROTO:IDS"), {"alert_id": alert, "mitre_attack": row.get("mitre_attack")}),
-    ])
+    ]
+
+
+def packet_blocks(df: DataFrame) -> DataFrame:
+    return with_blocks(df, packet_parts(df))
+
+
+def session_blocks(df: DataFrame) -> DataFrame:
+    return with_blocks(df, session_parts(df))
+
+
+def alert_blocks(df: DataFrame) -> DataFrame:
+    return with_blocks(df, alert_parts(df))
+
+
+def fused_blocks(df: DataFrame) -> DataFrame:
+    return with_blocks(df, fused_parts(df))
 
 
+PARTS = {"tshark": packet_parts, "zeek": session_parts, "snort": alert_parts, "fused": fused_parts}
 TRANSFORMS = {"tshark": packet_blocks, "zeek": session_blocks, "snort": alert_blocks, "fused": fused_blocks}
 
 

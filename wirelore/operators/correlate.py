@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import computed, first_rule, time_bucket
-from .blocks import BLOCKS_TYPE, block_text
+from .blocks import BLOCKS_TYPE, PARTS, add_blocks, block_text, fact_of, filled, staged_facts
 
 # Order of blocks in a group; others come after these by name, IDS last.
 BLOCK_ORDER = ["META", "FLOW", "PROTO:IP", "PROTO:IPV6", "PROTO:TCP", "PROTO:UDP", "PROTO:ICMP"]
@@ -73,6 +75,19 @@ def correlation_facts(df: DataFrame) -> DataFrame:
     return computed(staged, "meta", F.struct(*facts)).drop("_b")
 
 
+def correlated_batch(df: DataFrame, source: str, bucket_seconds: int = 1, with_text: bool = True) -> DataFrame:
+    """Rows of a source that have any fact, with their correlation key.
+
+    The identifying facts are read from the columns (C2). Blocks are only built with ``with_text``, and then only for
+    rows that have a key.
+    """
+    staged, parts = staged_facts(df, PARTS[source](df))
+    some = reduce(lambda a, b: a | b, [filled(p) for p in parts])
+    facts = [fact_of(parts, *spec).alias(name) for name, spec in CORRELATION_FACTS.items()]
+    keyed = with_correlation(computed(staged.filter(some), "meta", F.struct(*facts)), bucket_seconds)
+    return add_blocks(keyed.filter(F.col("corr_key").isNotNull()), parts) if with_text else keyed.drop("_facts")
+
+
 def correlation_key(meta: Column, bucket_seconds: int = 1, missing_port: str = "None") -> Column:
     """struct(key, level, confidence, method) by the first identification that is possible."""
     m = {name: meta[name] for name in CORRELATION_FACTS}
@@ -107,7 +122,7 @@ def correlation_key(meta: Column, bucket_seconds: int = 1, missing_port: str = "
 
 def with_correlation(df: DataFrame, bucket_seconds: int = 1) -> DataFrame:
     """Rows with corr_key, corr_level, corr_confidence and corr_method; NULL keys are uncorrelated."""
-    staged = computed(correlation_facts(df), "_c", correlation_key(F.col("meta"), bucket_seconds))
+    staged = computed(df if "meta" in df.columns else correlation_facts(df), "_c", correlation_key(F.col("meta"), bucket_seconds))
     return staged.withColumns({
         "corr_key": F.col("_c.key"), "corr_level": F.col("_c.level"), "corr_confidence": F.col("_c.confidence"),
         "corr_method": F.coalesce("_c.method", F.lit("uncorrelated")),

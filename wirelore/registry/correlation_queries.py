@@ -149,8 +149,13 @@ _KEY_SQL = _META_SQL + """,
 CORR_VIEWS = "v_packets v_sessions"
 
 
-def correlated(spark, sf):
-    return correlate.with_correlation(tagged_blocks(spark, sf), bucket_seconds=60)
+def correlated(spark, sf, with_text: bool = False):
+    """Packets and sessions with keys; with blocks for what is merged."""
+    columns = ["ord", "corr_key", "corr_level", "corr_confidence", "corr_method", *(["blocks"] if with_text else ["meta"])]
+    left = packets(spark, sf).withColumn("ord", F.format_string("p%012d", "event_id"))
+    right = session_log(spark, sf).withColumn("ord", F.concat(F.lit("s"), F.col("uid")))
+    rows = [correlate.correlated_batch(df, source, 60, with_text).select(columns) for df, source in ((left, "tshark"), (right, "zeek"))]
+    return rows[0].unionByName(rows[1])
 
 
 @query("block_parsing", ids="C1", views="v_packets", sql="""
@@ -194,7 +199,7 @@ _GROUP_SQL = "with" + _KEY_SQL + """,
 
 
 def groups(spark, sf):
-    return correlate.merge_groups(correlated(spark, sf), "ord")
+    return correlate.merge_groups(correlated(spark, sf, with_text=True), "ord")
 
 
 @query("correlation_groups", ids="C5", views=CORR_VIEWS, sql=_GROUP_SQL + " select * from g")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.addresses import is_ipv4
 from ..functions.columns import c
 from ..operators import detect, ttp
-from ..operators.blocks import transform_batch
-from ..operators.correlate import group_text, merge_groups, with_correlation
+from ..operators.correlate import correlated_batch, group_text, merge_groups
 from ..operators.validate import gate, violations
 from ..plans.ticket_reports import ticket_reports
 from ..session import cut_lineage
@@ -19,8 +18,8 @@ from ..session import cut_lineage
 
 def correlated_groups(fused: DataFrame, bucket_seconds: int = 1) -> DataFrame:
     """Fused sightings as correlation groups; the flow id orders merged facts."""
-    rows = transform_batch(fused, "fused").select(c("network.community_id").alias("ord"), "blocks")
-    return merge_groups(with_correlation(rows, bucket_seconds), "ord")
+    rows = correlated_batch(fused, "fused", bucket_seconds).withColumn("ord", c("network.community_id"))
+    return merge_groups(rows, "ord")
 
 
 def export_groups(fused: DataFrame, path: str) -> dict:
