@@ -1,9 +1,10 @@
 """Lexical retrieval packing: documents that share rare terms end up in the same window.
 
-1. Every text is tokenised once; ids are written to the shared folder.
-2. Document frequencies of all token ids are counted over all documents (a table no longer than the vocabulary).
-3. Documents are range-partitioned by their two heaviest BM25 terms and a hash of their id. The hash splits groups of
-   copies and of look-alikes of any size, so no partition depends on how often a text repeats.
+1. Every text is tokenised once. Its ids go to the shared folder with its route: its two heaviest terms, by term
+   frequency and by rank in the vocabulary, which is ordered by frequency. Each task adds its document frequencies.
+2. Document frequencies are summed over all documents (a table no longer than the vocabulary).
+3. Documents are range-partitioned by route and a hash of their id. The hash splits groups of copies and of
+   look-alikes of any size, so no partition depends on how often a text repeats.
 4. A task reads its partition in shards of about ``SHARD_TOKENS`` tokens. Each shard has an inverted index with BM25
    weights (global document frequencies and mean length). A seed document opens a window; the index ranks the unused
    documents of the shard against it, and they fill the window in that order. A document that does not fit is cut, and
@@ -18,8 +19,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -48,35 +51,99 @@ class Vocabulary:
     pattern: str | None = None
     size: int = 50257
 
-    def encoder(self) -> Callable[[str], list[int]]:
-        from tokenizers import Tokenizer
+    @property
+    def id_type(self) -> str:
+        """Little-endian type of stored ids; the end id is one of the vocabulary's."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
 
-        slow = Tokenizer.from_file(self.tokenizer_path)
 
-        def exact(text: str) -> list[int]:
-            return slow.encode(text, add_special_tokens=False).ids
+@cache  # one of each per Python worker, not per task
+def _exact(path: str):
+    from tokenizers import Tokenizer
 
-        if not self.ranks_path:
-            return exact
-        import tiktoken
+    return Tokenizer.from_file(path)
 
-        with open(self.ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("fast", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: fast.encode_ordinary(text) if _ORDINARY.fullmatch(text) and not _SPECIAL.search(text) else exact(text)
+
+@cache
+def _fast(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
+    def exact(text: str) -> list[int]:
+        return _exact(vocabulary.tokenizer_path).encode(text, add_special_tokens=False).ids
+
+    if not vocabulary.ranks_path:
+        return exact
+    fast = _fast(vocabulary.ranks_path, vocabulary.pattern)
+    return lambda text: fast.encode_ordinary(text) if _ORDINARY.fullmatch(text) and not _SPECIAL.search(text) else exact(text)
+
+
+@dataclass
+class Terms:
+    """Distinct ids of several documents (without their end), with counts: entries ``start[d]`` to ``start[d + 1]`` are document d's."""
+
+    owner: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+    start: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> Terms:
+        """One sort for all: document and id share a number, 32 bits wide where they fit."""
+        sizes = [len(d) - 1 for d in documents]
+        flat = np.concatenate([d[:-1] for d in documents]) if documents else np.zeros(0, np.uint16)
+        narrow = flat.dtype.itemsize == 2 and len(documents) < 1 << 16
+        kind, bits = (np.uint32, 16) if narrow else (np.uint64, 32)
+        key = (np.repeat(np.arange(len(documents), dtype=kind), sizes) << kind(bits)) | flat
+        key.sort()
+        first = np.flatnonzero(key[1:] != key[:-1]) + 1
+        first = np.concatenate([[0], first]) if len(key) else first
+        distinct = key[first]
+        owner = (distinct >> kind(bits)).astype(np.int64)
+        return cls(owner, (distinct & kind((1 << bits) - 1)).astype(np.int64), np.diff(first, append=len(key)), np.searchsorted(owner, np.arange(len(documents) + 1)))
+
+    def of_document(self, d: int) -> slice:
+        return slice(self.start[d], self.start[d + 1])
+
+
+def _routes(terms: Terms, documents: int) -> Iterator[tuple[int, int]]:
+    """Per document the two terms (-1 where there are fewer) that weigh most by frequency here and rank in the vocabulary."""
+    weight = terms.tf / (terms.tf + K1) * np.log1p(terms.term)
+    for d in range(documents):
+        own = terms.of_document(d)
+        w, best = weight[own], []
+        for _ in range(min(2, len(w))):
+            k = int(w.argmax())
+            best.append(int(terms.term[own][k]))
+            w[k] = -1
+        yield tuple([*best, -1, -1][:2])
 
 
 def tokenised(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 1) -> DataFrame:
-    """doc_id, ids (little-endian, 16 bits while the vocabulary allows it, else 32) with the end id, n of them."""
-    kind = "<u2" if max(vocabulary.size, end_id + 1) <= 1 << 16 else "<u4"
+    """doc_id, ids with the end id, n of them, route, route2; and one row per task that only has df: term ids and their document counts."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = vocabulary.encoder()
+        encode, df = encoder(vocabulary), np.zeros(vocabulary.size, np.int64)
         for batch in batches:
-            ids = [np.array([*encode(t), end_id], kind) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [x.tobytes() for x in ids], "n": [len(x) for x in ids]})
+            documents = []
+            for text in batch["text"]:
+                tokens = array("H" if vocabulary.id_type == "<u2" else "I", encode(text))
+                tokens.append(end_id)
+                documents.append(np.frombuffer(tokens, tokens.typecode).astype(vocabulary.id_type, copy=False))
+            terms = Terms.of(documents)
+            df += np.bincount(terms.term, minlength=vocabulary.size)
+            rows = [(d.tobytes(), len(d), *r) for d, r in zip(documents, _routes(terms, len(documents)), strict=True)]
+            out = pd.DataFrame(rows, columns=["ids", "n", "route", "route2"])
+            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), df=None)[["doc_id", "ids", "n", "route", "route2", "df"]]
+        used = np.flatnonzero(df)
+        yield pd.DataFrame({"doc_id": [None], "ids": [None], "n": [0], "route": [-1], "route2": [-1], "df": [np.stack([used, df[used]]).tobytes()]}).astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(scan, "doc_id long, ids binary, n long")
+    return docs.mapInPandas(scan, "doc_id long, ids binary, n long, route int, route2 int, df binary")
 
 
 @dataclass
@@ -86,77 +153,50 @@ class Corpus:
     documents: int
     mean_length: float
     df: np.ndarray
-    dtype: str
+    id_type: str
 
     def idf(self) -> np.ndarray:
         return np.log1p((self.documents - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
 
 
-def corpus_statistics(tokens: DataFrame, vocabulary: Vocabulary, end_id: int = 1) -> Corpus:
-    size = max(vocabulary.size, end_id + 1)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
-
+def corpus_statistics(tokens: DataFrame, vocabulary: Vocabulary) -> Corpus:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size, np.int64)
+        df = np.zeros(vocabulary.size, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                df[np.unique(np.frombuffer(ids, kind)[:-1])] += 1
+            for raw in batch["df"]:
+                terms, n = np.frombuffer(raw, np.int64).reshape(2, -1)
+                df[terms] += n
         used = np.flatnonzero(df)
         yield pd.DataFrame({"term": used, "df": df[used]})
 
-    total = tokens.agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n")).first()
-    rows = tokens.select("ids").mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(size, np.int64)
+    total = tokens.agg(F.count("ids").alias("documents"), F.sum("n").alias("n")).first()
+    rows = tokens.filter("df is not null").select("df").mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(vocabulary.size, np.int64)
     df[rows["term"].to_numpy(np.int64)] = rows["df"].to_numpy(np.int64)
-    return Corpus(total["documents"], (total["n"] or 0) / max(1, total["documents"]), df, kind)
-
-
-def _weights(ids: np.ndarray, corpus: Corpus, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms of a document and their BM25 weights."""
-    terms, tf = np.unique(ids[:-1], return_counts=True)
-    scale = K1 * (1 - B + B * len(ids) / max(corpus.mean_length, 1e-9))
-    return terms.astype(np.int64), (idf[terms] * (tf * (K1 + 1) / (tf + scale))).astype(np.float32)
-
-
-def routed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
-    """Adds a document's two heaviest terms (-1 where there is none)."""
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf = corpus.idf()
-        for batch in batches:
-            first, second = [], []
-            for raw in batch["ids"]:
-                terms, weights = _weights(np.frombuffer(raw, corpus.dtype), corpus, idf)
-                best = np.lexsort((terms, -weights))[:2] if len(terms) <= 2 else np.argpartition(-weights, 1)[:2]
-                best = sorted(best, key=lambda i: (-weights[i], terms[i]))
-                first.append(int(terms[best[0]]) if len(best) else -1)
-                second.append(int(terms[best[1]]) if len(best) > 1 else -1)
-            yield batch.assign(route=first, route2=second)
-
-    return tokens.mapInPandas(route, "doc_id long, ids binary, n long, route int, route2 int")
+    return Corpus(total["documents"], (total["n"] or 0) / max(1, total["documents"]), df, vocabulary.id_type)
 
 
 class Index:
     """Inverted index of one shard: for each term, the documents that hold it and their BM25 weights."""
 
     def __init__(self, documents: list[np.ndarray], corpus: Corpus, idf: np.ndarray) -> None:
-        pairs = [_weights(d, corpus, idf) for d in documents]
-        self.terms = [t for t, _ in pairs]
-        flat = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
-        order = np.argsort(flat, kind="stable")
-        self.owner, self.weight = owner[order], np.concatenate([w for _, w in pairs])[order] if pairs else np.zeros(0, np.float32)
-        self.vocabulary, self.start = np.unique(flat[order], return_index=True)
-        self.start = np.append(self.start, len(flat))
+        self.terms = Terms.of(documents)
+        t, length = self.terms, np.array([len(d) for d in documents])
+        scale = K1 * (1 - B + B * length / max(corpus.mean_length, 1e-9))
+        weight = (idf[t.term] * (t.tf * (K1 + 1) / (t.tf + scale[t.owner]))).astype(np.float32)
+        order = np.argsort(t.term.astype(np.uint16) if corpus.id_type == "<u2" else t.term, kind="stable")
+        self.size, self.owner, self.weight = len(documents), t.owner[order], weight[order]
+        self.vocabulary, self.start = np.unique(t.term[order], return_index=True)
+        self.start = np.append(self.start, len(order))
 
     def scores(self, document: int) -> np.ndarray:
-        at = np.searchsorted(self.vocabulary, self.terms[document])
+        at = np.searchsorted(self.vocabulary, self.terms.term[self.terms.of_document(document)])
         begin, size = self.start[at], self.start[at + 1] - self.start[at]
         ends = np.cumsum(size)
         if not len(ends):
-            return np.zeros(len(self.terms))
+            return np.zeros(self.size)
         postings = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
-        return np.bincount(self.owner[postings], self.weight[postings], len(self.terms))
+        return np.bincount(self.owner[postings], self.weight[postings], self.size)
 
 
 @dataclass
@@ -215,7 +255,7 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lo
 def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 32 bits each)."""
     tokens = cut_lineage(tokenised(id_and_text(docs, id_col, text_col), vocabulary, end_id), "packing-ids")
-    corpus = corpus_statistics(tokens, vocabulary, end_id)
+    corpus = corpus_statistics(tokens, vocabulary)
     parts = max(1, round(corpus.documents * corpus.mean_length / PARTITION_TOKENS))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,7 +272,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
 
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].astype("Int64"), batch["ids"], strict=True):
-                ids = np.frombuffer(raw, corpus.dtype)
+                ids = np.frombuffer(raw, corpus.id_type)
                 shard.append((None if doc_id is pd.NA else int(doc_id), ids))
                 size += len(ids)
                 if size >= SHARD_TOKENS:
@@ -241,7 +281,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
         if shard:
             yield out()
 
-    dealt = routed(tokens, corpus).repartitionByRange(parts, "route", "route2", F.xxhash64("doc_id", "n"))
+    dealt = tokens.filter("df is null").select("doc_id", "ids", "n", "route", "route2").repartitionByRange(parts, "route", "route2", F.xxhash64("doc_id", "n"))
     return dealt.sortWithinPartitions("route", "route2").select("doc_id", "ids").mapInPandas(fill, _PIECES)
 
 
