@@ -72,9 +72,10 @@ def interval_metrics(events: DataFrame, keys: Sequence[str] = CONNECTION, min_ev
 def beaconing(
     events: DataFrame, keys: Sequence[str] = CONNECTION, min_events: int = 5, max_cv: float = 0.1,
     max_entropy: float = 1.5, min_interval: float = 1, max_interval: float = 3600, high_cv: float = 0.05,
+    metrics: DataFrame | None = None,
 ) -> DataFrame:
-    """Periodic connections."""
-    metrics = interval_metrics(events, keys, min_events)
+    """Periodic connections (D1). ``metrics`` are the connections' interval metrics where they exist already."""
+    metrics = interval_metrics(events, keys, min_events) if metrics is None else metrics
     flagged = (
         (F.col("cv") < max_cv) & (F.col("entropy") < max_entropy)
         & (F.col("interval_avg") > min_interval) & (F.col("interval_avg") < max_interval)
@@ -155,11 +156,11 @@ def protocol_excess(events: DataFrame, protocol: str = "icmp", min_count: int =
         F.coalesce((F.col("count") > min_count) & (F.col("share") > min_share), F.lit(False)).alias("flagged"))
 
 
-def all_detectors(events: DataFrame, min_events: int = 10, **thresholds: dict) -> DataFrame:
+def all_detectors(events: DataFrame, min_events: int = 10, intervals: DataFrame | None = None, scans: DataFrame | None = None, **thresholds: dict) -> DataFrame:
     """Findings of every detector in one shape: category, subject, metric, confidence.
 
     ``thresholds`` maps a detector name to its keyword arguments. Below ``min_events`` events there
-    are no findings.
+    are no findings. ``intervals`` and ``scans`` are interval and scan metrics where they exist already.
     """
     def options(name: str) -> dict:
         return thresholds.get(name, {})
@@ -170,9 +171,9 @@ def all_detectors(events: DataFrame, min_events: int = 10, **thresholds: dict) -
             (confidence if confidence is not None else F.lit("MEDIUM")).alias("confidence"))
 
     link = F.concat(F.col("si"), F.lit("->"), F.col("di"), F.lit(":"), F.coalesce(F.col("dp").cast("string"), F.lit("")))
-    scans = scan_metrics(events, **options("scan_metrics"))
+    scans = scan_metrics(events, **options("scan_metrics")) if scans is None else scans
     parts = [
-        shaped(beaconing(events, **options("beaconing")), "beaconing", link, F.col("cv"), F.col("confidence")),
+        shaped(beaconing(events, metrics=intervals, **options("beaconing")), "beaconing", link, F.col("cv"), F.col("confidence")),
         shaped(dns_tunnel_queries(events, **options("dns_tunnel_queries")), "dns_tunneling", F.col("query"),
                F.col("entropy"), F.col("confidence")),
         shaped(dns_excess(events, **options("dns_excess")), "dns_tunneling", F.col("domain"), F.col("query_count")),

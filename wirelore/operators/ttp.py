@@ -30,9 +30,10 @@ def _pattern(df: DataFrame, names: list[str], evidence: list[Column], confidence
         F.filter(F.array(*evidence), lambda e: e.isNotNull()).alias("evidence"))
 
 
-def beaconing_pattern(events: DataFrame, max_cv: float = 0.05, min_events: int = 5) -> DataFrame:
+def beaconing_pattern(events: DataFrame, max_cv: float = 0.05, min_events: int = 5, metrics: DataFrame | None = None) -> DataFrame:
     """Every connection with steady intervals."""
-    steady = interval_metrics(events, min_events=min_events).filter(F.col("cv") < max_cv)
+    metrics = interval_metrics(events, min_events=min_events) if metrics is None else metrics
+    steady = metrics.filter(F.col("cv") < max_cv)
     link = F.concat(F.lit("Connection: "), F.col("si"), F.lit("->"), F.col("di"), F.lit(":"),
                     F.coalesce(F.col("dp").cast("string"), F.lit("None")))
     evidence = [
@@ -44,9 +45,11 @@ def beaconing_pattern(events: DataFrame, max_cv: float = 0.05, min_events: int =
     return _pattern(steady, ["beaconing", "c2_pattern"], evidence, F.lit("HIGH"))
 
 
-def scan_pattern(events: DataFrame, ports: int = 20, destinations: int = 10, high_ports: int = 50, min_events: int = 10) -> DataFrame:
+def scan_pattern(events: DataFrame, ports: int = 20, destinations: int = 10, high_ports: int = 50, min_events: int = 10,
+                 metrics: DataFrame | None = None) -> DataFrame:
     """Every source that contacts many ports or hosts."""
-    scans = scan_metrics(events).filter((F.col("unique_ports") > ports) | (F.col("unique_destinations") > destinations))
+    metrics = scan_metrics(events) if metrics is None else metrics
+    scans = metrics.filter((F.col("unique_ports") > ports) | (F.col("unique_destinations") > destinations))
     found = scans.filter(events.agg(F.count(F.lit(1))).scalar() >= min_events)
     evidence = [
         F.concat(F.lit("Source: "), F.col("si")),
@@ -115,10 +118,10 @@ def remote_service_pattern(events: DataFrame, min_events: int = 2) -> DataFrame:
         F.array(F.concat(F.upper("name"), F.format_string(" connections: %d", "n"))).alias("evidence"))
 
 
-def detect_patterns(events: DataFrame) -> DataFrame:
-    """All patterns of an event set."""
-    out = beaconing_pattern(events)
-    for part in (scan_pattern(events), dns_pattern(events), tls_pattern(events, destinations=5, fingerprints=3), remote_service_pattern(events)):
+def detect_patterns(events: DataFrame, intervals: DataFrame | None = None, scans: DataFrame | None = None) -> DataFrame:
+    """All patterns of an event set; ``intervals`` and ``scans`` are metrics that exist already."""
+    out = beaconing_pattern(events, metrics=intervals)
+    for part in (scan_pattern(events, metrics=scans), dns_pattern(events), tls_pattern(events, destinations=5, fingerprints=3), remote_service_pattern(events)):
         out = out.unionByName(part)
     return out
 

@@ -308,7 +308,7 @@ def intel_objects(spark, sf):
 @query("machine_report", ids="K8", views="v_events", sql=_PATTERN_SQL.replace("s as (", "ps as (").replace("from s)", "from ps)") + """,
       s as (select si from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 15),
       d as (select list_extract(string_split(dns_query, '.'), -2) as l from v_events where pr = 'dns' group by 1 having count(*) > 20)
-    select count(*) as total_events, (select count(*) from p join tt on pattern = indicator)::integer as ttps_detected, (select count(*) from s) + (select count(*) from d)
+    select count(*) as total_events, (select count(*) from p join tt on pattern = indicator) as ttps_detected, (select count(*) from s) + (select count(*) from d)
       + (count(*) filter (pr = 'icmp') > 10 and count(*) filter (pr = 'icmp') / count(*) > 0.05)::int as anomalies_found, least(20, count(*))::integer as sample_size,
       max(t) as newest from v_events""")
 def machine_report(spark, sf):

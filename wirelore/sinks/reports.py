@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,16 +65,34 @@ def export_intel(fused: DataFrame, path: str, limit: int | None = None) -> None:
     intel_objects(fused, limit).select("body").write.mode("overwrite").text(path)
 
 
-def machine_report(events: DataFrame, history: DataFrame | None = None, sample: int = 20, **thresholds: dict) -> DataFrame:
+@dataclass(frozen=True)
+class Findings:
+    """What a report tells of an event set, each written once: techniques of the patterns, and findings of the detectors."""
+
+    techniques: DataFrame
+    anomalies: DataFrame
+
+
+def find(events: DataFrame, **thresholds: dict) -> Findings:
+    """Interval and scan metrics are worked out once and serve patterns and detectors, unless a threshold asks for others."""
+    own_intervals = {"keys", "min_events"} & thresholds.get("beaconing", {}).keys()
+    intervals = None if own_intervals else cut_lineage(detect.interval_metrics(events), "intervals")
+    scans = None if "scan_metrics" in thresholds else cut_lineage(detect.scan_metrics(events), "scans")
+    techniques = cut_lineage(ttp.techniques_of(ttp.detect_patterns(events, intervals, scans)), "techniques")
+    return Findings(techniques, cut_lineage(detect.all_detectors(events, intervals=intervals, scans=scans, **thresholds), "findings"))
+
+
+def machine_report(events: DataFrame, history: DataFrame | None = None, sample: int = 20, found: Findings | None = None, **thresholds: dict) -> DataFrame:
     """One row: summary, techniques, anomalies, history, and the newest events as a sample (K8).
 
-    The lists are findings, a few per detector, and the fixed-size sample; events are not gathered.
+    Techniques and findings are counted per kind here, with one piece of evidence each; their rows are tables of their
+    own. So no list grows with the events.
     """
-    techniques = ttp.techniques_of(ttp.detect_patterns(events))
-    findings = detect.all_detectors(events, **thresholds)
-    ttp_list = techniques.agg(F.array_sort(F.collect_list(F.struct(
-        "technique_id", "technique_name", "tactic", "confidence", "evidence")))).scalar()
-    finding_list = findings.groupBy("category", "confidence").agg(F.count(F.lit(1)).alias("findings")).agg(
+    found = find(events, **thresholds) if found is None else found
+    kinds = ["technique_id", "technique_name", "tactic", "confidence", "pattern"]
+    per_kind = found.techniques.groupBy(*kinds).agg(F.count(F.lit(1)).alias("sightings"), F.min("evidence").alias("evidence"))
+    ttp_list = per_kind.agg(F.array_sort(F.collect_list(F.struct(*kinds, "sightings", "evidence")))).scalar()
+    finding_list = found.anomalies.groupBy("category", "confidence").agg(F.count(F.lit(1)).alias("findings")).agg(
         F.array_sort(F.collect_list(F.struct("category", "confidence", "findings"))).alias("a")).scalar()
     newest = events.orderBy(F.col("t").desc(), "si", "di", "pr").limit(sample)
     shown = newest.agg(F.reverse(F.array_sort(F.collect_list(F.struct(
@@ -81,18 +100,19 @@ def machine_report(events: DataFrame, history: DataFrame | None = None, sample:
         "dns_query", "http_host", "tls_sni"))))).scalar()
     past = F.lit(None).cast("struct<total_tickets:bigint>") if history is None else history.agg(F.first(F.struct("*"))).scalar()
     base = events.sparkSession.range(1).select(
-        events.agg(F.count(F.lit(1))).scalar().alias("total_events"), findings.agg(F.count(F.lit(1))).scalar().alias("anomalies_found"),
+        events.agg(F.count(F.lit(1))).scalar().alias("total_events"), found.techniques.agg(F.count(F.lit(1))).scalar().alias("ttps_detected"), found.anomalies.agg(F.count(F.lit(1))).scalar().alias("anomalies_found"),
         ttp_list.alias("ttps"), finding_list.alias("anomalies"), past.alias("historical_stats"), shown.alias("events_sample"))
     return base.select(
-        F.struct("total_events", F.size("ttps").alias("ttps_detected"), "anomalies_found").alias("summary"),
+        F.struct("total_events", "ttps_detected", "anomalies_found").alias("summary"),
         "ttps", "anomalies", "historical_stats", "events_sample")
 
 
-def export_machine_report(events: DataFrame, path: str, **options) -> None:
-    """The report as one row, and next to it every finding of the detectors."""
-    machine_report(events, **options).write.mode("overwrite").json(path)
-    thresholds = {k: v for k, v in options.items() if k not in ("history", "sample")}
-    detect.all_detectors(events, **thresholds).write.mode("overwrite").json(f"{path.rstrip('/')}-findings")
+def export_machine_report(events: DataFrame, path: str, history: DataFrame | None = None, sample: int = 20, **thresholds: dict) -> None:
+    """The report as one row, and next to it every technique and every finding."""
+    found = find(events, **thresholds)
+    machine_report(events, history, sample, found).write.mode("overwrite").json(path)
+    found.techniques.write.mode("overwrite").json(f"{path.rstrip('/')}-techniques")
+    found.anomalies.write.mode("overwrite").json(f"{path.rstrip('/')}-findings")
 
 
 def export_ticket_reports(logs: Mapping[str, DataFrame], tickets: DataFrame, path: str, hours: int = 24) -> None:
