@@ -30,6 +30,23 @@ NAMES = {
     "T1571": "Non-Standard Port",
 }
 
+# Wording of the reasons in reports.
+REASONS = {
+    "dns_seen": "DNS queries observed to IOC-related domain (%d sightings)",
+    "dns_types": "Unusual DNS query types observed (TXT: %d, NULL: %d) - potential DNS tunneling",
+    "dns_many": "High number of unique DNS queries (%d) may indicate DGA or fast-flux behavior",
+    "dns_nxdomain": "Elevated NXDOMAIN responses (%d) may indicate DGA probing or stale C2 infrastructure",
+    "http_seen": "HTTP traffic to IOC domain (POST: %d, GET: %d) indicates potential C2 communication",
+    "http_agents": "Multiple unique User-Agents (%d) may indicate user-agent rotation for evasion",
+    "tls_seen": "TLS-encrypted communications to IOC (JA3 fingerprints: %d)",
+    "mail_seen": "SMTP traffic involving IOC (%d messages, %d senders, %d recipients) may indicate phishing activity",
+    "remote_access": "%s connections involving IOC (%d sightings) may indicate remote access or lateral movement",
+    "telnet_seen": "Telnet connections (%d sightings) to IOC indicate cleartext remote access attempt",
+    "one_peer": "High concentration of traffic to single peer (%.0f%%) may indicate data exfiltration over C2 channel",
+    "many_protocols": "IOC accessed via %d different protocols, indicating multi-channel communication",
+    "steady": "Regular temporal pattern detected (avg: %.1f/bucket, variance: %.2f) suggests potential beaconing behavior",
+}
+
 
 def _count(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
@@ -52,13 +69,13 @@ def dns_rules() -> list[Column]:
     txt, null = _count("txt_queries"), _count("null_queries")
     unique, nx = _count("unique_queries"), _count("nxdomain")
     return [
-        _rule(~detailed & (n > 0), "T1071.004", 0.6, "DNS queries observed to IOC-related domain (%d sightings)", n),
+        _rule(~detailed & (n > 0), "T1071.004", 0.6, REASONS["dns_seen"], n),
         _rule(detailed & ((txt > 5) | (null > 0)), "T1572", 0.75,
-              "Unusual DNS query types observed (TXT: %d, NULL: %d) - potential DNS tunneling", txt, null),
+              REASONS["dns_types"], txt, null),
         _rule(detailed & (unique > 50), "T1583.001", 0.65,
-              "High number of unique DNS queries (%d) may indicate DGA or fast-flux behavior", unique),
+              REASONS["dns_many"], unique),
         _rule(detailed & (nx > 10), "T1071.004", 0.55,
-              "Elevated NXDOMAIN responses (%d) may indicate DGA probing or stale C2 infrastructure", nx),
+              REASONS["dns_nxdomain"], nx),
     ]
 
 
@@ -67,11 +84,11 @@ def web_rules() -> list[Column]:
     post, get, agents = _count("post_requests"), _count("get_requests"), _count("unique_user_agents")
     return [
         _rule(_flag("has_http_details") & (post > 0), "T1071.001", 0.7,
-              "HTTP traffic to IOC domain (POST: %d, GET: %d) indicates potential C2 communication", post, get),
+              REASONS["http_seen"], post, get),
         _rule(_flag("has_http_details") & (agents > 5), "T1071.001", 0.6,
-              "Multiple unique User-Agents (%d) may indicate user-agent rotation for evasion", agents),
+              REASONS["http_agents"], agents),
         _rule(_flag("has_tls_details"), "T1573.002", 0.65,
-              "TLS-encrypted communications to IOC (JA3 fingerprints: %d)", _count("unique_ja3")),
+              REASONS["tls_seen"], _count("unique_ja3")),
     ]
 
 
@@ -79,19 +96,19 @@ def mail_rules() -> list[Column]:
     """N3."""
     n = _count("smtp_sightings")
     return [_rule(n > 0, "T1566.002", 0.6,
-                  "SMTP traffic involving IOC (%d messages, %d senders, %d recipients) may indicate phishing activity",
+                  REASONS["mail_seen"],
                   n, _count("unique_senders"), _count("unique_recipients"))]
 
 
 def remote_access_rules() -> list[Column]:
     """N4."""
     ssh, rdp, telnet = _count("ssh_sightings"), _count("rdp_sightings"), _count("telnet_sightings")
-    lateral = "%s connections involving IOC (%d sightings) may indicate remote access or lateral movement"
+    lateral = REASONS["remote_access"]
     return [
         _rule(ssh > 0, "T1021.004", 0.6, lateral, F.lit("SSH"), ssh),
         _rule(rdp > 0, "T1021.001", 0.65, lateral, F.lit("RDP"), rdp),
         _rule(telnet > 0, "T1021.004", 0.7,
-              "Telnet connections (%d sightings) to IOC indicate cleartext remote access attempt", telnet),
+              REASONS["telnet_seen"], telnet),
     ]
 
 
@@ -101,9 +118,9 @@ def exfiltration_rules() -> list[Column]:
     coverage = _count("coverage")
     return [
         _rule(share > 0.8, "T1041", 0.55,
-              "High concentration of traffic to single peer (%.0f%%) may indicate data exfiltration over C2 channel", share * 100),
+              REASONS["one_peer"], share * 100),
         _rule(coverage >= 3, "T1071.001", 0.5,
-              "IOC accessed via %d different protocols, indicating multi-channel communication", coverage),
+              REASONS["many_protocols"], coverage),
     ]
 
 
@@ -112,7 +129,7 @@ def temporal_rules() -> list[Column]:
     avg, variance = F.col("bucket_avg"), F.col("bucket_variance")
     steady = (_count("bucket_count") >= 3) & (variance < avg * 0.5) & (avg > 1)
     return [_rule(F.coalesce(steady, F.lit(False)), "T1571", 0.6,
-                  "Regular temporal pattern detected (avg: %.1f/bucket, variance: %.2f) suggests potential beaconing behavior",
+                  REASONS["steady"],
                   avg, variance)]
 
 

@@ -21,6 +21,7 @@ TECHNIQUES = [
     ("T1041", "Exfiltration Over C2 Channel", "Exfiltration", ["large_uploads", "sustained_egress"]),
 ]
 REMOTE_PORTS = {"rdp": [3389], "ssh": [22], "smb": [445, 139]}
+# The wording of evidence below ("Connection: ", "Beacons: ", ...) is fixed by the reports.
 
 
 def _pattern(df: DataFrame, names: list[str], evidence: list[Column], confidence: Column) -> DataFrame:
