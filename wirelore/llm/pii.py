@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import id_and_text
+from .tables import id_and_text, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -236,6 +236,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span replaced by its kind in angle brackets; overlapping spans become one.
 
     A null text stays null."""
+    small_batches(docs.sparkSession)
     place, kind = docs.columns.index(text_col), docs.schema
 
     def clean(text: str | None) -> str | None:
