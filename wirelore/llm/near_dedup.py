@@ -35,9 +35,9 @@ from .tables import id_and_text
 WORDS = 5
 K = 64
 MIN_SHARED = 30  # of 64 values of a union sketch, 48 +- 3.5 are shared at similarity 0.75
-BUCKET_BITS = 22
+BUCKET_BITS = 21
 CHUNK = 512
-_PIECE = 4_000_000  # characters hashed at once
+_PIECE = 1_000_000  # characters hashed at once
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -117,19 +117,20 @@ def value_counts(classes: DataFrame) -> np.ndarray:
     parts = 1 << (BUCKET_BITS - part_bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << BUCKET_BITS, np.int64)
+        table = np.zeros(1 << BUCKET_BITS, np.int32)  # a task has fewer sketches than that
         for batch in batches:
             if len(batch):
                 values = np.concatenate([_array(s) for s in batch["sketch"]])
-                table += np.bincount((values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(table))
+                buckets, n = np.unique((values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
+                table[buckets] += n.astype(np.int32)
         yield pd.DataFrame({"part": range(parts), "counts": [x.tobytes() for x in table.reshape(parts, -1)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch["part"], batch["counts"], strict=True):
-                counts = np.frombuffer(raw, np.int64)
-                totals[part] = totals[part] + counts if part in totals else counts
+                counts = np.frombuffer(raw, np.int32)
+                totals[part] = totals[part] + counts if part in totals else counts.astype(np.int64)
         yield pd.DataFrame({"part": list(totals), "counts": [x.tobytes() for x in totals.values()]})
 
     summed = classes.select("sketch").mapInPandas(count, "part int, counts binary").repartition("part").mapInPandas(add, "part int, counts binary")
