@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import c
-from ..operators import normalize
+from ..operators import filters, normalize
 from ..operators.history import outcome_history
 from ..plans.ticket_reports import ticket_reports
 from ..session import shared_folder
@@ -249,6 +249,16 @@ def event_store_append(spark, sf):
         F.count("*").alias("events"), F.sum("bytes_sent").alias("total"), F.count("dns_query").alias("queries"))
 
 
+@query("event_store_range", ids="F1 K1", views="v_events", sql=_FROM_PACKETS + """
+    select t, si, di, pr, bytes_sent from e where t between 1704844800 and 1705500000 and pr = 'dns'""")
+def event_store_range(spark, sf):
+    """Events of a time range from the stored date folders; the folders outside of it are not read."""
+    path = shared_folder(spark, "events")
+    tables.append_events(packet_events(spark, sf), path)
+    found = filters.query_events(tables.read_events(spark, path), start=1704844800, end=1705500000, protocol="dns")
+    return found.select("t", "si", "di", "pr", "bytes_sent")
+
+
 @query("ingestion_counters", ids="A46", views="v_events", sql="""
     select count(*) as events_extracted, count(*) filter (event_id % 10 not in (3, 4)) as events_normalized, count(alert_msg) as alerts_matched from v_events""")
 def ingestion_counters(spark, sf):
