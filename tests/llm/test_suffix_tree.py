@@ -61,3 +61,52 @@ def test_distributions_add_up():
     for history in range(0, 4000, 97):
         h = np.full(size, (int(symbols[history]) << 16) | int(symbols[history + 1]), np.uint64)
         assert abs(tree.probability(h, np.arange(size).astype(np.uint16)).sum() - 1) < 1e-6
+
+
+def test_scores_are_those_of_the_tree_in_memory(make_docs, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(st, "HOT", 40)  # the other sequences and words are joined
+    monkeypatch.setattr(st, "HOT_WORDS", 3)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        out = [rng.choice("abcdefgh")]
+        for _ in range(rng.randint(20, 60)):
+            out.append(rng.choice("abcdefgh") if rng.random() < 0.4 or len(out) < 3 else chr(97 + (ord(out[-1]) * 3 + ord(out[-3])) % 8))
+        texts.append(" ".join(out))
+    rows = list(enumerate(texts))
+    symbol = {w.encode(): i + 2 for i, w in enumerate("abcdefgh")}
+    coded = {i: np.array([symbol[w] for w in st.words_of(t)] + [1], np.uint16) for i, t in rows}
+    train = [x for i, x in coded.items() if zlib.crc32(str(i).encode()) % 10]
+    counts = np.bincount(np.concatenate(train), minlength=10)
+    root = (counts + 0.1) / (counts.sum() + 0.1 * 10)
+    counted, allowed = [], None
+    for d in (1, 2, 3):
+        key, n = np.unique(np.concatenate([st._keys(x, d) for x in train]), return_counts=True)
+        context = key >> np.uint64(16)
+        ok = np.isin(context, allowed) if d > 1 else counts[context.astype(int)] >= 16
+        key, n = key[ok & (n >= 2)], n[ok & (n >= 2)]
+        allowed = key[n >= 16]
+        counted.append(pd.DataFrame({"key": key.view(np.int64), "n": n}))
+    tree = st.grow(root, counts, counted)
+    assert all(len(level.contexts) for level in tree.levels)
+
+    def score(x):
+        history = [sum(int(s) << (16 * k) for k, s in enumerate(reversed(x[max(0, i - 3):i]))) for i in range(len(x))]
+        # Outside of a text stands a symbol that no context has.
+        history = [h | sum(0xFFFF << (16 * k) for k in range(min(i, 3), 3)) for i, h in enumerate(history)]
+        return round(float(np.log10(tree.probability(np.array(history, np.uint64), x)).sum()), 6)
+
+    got = {r.doc_id: round(r.score, 6) for r in st.score_texts(make_docs(rows)).collect()}
+    assert got == {i: score(x) for i, x in coded.items()}
+
+
+def test_a_repeated_passage_is_learned_in_a_large_table(make_docs, words):
+    passage = words(12, seed=1)
+    rng = random.Random(8)
+    filler = [f"v{i}" for i in range(30_000)]
+    # About 23 copies in 1.8 million words: less than one word in 60 000.
+    rows = [(i, " ".join(rng.choices(filler, k=60_000))) for i in range(1, 35)] + [(9_000 + i, passage) for i in range(26)]
+    held = st.score_texts(make_docs(rows)).filter("held_out and doc_id >= 9000").collect()
+    assert held and all(r.score - r.base_score > 8 for r in held)

@@ -1,17 +1,20 @@
-"""A probabilistic suffix tree over words, grown level by level.
+"""A probabilistic suffix tree over words, grown level by level as Spark tables.
 
-Words are lower-cased between ASCII white space; every text ends with one end token. The alphabet of the tree is bounded:
-words whose share of all training tokens is at least ``SHARE`` (at most 1 / SHARE of them), the end, and one symbol for all
-rarer words. Inside that symbol a word keeps its smoothed unigram probability, so every word counts with its own exact
-training count. Contexts of one word are counted first; a context of d + 1 symbols is counted only if its first d + 1
-symbols are frequent as a sequence (share at least ``SHARE``), down to ``DEPTH``. A context stays in the tree if its next-symbol distribution
-diverges from that of its own suffix: the leave-one-out log-likelihood ratio of its occurrences must reach ``GAIN`` each
-on average, or in total ``GAIN_TOTAL``. Suffixes of what stays are kept too. Successors are counted from a share of
-``ENTRY_SHARE`` on and discounted (``DISCOUNT``); what that leaves, and ``BLEND`` more, goes to the parent's distribution.
-A text is scored at the longest suffix in the tree.
+Words are lower-cased between ASCII white space; every text ends with one end token. Every word counts as itself, with its
+exact training count and its smoothed unigram probability at the root. A context of up to ``DEPTH`` words is counted if it
+occurs at least ``CONTEXT_LEAST`` times, a successor if it follows its context at least ``SUCCESSOR_LEAST`` times: counts
+of occurrences, not shares, so what is learned from a passage does not depend on the size of the rest of the table. A
+context stays in the tree if its next-word distribution diverges from that of its own suffix: the leave-one-out
+log-likelihood ratio of its occurrences must reach ``GAIN`` each on average, or in total ``GAIN_TOTAL``. Suffixes of what
+stays are kept too. Successors are discounted (``DISCOUNT``); what that leaves, and ``BLEND`` more, goes to the parent's
+distribution. A text is scored at the longest suffix in the tree.
 
-All counts cover all training documents. States and their successors are bounded by the shares, whatever the input; the
-rare words' counts are not, and stay in a distributed table that is joined by word.
+All counts cover all training documents, and words, contexts and successors stay in tables whose size follows the input.
+Bounded on driver and tasks are only two aids that change no result: the values of the ``HOT`` most frequent words and
+sequences, which need no join, and a bitmap that spares joining sequences that are in no table.
+
+Sequences go by a 64-bit hash of their words; two different ones share theirs with a chance of about n^2 / 2^65 among n.
+Base score and counts of words go by the words themselves.
 
 Defined results: a null, empty or blank text is the end token alone. A null id counts as training. Repeated rows count and
 come back repeatedly; an empty table gives an empty table; without training rows every word is unknown and N, V are 0.
@@ -23,106 +26,273 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .tables import id_and_text, id_bucket
 
-SHARE = 1 / 60_000
-ENTRY_SHARE = 2.0**-21
+CONTEXT_LEAST = 16
+SUCCESSOR_LEAST = 2
 DEPTH = 3
 GAIN = 0.01
 GAIN_TOTAL = 50.0
 BLEND = 10.0
 DISCOUNT = 0.75
 SMOOTH = 0.1
-RARE, END = 0, 1  # symbols; frequent words follow
+HOT_WORDS, HOT = 60_000, 1 << 17  # looked up in the task; all others are joined
+_SIEVE_BITS = 26
+_TURN = 21
+_END = b" "  # no word holds a space
 _BITS = 16
 _FLUSH = 300_000
-_SLICE = 1_000_000  # symbols worked on at once
+_SLICE = 1_000_000  # positions worked on at once
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    flat = np.empty(len(words), object)
+    flat[:] = words
+    return pd.util.hash_array(flat, categorize=False)
+
+
+END_ID = int(_hashes([_END]).view(np.int64)[0])
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over the training rows."""
+    """word, id, n over the training rows."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[bytes] = Counter()
+
+        def part() -> pd.DataFrame:
+            return pd.DataFrame({"word": list(counts), "id": _hashes(list(counts)).view(np.int64), "n": list(counts.values())})
+
         for batch in batches:
             for text in batch["text"]:
                 counts.update(words_of(text))
                 if len(counts) >= _FLUSH:
-                    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                    counts = Counter()
+                    yield part()
+                    counts.clear()
         if counts:
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+            yield part()
 
-    return docs.filter("not held_out").select("text").mapInPandas(scan, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.filter("not held_out").select("text").mapInPandas(scan, "word binary, id long, n long")
+    return counted.groupBy("word", "id").agg(F.sum("n").alias("n"))
 
 
-@dataclass(frozen=True)
-class Alphabet:
-    tokens: int  # N
-    kinds: int  # V
-    ends: int
-    words: dict[bytes, tuple[int, int]]  # frequent word -> symbol, count
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 2
-
-    def log10(self, count: float | np.ndarray) -> float | np.ndarray:
-        return np.log10((count + SMOOTH) / (self.tokens + SMOOTH * (self.kinds + 1)))
-
-    def root(self) -> np.ndarray:
-        """Probability of each symbol at the root; the rare symbol has what the others leave."""
-        p = np.zeros(self.size)
-        p[END] = 10 ** self.log10(self.ends)
-        for symbol, count in self.words.values():
-            p[symbol] = 10 ** self.log10(count)
-        p[RARE] = max(1e-12, 1 - p.sum())
-        return p
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Id of a sequence and one more word; ``_joined_column`` is the same for columns."""
+    return ((context << np.uint64(_TURN)) | (context >> np.uint64(64 - _TURN))) ^ word
+
+
+def _joined_column(context: str, word: str) -> Column:
+    turned = F.shiftleft(context, _TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - _TURN))
+    return turned.bitwiseXOR(F.col(word))
+
+
+def _sequences(words: list[list[bytes]], longest: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Text of each word (an end after each text), and ids of the sequences of 1, 2, ... words that end there with a mask of
+    those inside their text, as (id, mask) pairs."""
+    flat = _hashes([w for text in words for w in (*text, _END)])
+    sizes = np.array([len(text) + 1 for text in words])
+    own = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = [(flat, np.ones(len(flat), bool))]
+    for length in range(2, longest + 1):
+        before = np.concatenate([np.zeros(1, np.uint64), out[-1][0][:-1]])
+        out.append((_joined(before, flat), place >= length - 1))
+    return own, out
+
+
+def _slices(batch: pd.Series) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Places and words of consecutive texts, about ``_SLICE`` words at once."""
+    places, words, size = [], [], 0
+    for i, text in enumerate(batch):
+        places.append(i)
+        words.append(words_of(text))
+        size += len(words[-1]) + 1
+        if size >= _SLICE:
+            yield places, words
+            places, words, size = [], [], 0
+    if places:
+        yield places, words
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap in which the bit of every id is set, of bounded length; the fuller it is, the more other ids pass."""
+    bits = int(min(_SIEVE_BITS, max(10, np.ceil(np.log2(16 * ids.count() + 1)))))
+    slot = F.shiftrightunsigned("id", 64 - bits)
+    set_bits = ids.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - bits}) & 63 as int))").alias("bit"))
+    found = set_bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
-    def counts(self) -> np.ndarray:
-        n = np.zeros(self.size, np.int64)
-        n[END] = self.ends
-        for symbol, count in self.words.values():
-            n[symbol] = count
-        n[RARE] = self.tokens - n.sum()
-        return n
 
+def _passes(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bits = len(sieve).bit_length() + 5
+    slot = ids >> np.uint64(64 - bits)
+    return (sieve[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
-def _symbols(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """Per row: symbols of the text (16 bits each), base score and count of its frequent words and end, and its rare words."""
-    shared = docs.sparkSession.sparkContext.broadcast(alphabet)
+
+def _successors(texts: DataFrame, depth: int, sieve: Broadcast) -> DataFrame:
+    """context, word, n of contexts of ``depth`` words that pass the sieve."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters: Alphabet = shared.value
-        symbol_of = {w: s for w, (s, _) in letters.words.items()}
-        score = np.zeros(letters.size)
-        score[END] = letters.log10(letters.ends)
-        for s, count in letters.words.values():
-            score[s] = letters.log10(count)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                words = words_of(text)
-                symbols = np.array([symbol_of.get(w, RARE) for w in words] + [END], np.uint16)
-                rare = Counter(w for w in words if w not in symbol_of)
-                rows.append((symbols.tobytes(), float(score[symbols].sum()), len(symbols), len(symbols) - sum(rare.values()), list(rare), list(rare.values())))
-            yield batch.drop(columns="text").assign(**dict(zip(
-                ("symbols", "base_part", "n_tokens", "frequent", "rare", "times"), zip(*rows, strict=True), strict=True))) if rows else pd.DataFrame(
-                {c: [] for c in ("row", "doc_id", "held_out", "symbols", "base_part", "n_tokens", "frequent", "rare", "times")})
+            for _, words in _slices(batch["text"]):
+                _, ids = _sequences(words, depth + 1)
+                inside = np.flatnonzero(ids[depth][1])
+                context = ids[depth - 1][0][inside - 1]
+                passed = _passes(sieve.value, context)
+                inside, context = inside[passed], context[passed]
+                _, first, n = np.unique(ids[depth][0][inside], return_index=True, return_counts=True)
+                yield pd.DataFrame({"context": context[first].view(np.int64), "word": ids[0][0][inside[first]].view(np.int64), "n": n})
+
+    counted = texts.filter("not held_out").select("text").mapInPandas(scan, "context long, word long, n long")
+    return counted.groupBy("context", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUCCESSOR_LEAST)
+
+
+def _grown(texts: DataFrame, words: DataFrame, depth: int, context_least: int) -> DataFrame:
+    """id, value, n: what a sequence adds to the log10 probability of a text at each of its places.
+
+    A context of the tree hands what it leaves to its suffix's distribution: its value is the log of that share. A counted
+    successor has its own probability instead: its value takes the share back and adds the ratio to the suffix's probability.
+    So the values of the sequences that end at a place add up to its log-ratio to the root. ``words``: id, n, p of the root."""
+    context = texts.sparkSession.sparkContext
+    parents = words.select("id", "p")
+    contexts = words.filter((F.col("n") >= context_least) & (F.col("id") != END_ID)).select(
+        F.col("id").alias("context"), F.lit(0).cast("long").alias("suffix"), F.col("n").alias("total"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for d in range(1, depth + 1):
+        sieve = context.broadcast(_sieve(contexts.select(F.col("context").alias("id"))))
+        counted = cut_lineage(_successors(texts, d, sieve), f"suffix-counts-{d}")
+        sieve.destroy()
+        left = F.lit(BLEND) + F.col("total") - F.col("kept") + DISCOUNT * F.col("kinds")
+        states = contexts.join(counted.groupBy("context").agg(F.sum("n").alias("kept"), F.count(F.lit(1)).alias("kinds")), "context").select(
+            "context", "suffix", "total", left.alias("left"))
+        # Every successor of a context is a counted one of its suffix, so the join loses no row.
+        rows = counted.join(states, "context").withColumn("parent", _joined_column("suffix", "word"))
+        rows = rows.join(parents.select(F.col("id").alias("parent"), F.col("p").alias("q")), "parent")
+        given, blended = F.col("left") * F.col("q"), F.col("total") + BLEND
+        without = (F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + given) / (blended - 1)
+        rows = cut_lineage(rows.select(
+            _joined_column("context", "word").alias("id"), "context", "parent", (F.col("word") == END_ID).alias("ends"), "n", "q",
+            ((F.col("n") - DISCOUNT + given) / blended).alias("p"), (F.col("n") * F.log(without / F.col("q"))).alias("gain")), f"suffix-level-{d}")
+        gains = rows.groupBy("context").agg(F.sum("gain").alias("gain"))
+        diverges = (F.col("gain") >= GAIN * F.col("total")) | (F.col("gain") >= GAIN_TOTAL)
+        states = cut_lineage(states.join(gains, "context").select(
+            "context", "suffix", "total", F.log10(F.col("left") / blended).alias("share"), diverges.alias("stays")), f"suffix-states-{d}")
+        levels.append((states, rows))
+        parents = rows.select("id", "p")
+        contexts = rows.filter((F.col("n") >= context_least) & ~F.col("ends")).select(
+            F.col("id").alias("context"), F.col("parent").alias("suffix"), F.col("n").alias("total"))
+    parts, needed = [], None
+    for states, rows in reversed(levels):
+        if needed is None:
+            kept = states.filter("stays")
+        else:
+            kept = states.join(needed, "context", "left").filter("stays or needed")
+        kept = kept.select("context", "suffix", "total", "share")
+        needed = kept.select(F.col("suffix").alias("context")).distinct().withColumn("needed", F.lit(True))
+        parts.append(kept.select(F.col("context").alias("id"), F.col("share").alias("value"), F.col("total").alias("n")))
+        parts.append(rows.join(kept.select("context", "share"), "context").select("id", (F.log10(F.col("p") / F.col("q")) - F.col("share")).alias("value"), "n"))
+    return cut_lineage(reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "suffix-values")
+
+
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows from a count on, at most ``most``: no sort of the table and no merge on the driver."""
+    step = F.floor(F.log2("n") * 8)
+    least, rows = None, 0
+    for r in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+        rows += r["count"]
+        if rows > most:
+            break
+        least = r["step"]
+    return table.filter(F.lit(False) if least is None else step >= least)
+
+
+_SCANNED = ("row long, doc_id long, held_out boolean, n_tokens long, frequent long, base_part double, rare array<binary>, times array<long>, "
+            "tree_part double, others array<long>")
+
+
+def _scanned(texts: DataFrame, hot_words: dict[bytes, float], end: float, hot: tuple[np.ndarray, np.ndarray], sieve: np.ndarray, longest: int) -> DataFrame:
+    """Per row: base score of frequent words and end, the other words, values of frequent sequences, and the other sequences to look up."""
+    shared = texts.sparkSession.sparkContext.broadcast((hot_words, hot, sieve))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        logs, (known, values), bitmap = shared.value
+        for batch in batches:
+            for places, words in _slices(batch["text"]):
+                out = batch.iloc[places].drop(columns="text").reset_index(drop=True)
+                met = [[logs.get(w) for w in text] for text in words]
+                rare = [Counter(w for w, x in zip(text, m, strict=True) if x is None) for text, m in zip(words, met, strict=True)]
+                own, ids = _sequences(words, longest)
+                total, others, of = np.zeros(len(words)), [], []
+                for key, inside in ids:
+                    at = np.flatnonzero(inside & _passes(bitmap, key))
+                    key = key[at]
+                    found = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+                    hit = known[found] == key if len(known) else np.zeros(len(key), bool)
+                    total += np.bincount(own[at[hit]], values[found[hit]], len(words))
+                    others.append(key[~hit].view(np.int64))
+                    of.append(own[at[~hit]])
+                others, of = np.concatenate(others), np.concatenate(of)
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(1, len(words)))
+                yield out.assign(
+                    n_tokens=[len(t) + 1 for t in words], frequent=[len(t) + 1 - r.total() for t, r in zip(words, rare, strict=True)],
+                    base_part=[end + sum(x for x in m if x is not None) for m in met], rare=[list(r) for r in rare], times=[list(r.values()) for r in rare],
+                    tree_part=total, others=np.split(others[order], cuts))
+
+    return texts.select("row", "doc_id", "held_out", "text").mapInPandas(scan, _SCANNED)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_least: int = CONTEXT_LEAST, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    texts = id_and_text(docs, id_col, text_col).withColumn("held_out", id_bucket(F.col("doc_id"), 10) == 0)
+    texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    counts = cut_lineage(_word_counts(texts), "suffix-words")
+    ends = texts.filter("not held_out").count()
+    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    tokens, kinds = (total["n"] or 0) + ends, total["v"] + int(ends > 0)
+    smoothed = tokens + SMOOTH * (kinds + 1)
+    log = lambda n: float(np.log10((n + SMOOTH) / smoothed))
+
+    end_row = counts.sparkSession.createDataFrame([(END_ID, ends)] if ends else [], "id long, n long")
+    words = counts.groupBy("id").agg(F.sum("n").alias("n")).unionAll(end_row).withColumn("p", (F.col("n") + SMOOTH) / smoothed)
+    values = _grown(texts, words, depth, context_least)
+    hot = _most_frequent(values, HOT).select("id", "value").toPandas()
+    known, value = hot["id"].to_numpy(np.int64).view(np.uint64), hot["value"].to_numpy(float)
+    order = np.argsort(known)
+    top = _most_frequent(counts, HOT_WORDS).select("word", "n").toPandas()
+    hot_words = {bytes(w): log(n) for w, n in zip(top["word"], top["n"], strict=True)}
+    rows = cut_lineage(_scanned(texts, hot_words, log(ends), (known[order], value[order]), _sieve(values), depth + 1), "suffix-scanned")
+
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    met = rare.join(counts, "word", "left")
+    logs = F.coalesce(F.log10((F.col("n") + SMOOTH) / smoothed), F.lit(log(0)))
+    tails = met.groupBy("row").agg(
+        F.sum(F.col("times") * logs).alias("rare_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
+    more = rows.select("row", F.explode("others").alias("id")).join(values, "id").groupBy("row").agg(F.sum("value").alias("tree_rest"))
+    scored = rows.drop("rare", "times", "others").join(tails, "row", "left").join(more, "row", "left")
+    base = F.col("base_part") + F.coalesce("rare_score", F.lit(0.0))
+    known_ends = F.col("frequent") if ends else F.col("frequent") - 1
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", (known_ends + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("tree_part") + F.coalesce("tree_rest", F.lit(0.0))).alias("score"))
+
 
-    schema = "row long, doc_id long, held_out boolean, symbols binary, base_part double, n_tokens long, frequent long, rare array<binary>, times array<long>"
-    return docs.mapInPandas(scan, schema)
+# The same tree in memory, over a small alphabet of numbered symbols: what the tables above are tested against.
 
 
 def _keys(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -134,44 +304,6 @@ def _keys(symbols: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
-def _level(rows: DataFrame, depth: int, allowed: np.ndarray | None, least: int) -> pd.DataFrame:
-    """key, n of contexts of ``depth`` symbols with their next symbol, where the context is allowed and n is at least ``least``."""
-    shared = rows.sparkSession.sparkContext.broadcast(allowed)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        contexts = shared.value
-        keys, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-        size = 0
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            flat = np.concatenate([keys, *waiting])
-            weight = np.concatenate([counts, np.ones(len(flat) - len(keys), np.int64)])
-            unique, place = np.unique(flat, return_inverse=True)
-            return unique, np.bincount(place, weight, len(unique)).astype(np.int64)
-
-        for batch in batches:
-            for raw in batch["symbols"]:
-                key = _keys(np.frombuffer(raw, np.uint16), depth)
-                if contexts is not None and len(key):
-                    context = key >> np.uint64(_BITS)
-                    at = np.minimum(np.searchsorted(contexts, context), max(0, len(contexts) - 1))
-                    key = key[contexts[at] == context] if len(contexts) else key[:0]
-                waiting.append(key)
-                size += len(key)
-            if size >= _SLICE:
-                keys, counts = merge()
-                waiting, size = [], 0
-                if len(keys) >= _SLICE:  # enough in memory; Spark adds the parts up
-                    yield pd.DataFrame({"key": keys.view(np.int64), "n": counts})
-                    keys, counts = keys[:0], counts[:0]
-        keys, counts = merge()
-        yield pd.DataFrame({"key": keys.view(np.int64), "n": counts})
-
-    counted = rows.filter("not held_out").select("symbols").mapInPandas(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # What comes back is bounded: at most tokens / least keys.
-    return counted.filter(F.col("n") >= least).toPandas()
-
-
 @dataclass(frozen=True)
 class Level:
     """States of one depth: sorted contexts with their counts and what they leave to the parent; sorted (context, next) keys with counts."""
@@ -252,76 +384,3 @@ def grow(root: np.ndarray, symbol_counts: np.ndarray, counted: list[pd.DataFrame
         rows = keep[np.searchsorted(level.contexts, level.keys >> np.uint64(_BITS))] if len(level.keys) else np.zeros(0, bool)
         out.append(Level(level.contexts[keep], level.totals[keep], level.left[keep], level.keys[rows], level.counts[rows]))
     return Tree(root, out)
-
-
-def _sums(model: Tree, texts: list[np.ndarray], depth: int) -> np.ndarray:
-    """log10 probability of each text. All are put in one array, each after a gap of symbols that are in no context."""
-    gap = np.full(depth, (1 << _BITS) - 1, np.uint16)
-    flat = np.concatenate([x for t in texts for x in (gap, t)])
-    history = np.zeros(len(flat) - depth, np.uint64)
-    for i in range(depth):
-        history = (history << np.uint64(_BITS)) | flat[i:i + len(history)].astype(np.uint64)
-    symbol = flat[depth:]
-    real = symbol != (1 << _BITS) - 1
-    score = np.zeros(len(symbol))
-    score[real] = np.log10(model.probability(history[real], symbol[real]))
-    own = np.repeat(np.arange(len(texts)), [len(t) + depth for t in texts])[depth:]
-    return np.bincount(own, score, len(texts))
-
-
-def _scored(rows: DataFrame, tree: Tree) -> DataFrame:
-    """row, doc_id, held_out, symbol_score: log10 probability of the symbol sequence."""
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: Tree = shared.value
-        depth = len(model.levels)
-        for batch in batches:
-            texts = [np.frombuffer(raw, np.uint16) for raw in batch["symbols"]]
-            slices = np.cumsum([len(t) + depth for t in texts]) // _SLICE
-            total = np.zeros(len(texts))
-            for k in np.unique(slices):
-                part = np.flatnonzero(slices == k)
-                total[part] = _sums(model, [texts[i] for i in part], depth)
-            yield batch[["row"]].assign(symbol_score=total)
-
-    return rows.select("row", "symbols").mapInPandas(scan, "row long, symbol_score double")
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    texts = id_and_text(docs, id_col, text_col).withColumn("held_out", id_bucket(F.col("doc_id"), 10) == 0)
-    texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    counts = cut_lineage(_word_counts(texts), "suffix-words")
-    ends = texts.filter("not held_out").count()
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, kinds = (total["n"] or 0) + ends, total["v"] + int(ends > 0)
-    least = max(2, int(np.ceil(share * tokens)))
-    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit((1 << _BITS) - 4).collect()  # at most 1 / share words
-    alphabet = Alphabet(tokens, kinds, ends, {bytes(r["word"]): (i + 2, r["n"]) for i, r in enumerate(top)})
-
-    rows = cut_lineage(_symbols(texts, alphabet), "suffix-symbols")
-    counted: list[pd.DataFrame] = []
-    allowed: np.ndarray | None = None
-    entry = max(2, int(np.ceil(ENTRY_SHARE * tokens)))
-    for d in range(1, depth + 1):
-        counted.append(_level(rows, d, allowed, entry))
-        frequent = counted[-1]["key"].to_numpy(np.int64).view(np.uint64)[counted[-1]["n"].to_numpy() >= least]
-        allowed = np.sort(frequent)
-    root = alphabet.root()
-    tree = grow(root, alphabet.counts(), counted)
-
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    unknown, rare_root = float(alphabet.log10(0)), float(np.log10(root[RARE]))
-    met = rare.join(counts.filter(F.col("n") < least), "word", "left")
-    log = F.coalesce(F.log10((F.col("n") + SMOOTH) / (alphabet.tokens + SMOOTH * (alphabet.kinds + 1))), F.lit(unknown))
-    tails = met.groupBy("row").agg(
-        F.sum(F.col("times") * log).alias("rare_score"), F.sum("times").alias("rare_tokens"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    scored = rows.select("row", "doc_id", "held_out", "base_part", "n_tokens", "frequent").join(_scored(rows, tree), "row").join(tails, "row", "left")
-    tail = F.coalesce("rare_score", F.lit(0.0))
-    known_ends = F.col("frequent") if ends else F.col("frequent") - 1
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", (known_ends + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_part") + tail).alias("base_score"),
-        (F.col("symbol_score") + tail - F.coalesce("rare_tokens", F.lit(0)) * rare_root).alias("score"))
