@@ -68,3 +68,20 @@ def test_digest_and_redaction(spark, make_docs, odd_docs, odd_rows):
 def test_long_runs_stay_linear():
     for text in ("1" * 200_000, "a" * 200_000, "a@" * 100_000, "+" * 200_000, "+1" + " " * 200_000, "one " * 50_000, "1.2.3." * 40_000, " at " * 50_000):
         pii.all_spans(text)
+
+
+@pytest.mark.parametrize("text, kind, hidden", [
+    ("x j\u043ehn@example.com y", "email", "j\u043ehn@example.com"),  # the plain expression finds hn@example.com
+    ("x john@example.c\u043em y", "email", "john@example.c\u043em"), ("x john@mail.example.c\u043em y", "email", "john@mail.example.c\u043em"),
+    ("ip 10.0.0.1\uff12\uff13 y", "ip", "10.0.0.1\uff12\uff13"), ("call +1 555 123 456\uff17\uff18 y", "phone", "+1 555 123 456\uff17\uff18"),
+    ("x john dot doe@example.com y", "email", "john dot doe@example.com"), ("x john[.]doe@example.com y", "email", "john[.]doe@example.com"),
+])
+def test_a_plain_stump_does_not_hide_the_whole(spark, text, kind, hidden):
+    _, added = pii.all_spans(text)
+    assert [(pii.KINDS[k], text[s:e]) for s, e, k in added] == [(kind, hidden)]
+    clean = pii.redact(spark.createDataFrame([(text,)], "text string")).first().text
+    assert clean == text.replace(hidden, f"<{kind.upper()}>")
+
+
+def test_a_sentence_before_a_plain_address_is_not_part_of_it():
+    assert pii.all_spans("the end . bob@example.com dot")[1] == [] and pii.all_spans("(dot) the end . bob@example.com")[1] == []

@@ -102,7 +102,8 @@ _LABEL = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
 # A bare " at " only counts before a disguised dot; "see you at example.com" is ordinary prose.
 _MAIL = re.compile(
     rf"(?<![A-Za-z0-9%+])[A-Za-z0-9%+]+(?:(?:[._-]|{_DOT})[A-Za-z0-9%+]+)*?"
-    rf"(?:(?P<sign>{_AT_SIGN}){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?P<word>@|{_AT_WORD}){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+(?:\.{_LABEL})*)", re.IGNORECASE)
+    rf"(?:(?P<sign>{_AT_SIGN}){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?P<word>@|{_AT_WORD}){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+(?:\.{_LABEL})*"
+    rf"|(?P<plain>@){_LABEL}(?:\.{_LABEL})+)", re.IGNORECASE)
 _MAIL_GATE = re.compile(rf"{_OPEN} ?(?:at|@|dot|\.) ?{_CLOSE}|[_-](?:at|dot)[_-]| dot | @ ", re.IGNORECASE)
 _AT_ANY, _DOT_ANY = re.compile(rf"{_AT_SIGN}|{_AT_WORD}", re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
 _DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
@@ -169,9 +170,11 @@ def normalised(text: str) -> Tape | None:
     if _MAIL_GATE.search(tape.text):
         edits = []
         for m in _MAIL.finditer(tape.text):
-            kind = "sign" if m["sign"] else "word"
+            kind = next(k for k in ("sign", "word", "plain") if m[k])
             a, b = m.span(kind)
-            edits += [(d.start(), d.end(), ".") for d in _DOT_ANY.finditer(tape.text, m.start(), a)]
+            # Before a plain address a spaced full stop ends a sentence.
+            start = max(m.start(), tape.text.rfind(" . ", m.start(), a) + 3) if kind == "plain" and " . " in m[0] else m.start()
+            edits += [(d.start(), d.end(), ".") for d in _DOT_ANY.finditer(tape.text, start, a)]
             edits.append((a, b, "@"))
             edits += [(d.start(), d.end(), ".") for d in _DOT_ANY.finditer(tape.text, b, m.end())]
         tape.rewrite(edits)
@@ -194,7 +197,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     for s, e, kind in hits:
         if any(tape.changed[s:e]):
             a, b = tape.begin[s], tape.end[e - 1]
-            if not any(k == kind and x < b and a < y for x, y, k in plain):
+            # A plain span may be a stump of the hit: only one that covers the hit makes it superfluous.
+            if not any(k == kind and x <= a and b <= y for x, y, k in plain):
                 added.append((a, b, kind))
     return plain, added
 
