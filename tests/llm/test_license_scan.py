@@ -24,3 +24,23 @@ def test_edges(odd_docs, odd_rows):
     rows = ls.scan_licenses(odd_docs).collect()
     assert len(rows) == len(odd_rows) and all(r.notices == [] for r in rows)
     assert ls.scan_licenses(odd_docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("x\nLicensed under CC BY 4.0.\nAll rights reserved.\ny", ["CC-BY-4.0", "proprietary"]),
+    ("Released under the MIT License.\ncode\nLicensed under CC0 1.0.\nReleased under the MIT License.", ["MIT", "CC0-1.0", "MIT"]),
+    ("Licensed under the MIT License.\nLicence of the logo: ask me", ["MIT", "unknown"]),
+])
+def test_every_notice_of_a_block(text, names):
+    found = ls.Scanner().notices(text)
+    assert [n["license"] for n in found] == names
+    assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))
+
+
+def test_many_equal_notices_are_judged_once(monkeypatch):
+    scanner, calls = ls.Scanner(), []
+    judge = scanner.judge
+    monkeypatch.setattr(scanner, "judge", lambda block: calls.append(block) or judge(block))
+    assert len(scanner.notices("Released under the MIT License.\n" * 40)) == 40 and len(calls) == 1

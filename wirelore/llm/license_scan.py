@@ -93,41 +93,69 @@ class Scanner:
         saved = [(1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def differences(self, words: list[str], template: int) -> tuple[int, int, bool]:
-        """Words that differ inside the aligned stretch, its template words, and whether a name or version differs."""
+    def aligned(self, words: list[str], template: int) -> tuple[int, int, bool, tuple[int, int]]:
+        """Words that differ inside the aligned stretch, its template words, whether a name or version differs, and the stretch."""
         other = self.words[template]
         matcher = difflib.SequenceMatcher(None, words, other, autojunk=False)
         same = matcher.get_matching_blocks()[:-1]
         if not same:
-            return max(len(words), len(other)), 0, True
+            return max(len(words), len(other)), 0, True, (0, 0)
         # Words around the template belong to the document, missing template words are differences.
         first, last = same[0], same[-1]
         inside = words[first.a:last.a + last.size]
         kept = sum(m.size for m in same)
         extra, missing = len(inside) - kept, len(other) - kept
         mine, theirs = [w for w in inside if _KEY.search(w)], [w for w in other if _KEY.search(w)]
-        return extra + missing, len(other), mine != theirs
+        return extra + missing, len(other), mine != theirs, (first.a, last.a + last.size)
+
+    def judge(self, block: str) -> tuple[dict, str]:
+        """The best confirmed notice in a block and its wording; without one, an unknown notice and no wording."""
+        words, ranks = self._words(block), self.ranked(block)
+        nearest = self.templates[ranks[0][1]][0] if ranks else None
+        for saved, i in ranks:
+            if saved <= 0:
+                break
+            differing, size, key, (first, last) = self.aligned(words, i)
+            if size and not key and differing <= self.max_difference * size:
+                places = [m.span() for m in _WORD.finditer(block)]
+                wording = block[places[first][0]:places[last - 1][1]]
+                return {"license": self.templates[i][0], "nearest": nearest, "saved": float(saved), "differing_words": differing}, wording
+        saved, i = ranks[0] if ranks else (0.0, -1)
+        differing = self.aligned(words, i)[0] if ranks else len(words)
+        return {"license": "unknown", "nearest": nearest, "saved": float(saved), "differing_words": differing}, ""
 
     def notices(self, text: str) -> list[dict]:
-        found = []
-        for start, end in candidate_blocks(text):
+        """Every confirmed notice is cut out of its block, at all places of its wording, and what remains is judged again while
+        it has a licensing word. A notice reaches to the ends of its block, or to its wording's where another one follows."""
+        found, judged = [], {}
+        waiting = candidate_blocks(text)
+        while waiting:
+            start, end = waiting.pop()
             block = text[start:end]
-            words, ranks = self._words(block), self.ranked(block)
-            winner = None
-            for saved, i in ranks:
-                if saved <= 0:
-                    break
-                differing, size, key = self.differences(words, i)
-                if size and not key and differing <= self.max_difference * size:
-                    winner = (self.templates[i][0], saved, differing)
-                    break
-            best = ranks[0] if ranks else (0.0, -1)
-            nearest = self.templates[best[1]][0] if ranks else None
-            name, saved, differing = winner or ("unknown", best[0], self.differences(words, best[1])[0] if ranks else len(words))
-            found.append({"license": name, "nearest": nearest, "start": start, "end": end, "saved": float(saved), "differing_words": differing})
-        return found
-
-
+            if block not in judged:
+                judged[block] = self.judge(block)
+            notice, wording = judged[block]
+            cuts = [m.span() for m in re.finditer(re.escape(wording), block)] if wording else [(0, len(block))]
+            at = 0
+            for k, (a, b) in enumerate(cuts):
+                after = cuts[k + 1][0] if k + 1 < len(cuts) else len(block)
+                rest = [(x, y) for x, y in ((at, a),) if _CUE.search(block, x, y)]
+                tail = k + 1 == len(cuts) and _CUE.search(block, b, after) is not None
+                if tail:
+                    rest.append((b, after))
+                for x, y in rest:
+                    piece = block[x:y]
+                    x += len(piece) - len(piece.lstrip(_AROUND))
+                    waiting.append((start + x, start + x + len(piece.strip(_AROUND))))
+                left = a if rest and rest[0][1] == a and rest[0][0] == at else at
+                right = b if tail or k + 1 < len(cuts) else len(block)
+                found.append(notice | {"start": start + left, "end": start + right})
+                at = b
+        return sorted(({k: n[k] for k in _FIELDS} for n in found), key=lambda n: (n["start"], n["end"]))
+
+
+_AROUND = " \t\r\n.,;:"
+_FIELDS = ("license", "nearest", "start", "end", "saved", "differing_words")
 _NOTICE = "license:string,nearest:string,start:int,end:int,saved:double,differing_words:int"
 
 
