@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, near_dedup, packing, pii, suffix_tree, token_counts, toxicity, url_filter
+from . import ann, decontaminate, license_scan, mixture_shards, near_dedup, packing, pii, suffix_tree, token_counts, toxicity, url_filter
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +60,16 @@ def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_sort(F.array_distinct(names)).alias("licenses"), "notices")
 
 
+def op13_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_shards.digest(mixture_shards.assign_shards(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_pii_spans, op3_near_duplicates, op4_suffix_tree_scores, op5_benchmark_leaks, op6_nearest_vectors, op7_url_verdicts, op8_toxicity, op9_token_counts, op10_license_notices)
+    f.__name__: f for f in (op1_packing, op2_pii_spans, op3_near_duplicates, op4_suffix_tree_scores, op5_benchmark_leaks, op6_nearest_vectors, op7_url_verdicts, op8_toxicity, op9_token_counts, op10_license_notices, op13_mixture_shards)
 }
 
 ORACLE: dict[str, str] = {
+    "op13_mixture_shards": mixture_shards.SHARDS_SQL,
     "op5_benchmark_leaks": decontaminate.LEAKS_SQL,
     "op6_nearest_vectors": """
         with good as (
