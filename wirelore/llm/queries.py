@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversation_repair, decontaminate, license_scan, mixture_shards, near_dedup, packing, pii, suffix_tree, token_counts, toxicity, url_filter
+from . import ann, conversation_repair, decontaminate, license_scan, mixture_shards, near_dedup, packing, pii, prefix_trie, suffix_tree, token_counts, toxicity, url_filter
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,17 +64,22 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(conversation_repair.damage(table(spark, sf_dir, "conversations")), "present")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shards.digest(mixture_shards.assign_shards(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_packing, op2_pii_spans, op3_near_duplicates, op4_suffix_tree_scores, op5_benchmark_leaks, op6_nearest_vectors, op7_url_verdicts, op8_toxicity, op9_token_counts, op10_license_notices,
-        op11_conversation_repair, op13_mixture_shards)
+        op11_conversation_repair, op12_conversation_trie, op13_mixture_shards)
 }
 
 ORACLE: dict[str, str] = {
     "op11_conversation_repair": conversation_repair.REPAIR_SQL,
+    "op12_conversation_trie": prefix_trie.TRIE_SQL,
     "op13_mixture_shards": mixture_shards.SHARDS_SQL,
     "op5_benchmark_leaks": decontaminate.LEAKS_SQL,
     "op6_nearest_vectors": """
