@@ -84,7 +84,9 @@ def correlated_batch(df: DataFrame, source: str, bucket_seconds: int = 1, with_t
     staged, parts = staged_facts(df, PARTS[source](df))
     some = reduce(lambda a, b: a | b, [filled(p) for p in parts])
     facts = [fact_of(parts, *spec).alias(name) for name, spec in CORRELATION_FACTS.items()]
-    keyed = with_correlation(computed(staged.filter(some), "meta", F.struct(*facts)), bucket_seconds)
+    # The condition is a flag of the generated struct: a filter over all facts would be taken apart by the optimizer.
+    found = computed(staged, "_m", F.struct(some.alias("some"), F.struct(*facts).alias("meta"))).filter("_m.some")
+    keyed = with_correlation(found.withColumn("meta", F.col("_m.meta")).drop("_m"), bucket_seconds)
     return add_blocks(keyed.filter(F.col("corr_key").isNotNull()), parts) if with_text else keyed.drop("_facts")
 
 
