@@ -10,11 +10,15 @@ stays are kept too. Successors are discounted (``DISCOUNT``); what that leaves,
 distribution. A text is scored at the longest suffix in the tree.
 
 All counts cover all training documents, and words, contexts and successors stay in tables whose size follows the input.
-Bounded on driver and tasks are only two aids that change no result: the values of the ``HOT`` most frequent words and
-sequences, which need no join, and a bitmap that spares joining sequences that are in no table.
+Occurrences never become rows: a task counts the sequences of a slice of texts as arrays and deals them to buckets by
+their hash, one binary row per slice and bucket; a bucket adds up its arrays and hands on the successors that are
+frequent enough. Scoring goes the same way: ids to look up are dealt to the buckets of the value table, sums per document
+come back to their slice. The number of buckets follows the size of the texts, so a bucket's size does not.
+Bounded on driver and tasks are only two aids that change no result: the values of the ``HOT`` most frequent sequences and
+``HOT_WORDS`` most frequent words, which need no look-up elsewhere, and a bitmap that spares those of sequences in no table.
 
-Sequences go by a 64-bit hash of their words; two different ones share theirs with a chance of about n^2 / 2^65 among n.
-Base score and counts of words go by the words themselves.
+Words go by a 64-bit hash of their bytes, sequences by one of their words' hashes; two different ones share theirs with a
+chance of about n^2 / 2^65 among n.
 
 Defined results: a null, empty or blank text is the end token alone. A null id counts as training. Repeated rows count and
 come back repeatedly; an empty table gives an empty table; without training rows every word is unknown and N, V are 0.
@@ -23,7 +27,6 @@ Texts of any length are taken whole; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tables import id_and_text, id_bucket
+from .tables import free_finished, id_and_text, id_bucket
 
 CONTEXT_LEAST = 16
 SUCCESSOR_LEAST = 2
@@ -45,48 +48,91 @@ GAIN_TOTAL = 50.0
 BLEND = 10.0
 DISCOUNT = 0.75
 SMOOTH = 0.1
-HOT_WORDS, HOT = 60_000, 1 << 17  # looked up in the task; all others are joined
-_SIEVE_BITS = 26
+HOT_WORDS, HOT = 1 << 17, 1 << 19  # looked up in the task; all others in their bucket
+_SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
-_END = b" "  # no word holds a space
+_END = b"\xff"  # a byte that no text holds
 _BITS = 16
-_FLUSH = 300_000
-_SLICE = 1_000_000  # positions worked on at once
+_SLICE = 12 << 20  # bytes of text worked on at once
+_BUCKET = 1 << 23  # bytes of text per bucket
+
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32
+_LOWER += 1
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    flat = np.empty(len(words), object)
-    flat[:] = words
-    return pd.util.hash_array(flat, categorize=False)
-
-
-END_ID = int(_hashes([_END]).view(np.int64)[0])
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """word, id, n over the training rows."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[bytes] = Counter()
-
-        def part() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(counts), "id": _hashes(list(counts)).view(np.int64), "n": list(counts.values())})
-
-        for batch in batches:
-            for text in batch["text"]:
-                counts.update(words_of(text))
-                if len(counts) >= _FLUSH:
-                    yield part()
-                    counts.clear()
-        if counts:
-            yield part()
-
-    counted = docs.filter("not held_out").select("text").mapInPandas(scan, "word binary, id long, n long")
-    return counted.groupBy("word", "id").agg(F.sum("n").alias("n"))
+def _hashes(text: bytes) -> np.ndarray:
+    """Hash of each word of a text: a polynomial in its lower-cased bytes, mixed."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.flatnonzero(~_WHITE[raw])
+    if not len(inside):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.diff(inside, prepend=-2) != 1)
+    sizes = np.diff(first, append=len(inside))
+    powers = np.full(sizes.max(), _BASE)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    h = np.add.reduceat(_LOWER[raw[inside]] * powers[place], first)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+END = _hashes(_END)[0]
+END_ID = int(END.view(np.int64))
+
+
+@dataclass
+class Slice:
+    """Some texts in a row: their frame without the texts, the hash of each token and its text and place there."""
+
+    frame: pd.DataFrame
+    ids: np.ndarray
+    own: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, frames: list[pd.DataFrame]) -> Slice:
+        frame = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0].reset_index(drop=True)
+        texts = b"".join(t.encode("utf-8", "surrogatepass") + b" \xff " for t in frame["text"])
+        ids = _hashes(texts)
+        ends = np.flatnonzero(ids == END)
+        sizes = np.diff(ends, prepend=-1)
+        own = np.repeat(np.arange(len(ends)), sizes)
+        return cls(frame.drop(columns="text"), ids, own, np.arange(len(ids)) - np.repeat(ends + 1 - sizes, sizes))
+
+    def sequences(self, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the sequences of 1, 2, ... words that end at each token, with the places of those inside their text."""
+        out = [(self.ids, np.arange(len(self.ids)))]
+        for length in range(2, longest + 1):
+            before = np.concatenate([np.zeros(1, np.uint64), out[-1][0][:-1]])
+            out.append((_joined(before, self.ids), np.flatnonzero(self.place >= length - 1)))
+        return out
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[Slice]:
+    frames, size = [], 0
+    for batch in batches:
+        while len(batch):
+            room = np.searchsorted(np.cumsum(batch["text"].str.len().to_numpy()), _SLICE - size) + 1
+            frames.append(batch.iloc[:room])
+            size += int(frames[-1]["text"].str.len().sum())
+            batch = batch.iloc[room:]
+            if size >= _SLICE:
+                yield Slice.of(frames)
+                frames, size = [], 0
+    if frames:
+        yield Slice.of(frames)
 
 
 def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -99,70 +145,105 @@ def _joined_column(context: str, word: str) -> Column:
     return turned.bitwiseXOR(F.col(word))
 
 
-def _sequences(words: list[list[bytes]], longest: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Text of each word (an end after each text), and ids of the sequences of 1, 2, ... words that end there with a mask of
-    those inside their text, as (id, mask) pairs."""
-    flat = _hashes([w for text in words for w in (*text, _END)])
-    sizes = np.array([len(text) + 1 for text in words])
-    own = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = [(flat, np.ones(len(flat), bool))]
-    for length in range(2, longest + 1):
-        before = np.concatenate([np.zeros(1, np.uint64), out[-1][0][:-1]])
-        out.append((_joined(before, flat), place >= length - 1))
-    return own, out
-
-
-def _slices(batch: pd.Series) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """Places and words of consecutive texts, about ``_SLICE`` words at once."""
-    places, words, size = [], [], 0
-    for i, text in enumerate(batch):
-        places.append(i)
-        words.append(words_of(text))
-        size += len(words[-1]) + 1
-        if size >= _SLICE:
-            yield places, words
-            places, words, size = [], [], 0
-    if places:
-        yield places, words
+def _cuts(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Where sorted ids pass from bucket to bucket: buckets are equal ranges of ids."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(ids, edges), [len(ids)]])
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bitmap in which the bit of every id is set, of bounded length; the fuller it is, the more other ids pass."""
-    bits = int(min(_SIEVE_BITS, max(10, np.ceil(np.log2(16 * ids.count() + 1)))))
-    slot = F.shiftrightunsigned("id", 64 - bits)
-    set_bits = ids.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - bits}) & 63 as int))").alias("bit"))
-    found = set_bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+_CHUNK = "bucket int, kind int, unit long, a binary, b binary, c binary"
 
 
-def _passes(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bits = len(sieve).bit_length() + 5
-    slot = ids >> np.uint64(64 - bits)
-    return (sieve[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+def _chunks(buckets: int, kind: int, unit: int, ids: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """One row per bucket that sorted ``ids`` fall into, with the ids first or, for two columns, only these."""
+    cuts = _cuts(ids, buckets)
+    used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
+    out = {"bucket": used, "kind": kind, "unit": unit}
+    for name, column in zip("abc", columns, strict=False):
+        out[name] = [column[cuts[b]:cuts[b + 1]].tobytes() for b in used]
+    return pd.DataFrame({**out, **{x: None for x in "abc" if x not in out}})[["bucket", "kind", "unit", "a", "b", "c"]]
 
 
-def _successors(texts: DataFrame, depth: int, sieve: Broadcast) -> DataFrame:
-    """context, word, n of contexts of ``depth`` words that pass the sieve."""
+def _grouped(batches: Iterator[pd.DataFrame], by: str) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Consecutive rows that share ``by``."""
+    held, key = [], None
+    for batch in batches:
+        for value, rows in batch.groupby(by, sort=True):
+            if value != key and held:
+                yield key, pd.concat(held, ignore_index=True)
+                held = []
+            key = value
+            held.append(rows)
+    if held:
+        yield key, pd.concat(held, ignore_index=True)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, words in _slices(batch["text"]):
-                _, ids = _sequences(words, depth + 1)
-                inside = np.flatnonzero(ids[depth][1])
+
+def _array(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column if x is not None), kind)
+
+
+def _dealt(chunks: DataFrame, buckets: int, *order: str) -> DataFrame:
+    return chunks.repartition(buckets, order[0]).sortWithinPartitions(*order)
+
+
+def _counted(texts: DataFrame, buckets: int, depth: int, sieve: Broadcast | None, least: int) -> DataFrame:
+    """context, word, n of contexts of ``depth`` words that pass the sieve; without a context for depth 0."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _slices(batches):
+            ids = part.sequences(depth + 1)
+            sequence, inside = ids[depth]
+            if depth:
                 context = ids[depth - 1][0][inside - 1]
                 passed = _passes(sieve.value, context)
                 inside, context = inside[passed], context[passed]
-                _, first, n = np.unique(ids[depth][0][inside], return_index=True, return_counts=True)
-                yield pd.DataFrame({"context": context[first].view(np.int64), "word": ids[0][0][inside[first]].view(np.int64), "n": n})
+            found, first, n = np.unique(sequence[inside], return_index=True, return_counts=True)
+            columns = (context[first], part.ids[inside[first]]) if depth else (found, found)
+            yield _chunks(buckets, 0, 0, found, *columns, n.astype(np.uint32))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _grouped(batches, "bucket"):
+            context, word, n = _array(rows["a"], np.uint64), _array(rows["b"], np.uint64), _array(rows["c"], np.uint32)
+            key = _joined(context, word) if depth else word
+            order = np.argsort(key)
+            first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+            total = np.add.reduceat(n[order].astype(np.int64), first)
+            kept, total = order[first[total >= least]], total[total >= least]
+            yield pd.DataFrame({"context": context[kept].view(np.int64), "word": word[kept].view(np.int64), "n": total})
+
+    chunks = texts.filter("not held_out").select("text").mapInPandas(deal, _CHUNK)
+    return _dealt(chunks, buckets, "bucket").mapInPandas(add, "context long, word long, n long")
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed length in which the bit of every id is set; the fuller it is, the more other ids pass.
+
+    Tasks make its blocks; the driver only puts these in a row."""
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch["id"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - _SIEVE_BITS)
+            for block in np.unique(slots >> np.uint64(_BLOCK_BITS)):
+                own = slots[slots >> np.uint64(_BLOCK_BITS) == block] & np.uint64((1 << _BLOCK_BITS) - 1)
+                blocks.setdefault(int(block), np.zeros(1 << _BLOCK_BITS, bool))[own.astype(np.int64)] = True
+        yield pd.DataFrame({"block": list(blocks), "bits": [np.packbits(b, bitorder="little").tobytes() for b in blocks.values()]})
+
+    block = F.shiftrightunsigned("id", 64 - _SIEVE_BITS + _BLOCK_BITS)
+    made = ids.select("id").repartition(1 << (_SIEVE_BITS - _BLOCK_BITS - 3), block).mapInPandas(bits, "block long, bits binary")
+    out = np.zeros(1 << (_SIEVE_BITS - 6), np.uint64)
+    words = 1 << (_BLOCK_BITS - 6)
+    for r in made.collect():  # 8 MB in all
+        out[r["block"] * words:(r["block"] + 1) * words] = np.frombuffer(r["bits"], np.uint64)
+    return out
 
-    counted = texts.filter("not held_out").select("text").mapInPandas(scan, "context long, word long, n long")
-    return counted.groupBy("context", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUCCESSOR_LEAST)
+
+def _passes(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = ids >> np.uint64(64 - _SIEVE_BITS)
+    return (sieve[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _grown(texts: DataFrame, words: DataFrame, depth: int, context_least: int) -> DataFrame:
+def _grown(texts: DataFrame, words: DataFrame, buckets: int, depth: int, context_least: int) -> DataFrame:
     """id, value, n: what a sequence adds to the log10 probability of a text at each of its places.
 
     A context of the tree hands what it leaves to its suffix's distribution: its value is the log of that share. A counted
@@ -175,8 +256,9 @@ def _grown(texts: DataFrame, words: DataFrame, depth: int, context_least: int) -
     levels: list[tuple[DataFrame, DataFrame]] = []
     for d in range(1, depth + 1):
         sieve = context.broadcast(_sieve(contexts.select(F.col("context").alias("id"))))
-        counted = cut_lineage(_successors(texts, d, sieve), f"suffix-counts-{d}")
+        counted = cut_lineage(_counted(texts, buckets, d, sieve, SUCCESSOR_LEAST), f"suffix-counts-{d}")
         sieve.destroy()
+        free_finished(context)
         left = F.lit(BLEND) + F.col("total") - F.col("kept") + DISCOUNT * F.col("kinds")
         states = contexts.join(counted.groupBy("context").agg(F.sum("n").alias("kept"), F.count(F.lit(1)).alias("kinds")), "context").select(
             "context", "suffix", "total", left.alias("left"))
@@ -192,6 +274,7 @@ def _grown(texts: DataFrame, words: DataFrame, depth: int, context_least: int) -
         diverges = (F.col("gain") >= GAIN * F.col("total")) | (F.col("gain") >= GAIN_TOTAL)
         states = cut_lineage(states.join(gains, "context").select(
             "context", "suffix", "total", F.log10(F.col("left") / blended).alias("share"), diverges.alias("stays")), f"suffix-states-{d}")
+        free_finished(context)
         levels.append((states, rows))
         parents = rows.select("id", "p")
         contexts = rows.filter((F.col("n") >= context_least) & ~F.col("ends")).select(
@@ -206,7 +289,7 @@ def _grown(texts: DataFrame, words: DataFrame, depth: int, context_least: int) -
         needed = kept.select(F.col("suffix").alias("context")).distinct().withColumn("needed", F.lit(True))
         parts.append(kept.select(F.col("context").alias("id"), F.col("share").alias("value"), F.col("total").alias("n")))
         parts.append(rows.join(kept.select("context", "share"), "context").select("id", (F.log10(F.col("p") / F.col("q")) - F.col("share")).alias("value"), "n"))
-    return cut_lineage(reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "suffix-values")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _most_frequent(table: DataFrame, most: int) -> DataFrame:
@@ -221,75 +304,132 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
     return table.filter(F.lit(False) if least is None else step >= least)
 
 
-_SCANNED = ("row long, doc_id long, held_out boolean, n_tokens long, frequent long, base_part double, rare array<binary>, times array<long>, "
-            "tree_part double, others array<long>")
+class Values:
+    """Sorted ids with what they add to a text's score, and for words the log10 probability at the root (else NaN)."""
+
+    def __init__(self, ids: np.ndarray, value: np.ndarray, base: np.ndarray) -> None:
+        order = np.argsort(ids)
+        self.ids, self.value, self.base = ids[order], value[order], base[order]
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found) of each id."""
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return at, self.ids[at] == ids
 
+    def sums(self, ids: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per text (value, base, number of words found), and a mask of what was found."""
+        at, found = self.find(ids)
+        at, own = at[found], own[found]
+        base = self.base[at]
+        word = ~np.isnan(base)
+        return np.stack([
+            np.bincount(own, self.value[at], size), np.bincount(own[word], base[word], size), np.bincount(own[word], minlength=size).astype(float)]), found
 
-def _scanned(texts: DataFrame, hot_words: dict[bytes, float], end: float, hot: tuple[np.ndarray, np.ndarray], sieve: np.ndarray, longest: int) -> DataFrame:
-    """Per row: base score of frequent words and end, the other words, values of frequent sequences, and the other sequences to look up."""
-    shared = texts.sparkSession.sparkContext.broadcast((hot_words, hot, sieve))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs, (known, values), bitmap = shared.value
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unknown: float, tokens: int) -> DataFrame:
+    """Look up all sequences of all texts. ``values``: id, value, base, n."""
+    context = texts.sparkSession.sparkContext
+    frequent = [_most_frequent(part, most).select("id", "value", "base").toPandas() for part, most in (
+        (values.filter("base is not null"), HOT_WORDS), (values.filter("base is null"), HOT))]
+    frequent = pd.concat(frequent, ignore_index=True)
+    hot = Values(frequent["id"].to_numpy(np.int64).view(np.uint64), frequent["value"].to_numpy(float), frequent["base"].to_numpy(float))
+    shared = context.broadcast((hot, _sieve(values)))
+    del frequent, hot
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums over what is at hand, for the slice's own bucket (kind 1), and ids to look up with their texts (kind 2)."""
+        known, sieve = shared.value
+        for part in _slices(batches):
+            size = len(part.frame)
+            total, ids, own = np.zeros((3, size)), [], []
+            for key, inside in part.sequences(longest):
+                key = key[inside]
+                maybe = _passes(sieve, key)
+                key, of = key[maybe], part.own[inside[maybe]]
+                more, found = known.sums(key, of, size)
+                total += more
+                ids.append(key[~found])
+                own.append(of[~found])
+            ids, own = np.concatenate(ids), np.concatenate(own).astype(np.uint32)
+            order = np.argsort(ids)
+            unit = int(part.frame["row"].iloc[0])
+            yield _chunks(buckets, 2, unit, ids[order], ids[order], own[order])
+            ids_of = part.frame["doc_id"]
+            facts = np.stack([
+                ids_of.fillna(0).to_numpy(np.int64), ids_of.isna().to_numpy(np.int64), part.frame["held_out"].to_numpy(np.int64), np.bincount(part.own, minlength=size)])
+            yield pd.DataFrame({"bucket": [unit % buckets], "kind": [1], "unit": [unit], "a": [facts.tobytes()], "b": [total.tobytes()], "c": [None]})
+
+    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["id"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(ids)
+            yield _chunks(buckets, 0, 0, ids[order], ids[order], batch["value"].to_numpy(float)[order], batch["base"].to_numpy(float)[order])
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Table rows come first in their bucket; answers are sums per text of the asking slice (kind 2), the rest goes on."""
+        known, bucket, held = Values(*np.zeros((3, 0))), None, []
         for batch in batches:
-            for places, words in _slices(batch["text"]):
-                out = batch.iloc[places].drop(columns="text").reset_index(drop=True)
-                met = [[logs.get(w) for w in text] for text in words]
-                rare = [Counter(w for w, x in zip(text, m, strict=True) if x is None) for text, m in zip(words, met, strict=True)]
-                own, ids = _sequences(words, longest)
-                total, others, of = np.zeros(len(words)), [], []
-                for key, inside in ids:
-                    at = np.flatnonzero(inside & _passes(bitmap, key))
-                    key = key[at]
-                    found = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                    hit = known[found] == key if len(known) else np.zeros(len(key), bool)
-                    total += np.bincount(own[at[hit]], values[found[hit]], len(words))
-                    others.append(key[~hit].view(np.int64))
-                    of.append(own[at[~hit]])
-                others, of = np.concatenate(others), np.concatenate(of)
-                order = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[order], np.arange(1, len(words)))
-                yield out.assign(
-                    n_tokens=[len(t) + 1 for t in words], frequent=[len(t) + 1 - r.total() for t, r in zip(words, rare, strict=True)],
-                    base_part=[end + sum(x for x in m if x is not None) for m in met], rare=[list(r) for r in rare], times=[list(r.values()) for r in rare],
-                    tree_part=total, others=np.split(others[order], cuts))
-
-    return texts.select("row", "doc_id", "held_out", "text").mapInPandas(scan, _SCANNED)
+            for own, rows in batch.groupby("bucket", sort=True):
+                if own != bucket:
+                    bucket, held, known = own, [], None
+                held.append(rows[rows["kind"] == 0])
+                asked = rows[rows["kind"] > 0]
+                if not len(asked):
+                    continue
+                if known is None:
+                    chunk = pd.concat(held, ignore_index=True)
+                    known, held = Values(_array(chunk["a"], np.uint64), _array(chunk["b"], float), _array(chunk["c"], float)), []
+                passed = asked[asked["kind"] == 1]
+                if len(passed):
+                    yield passed[["kind", "unit", "a", "b"]]
+                for unit, a, b in asked.loc[asked["kind"] == 2, ["unit", "a", "b"]].itertuples(index=False):
+                    ids, own_text = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+                    places, local = np.unique(own_text, return_inverse=True)
+                    sums, _ = known.sums(ids, local, len(places))
+                    yield pd.DataFrame({"kind": [2], "unit": [unit], "a": [places.tobytes()], "b": [sums.tobytes()]})
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _grouped(batches, "unit"):
+            own = rows[rows["kind"] == 1].iloc[0]
+            facts = np.frombuffer(own["a"], np.int64).reshape(4, -1)
+            total = np.frombuffer(own["b"], float).reshape(3, -1).copy()
+            for a, b in rows.loc[rows["kind"] == 2, ["a", "b"]].itertuples(index=False):
+                total[:, np.frombuffer(a, np.uint32)] += np.frombuffer(b, float).reshape(3, -1)
+            value, base, met = total
+            size, met = facts[3], met.astype(np.int64)
+            base = base + (size - met) * unknown
+            ids = pd.array(facts[0], dtype="Int64")
+            ids[facts[1] == 1] = pd.NA
+            yield pd.DataFrame({
+                "doc_id": ids, "held_out": facts[2] == 1, "n_tokens": size, "n_known": met, "train_tokens": tokens, "base_score": base, "score": base + value})
+
+    chunks = texts.select("row", "doc_id", "held_out", "text").mapInPandas(ask, _CHUNK).unionAll(
+        values.select("id", "value", "base").mapInPandas(table, _CHUNK))
+    answers = _dealt(chunks, buckets, "bucket", "kind").mapInPandas(answer, "kind int, unit long, a binary, b binary")
+    return _dealt(answers, buckets, "unit", "kind").mapInPandas(finish, _SCORES)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_least: int = CONTEXT_LEAST, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     texts = id_and_text(docs, id_col, text_col).withColumn("held_out", id_bucket(F.col("doc_id"), 10) == 0)
     texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    counts = cut_lineage(_word_counts(texts), "suffix-words")
-    ends = texts.filter("not held_out").count()
+    buckets = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _BUCKET))
+    counts = cut_lineage(_counted(texts, buckets, 0, None, 1).select(F.col("word").alias("id"), "n"), "suffix-words")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, kinds = (total["n"] or 0) + ends, total["v"] + int(ends > 0)
+    tokens, kinds = total["n"] or 0, total["v"]
     smoothed = tokens + SMOOTH * (kinds + 1)
-    log = lambda n: float(np.log10((n + SMOOTH) / smoothed))
-
-    end_row = counts.sparkSession.createDataFrame([(END_ID, ends)] if ends else [], "id long, n long")
-    words = counts.groupBy("id").agg(F.sum("n").alias("n")).unionAll(end_row).withColumn("p", (F.col("n") + SMOOTH) / smoothed)
-    values = _grown(texts, words, depth, context_least)
-    hot = _most_frequent(values, HOT).select("id", "value").toPandas()
-    known, value = hot["id"].to_numpy(np.int64).view(np.uint64), hot["value"].to_numpy(float)
-    order = np.argsort(known)
-    top = _most_frequent(counts, HOT_WORDS).select("word", "n").toPandas()
-    hot_words = {bytes(w): log(n) for w, n in zip(top["word"], top["n"], strict=True)}
-    rows = cut_lineage(_scanned(texts, hot_words, log(ends), (known[order], value[order]), _sieve(values), depth + 1), "suffix-scanned")
-
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    met = rare.join(counts, "word", "left")
-    logs = F.coalesce(F.log10((F.col("n") + SMOOTH) / smoothed), F.lit(log(0)))
-    tails = met.groupBy("row").agg(
-        F.sum(F.col("times") * logs).alias("rare_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    more = rows.select("row", F.explode("others").alias("id")).join(values, "id").groupBy("row").agg(F.sum("value").alias("tree_rest"))
-    scored = rows.drop("rare", "times", "others").join(tails, "row", "left").join(more, "row", "left")
-    base = F.col("base_part") + F.coalesce("rare_score", F.lit(0.0))
-    known_ends = F.col("frequent") if ends else F.col("frequent") - 1
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", (known_ends + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("tree_part") + F.coalesce("tree_rest", F.lit(0.0))).alias("score"))
+    words = counts.withColumn("p", (F.col("n") + SMOOTH) / smoothed)
+    grown = _grown(texts, words, buckets, depth, context_least)
+    nothing = F.lit(None).cast("double")
+    parts = grown.withColumn("base", nothing).unionByName(words.select("id", nothing.alias("value"), "n", F.log10("p").alias("base")))
+    values = cut_lineage(parts.groupBy("id").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"), F.max("base").alias("base"), F.max("n").alias("n")), "suffix-values")
+    free_finished(texts.sparkSession.sparkContext)
+    return _scored(texts, values, buckets, depth + 1, float(np.log10(SMOOTH / smoothed)), tokens)
 
 
 # The same tree in memory, over a small alphabet of numbered symbols: what the tables above are tested against.

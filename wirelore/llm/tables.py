@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def free_finished(context: SparkContext) -> None:
+    """Shuffle files of finished steps go when the driver collects its garbage: ask for that between large steps."""
+    gc.collect()
+    context._jvm.System.gc()
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that other columns can't clash; a null text is empty."""
     small_batches(docs.sparkSession)
