@@ -403,7 +403,7 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Table rows come first in their bucket; answers are sums per text of the asking slice (kind 2), the rest goes on."""
-        known, bucket, held = Values(*np.zeros((3, 0))), None, []
+        known, bucket, held = None, None, []
         for batch in batches:
             for own, rows in batch.groupby("bucket", sort=True):
                 if own != bucket:
