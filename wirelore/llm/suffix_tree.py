@@ -48,7 +48,7 @@ GAIN_TOTAL = 50.0
 BLEND = 10.0
 DISCOUNT = 0.75
 SMOOTH = 0.1
-HOT_WORDS, HOT = 1 << 17, 1 << 19  # looked up in the task; all others in their bucket
+HOT_WORDS, HOT = 1 << 17, 1 << 18  # looked up in the task; all others in their bucket
 _SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
 _END = b"\xff"  # a byte that no text holds
@@ -316,7 +316,8 @@ def _grown(texts: DataFrame, words: DataFrame, buckets: int, depth: int, context
             kept = states.filter("stays")
         else:
             kept = states.join(needed, "context", "left").filter("stays or needed")
-        kept = kept.select("context", "suffix", "total", "share")
+        # Written, as it is read three times and the next level's is made of it.
+        kept = cut_lineage(kept.select("context", "suffix", "total", "share"), "suffix-kept")
         needed = kept.select(F.col("suffix").alias("context")).distinct().withColumn("needed", F.lit(True))
         parts.append(kept.select(F.col("context").alias("id"), F.col("share").alias("value"), F.col("total").alias("n")))
         parts.append(rows.join(kept.select("context", "share"), "context").select("id", (F.log10(F.col("p") / F.col("q")) - F.col("share")).alias("value"), "n"))

@@ -48,23 +48,27 @@ def gaps(df: DataFrame, keys: Sequence[str], t: str = "t", slice_seconds: int =
 def interval_metrics(events: DataFrame, keys: Sequence[str] = CONNECTION, min_events: int = 5) -> DataFrame:
     """Count, mean, deviation, CV and entropy of the inter-arrival times of each connection.
 
-    Gaps are first summed per rounded second and then per key, both with map-side partial sums.
+    Gaps are first summed per rounded second and then per key, both with map-side partial sums. The deviation is put
+    together from moments: within a second around that second, between seconds around the key's mean, so long steady
+    intervals don't lose it as a difference of two squares.
     """
     keys = list(keys)
-    per_second = gaps(_known_endpoints(events), keys).groupBy(*keys, F.rint("gap").alias("_second")).agg(
-        F.sum("n").alias("_k"),
-        F.sum(F.col("gap") * F.col("n")).alias("_sum"),
-        F.sum(F.col("gap") * F.col("gap") * F.col("n")).alias("_squares"),
-    )
+    off = F.col("gap") - F.col("_second")
+    per_second = gaps(_known_endpoints(events), keys).withColumn("_second", F.rint("gap")).groupBy(*keys, "_second").agg(
+        F.sum("n").alias("_k"), F.sum(off * F.col("n")).alias("_off"), F.sum(off * off * F.col("n")).alias("_squares"))
     k = F.sum("_k")
-    stats = per_second.groupBy(*keys).agg(
+    means = per_second.groupBy(*keys).agg(
         k.alias("intervals"),
-        (F.sum("_sum") / k).alias("interval_avg"),
-        (F.sum("_squares") / k).alias("_mean_square"),
+        (F.sum(F.col("_second") * F.col("_k") + F.col("_off")) / k).alias("interval_avg"),
         (F.log2(k) - F.sum(F.col("_k") * F.log2(F.col("_k").cast("double"))) / k).alias("entropy"),
     )
-    variance = F.greatest(F.lit(0.0), F.col("_mean_square") - F.col("interval_avg") * F.col("interval_avg"))
-    stats = stats.withColumn("interval_stddev", F.sqrt(variance)).drop("_mean_square")
+    mean_off = F.col("_off") / F.col("_k")
+    away = F.col("_second") - F.col("interval_avg") + mean_off
+    m2 = F.col("_squares") - F.col("_off") * mean_off + F.col("_k") * away * away
+    same = [F.col(f"s.{x}").eqNullSafe(F.col(f"m.{x}")) for x in keys]
+    spread = per_second.alias("s").join(means.alias("m"), same).groupBy(*[F.col(f"m.{x}") for x in keys], *[
+        F.col(f"m.{x}") for x in ("intervals", "interval_avg", "entropy")]).agg(F.greatest(F.sum(m2), F.lit(0.0)).alias("_m2"))
+    stats = spread.withColumn("interval_stddev", F.sqrt(F.col("_m2") / F.col("intervals"))).drop("_m2")
     cv = F.when(F.col("interval_avg") > 0, F.col("interval_stddev") / F.col("interval_avg")).otherwise(F.lit(1.0))
     return stats.withColumn("events", F.col("intervals") + 1).withColumn("cv", cv).filter(F.col("events") >= min_events)
 
@@ -84,16 +88,21 @@ def beaconing(
         "flagged", flagged)
 
 
+def _is_dns() -> Column:
+    return (F.col("pr") == "dns") & (F.length("dns_query") > 0)
+
+
 def dns_events(events: DataFrame) -> DataFrame:
-    return events.filter((F.col("pr") == "dns") & (F.length("dns_query") > 0))
+    return events.filter(_is_dns())
 
 
 def dns_tunnel_queries(
     events: DataFrame, min_length: int = 50, min_entropy: float = 3.5, high_entropy: float = 4.0, min_events: int = 5,
+    count: Column | None = None,
 ) -> DataFrame:
-    """Long DNS names with a high entropy (D2); nothing is flagged below ``min_events`` DNS events."""
+    """Long DNS names with a high entropy (D2); nothing is flagged below ``min_events`` DNS events. ``count`` is their number where it is known."""
     dns = dns_events(events)
-    enough = dns.agg(F.count(F.lit(1))).scalar() >= min_events
+    enough = (dns.agg(F.count(F.lit(1))).scalar() if count is None else count) >= min_events
     measured = dns.withColumn("query_length", F.length("dns_query")).withColumn("entropy", string_entropy(F.col("dns_query")))
     flagged = (F.col("query_length") > min_length) & (F.col("entropy") > min_entropy) & enough
     return measured.withColumns({
@@ -103,10 +112,10 @@ def dns_tunnel_queries(
     })
 
 
-def dns_excess(events: DataFrame, max_queries: int = 20, min_events: int = 5) -> DataFrame:
+def dns_excess(events: DataFrame, max_queries: int = 20, min_events: int = 5, count: Column | None = None) -> DataFrame:
     """Query counts per second-level label (D3)."""
     dns = dns_events(events)
-    enough = dns.agg(F.count(F.lit(1))).scalar() >= min_events
+    enough = (dns.agg(F.count(F.lit(1))).scalar() if count is None else count) >= min_events
     per_label = dns.groupBy(second_level_label(F.col("dns_query")).alias("domain")).agg(F.count(F.lit(1)).alias("query_count"))
     return per_label.withColumn("flagged", (F.col("query_count") > max_queries) & enough)
 
@@ -172,11 +181,13 @@ def all_detectors(events: DataFrame, min_events: int = 10, intervals: DataFrame
 
     link = F.concat(F.col("si"), F.lit("->"), F.col("di"), F.lit(":"), F.coalesce(F.col("dp").cast("string"), F.lit("")))
     scans = scan_metrics(events, **options("scan_metrics")) if scans is None else scans
+    # One row of counts for everything that needs one.
+    counted = events.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(_is_dns(), F.lit(False))).alias("dns"))).scalar()
     parts = [
         shaped(beaconing(events, metrics=intervals, **options("beaconing")), "beaconing", link, F.col("cv"), F.col("confidence")),
-        shaped(dns_tunnel_queries(events, **options("dns_tunnel_queries")), "dns_tunneling", F.col("query"),
+        shaped(dns_tunnel_queries(events, **{"count": counted["dns"], **options("dns_tunnel_queries")}), "dns_tunneling", F.col("query"),
                F.col("entropy"), F.col("confidence")),
-        shaped(dns_excess(events, **options("dns_excess")), "dns_tunneling", F.col("domain"), F.col("query_count")),
+        shaped(dns_excess(events, **{"count": counted["dns"], **options("dns_excess")}), "dns_tunneling", F.col("domain"), F.col("query_count")),
         shaped(scans, "port_scans", F.col("si"), F.greatest("unique_ports", "unique_destinations"), F.col("confidence")),
         shaped(large_transfers(events, **options("large_transfers")), "volume_anomalies", link, F.col("total_bytes")),
         shaped(protocol_excess(events, **options("protocol_excess")), "protocol_anomalies", F.col("protocol"), F.col("percentage")),
@@ -184,7 +195,7 @@ def all_detectors(events: DataFrame, min_events: int = 10, intervals: DataFrame
     findings = parts[0]
     for part in parts[1:]:
         findings = findings.unionByName(part)
-    return findings.filter(events.agg(F.count(F.lit(1))).scalar() >= min_events)
+    return findings.filter(counted["n"] >= min_events)
 
 
 def outliers(

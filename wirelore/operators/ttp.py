@@ -119,10 +119,14 @@ def remote_service_pattern(events: DataFrame, min_events: int = 2) -> DataFrame:
         F.array(F.concat(F.upper("name"), F.format_string(" connections: %d", "n"))).alias("evidence"))
 
 
-def detect_patterns(events: DataFrame, intervals: DataFrame | None = None, scans: DataFrame | None = None) -> DataFrame:
-    """All patterns of an event set; ``intervals`` and ``scans`` are metrics that exist already."""
+def detect_patterns(
+    events: DataFrame, intervals: DataFrame | None = None, scans: DataFrame | None = None,
+    destinations: int | None = None, fingerprints: int | None = None,
+) -> DataFrame:
+    """All patterns of an event set; ``intervals`` and ``scans`` are metrics that exist already. With ``destinations`` TLS is
+    one row with that many examples."""
     out = beaconing_pattern(events, metrics=intervals)
-    for part in (scan_pattern(events, metrics=scans), dns_pattern(events), tls_pattern(events, destinations=5, fingerprints=3), remote_service_pattern(events)):
+    for part in (scan_pattern(events, metrics=scans), dns_pattern(events), tls_pattern(events, 3, destinations, fingerprints), remote_service_pattern(events)):
         out = out.unionByName(part)
     return out
 
