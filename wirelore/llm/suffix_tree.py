@@ -53,7 +53,7 @@ _SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
 _END = b"\xff"  # a byte that no text holds
 _BITS = 16
-_SLICE, _PIECE = 8 << 20, 1 << 18  # characters of text worked on at once, bytes hashed at once
+_SLICE, _PIECE = 4 << 20, 1 << 18  # characters of text worked on at once, bytes hashed at once
 _BUCKET = 1 << 23  # bytes of text per bucket
 
 _LOWER = np.arange(256, dtype=np.uint64)
