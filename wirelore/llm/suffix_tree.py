@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tables import free_finished, id_and_text, id_bucket
+from .tables import Scratch, free_finished, id_and_text, id_bucket
 
 CONTEXT_LEAST = 16
 SUCCESSOR_LEAST = 2
@@ -48,7 +48,7 @@ GAIN_TOTAL = 50.0
 BLEND = 10.0
 DISCOUNT = 0.75
 SMOOTH = 0.1
-HOT_WORDS, HOT = 1 << 17, 1 << 18  # looked up in the task; all others in their bucket
+HOT_WORDS, HOT = 1 << 17, 1 << 19  # looked up in the task; all others in their bucket
 _SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
 _END = b"\xff"  # a byte that no text holds
@@ -274,8 +274,8 @@ def _passes(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (sieve[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _grown(texts: DataFrame, words: DataFrame, buckets: int, depth: int, context_least: int) -> DataFrame:
-    """id, value, n: what a sequence adds to the log10 probability of a text at each of its places.
+def _grown(texts: DataFrame, words: DataFrame, buckets: int, depth: int, context_least: int, scratch: Scratch) -> DataFrame:
+    """id, value, n, leads (whether it is a context): what a sequence adds to the log10 probability of a text at each of its places.
 
     A context of the tree hands what it leaves to its suffix's distribution: its value is the log of that share. A counted
     successor has its own probability instead: its value takes the share back and adds the ratio to the suffix's probability.
@@ -287,7 +287,8 @@ def _grown(texts: DataFrame, words: DataFrame, buckets: int, depth: int, context
     levels: list[tuple[DataFrame, DataFrame]] = []
     for d in range(1, depth + 1):
         sieve = context.broadcast(_sieve(contexts.select(F.col("context").alias("id"))))
-        counted = cut_lineage(_counted(texts, buckets, d, sieve, SUCCESSOR_LEAST), f"suffix-counts-{d}")
+        once = Scratch(texts.sparkSession)
+        counted = once.cut(_counted(texts, buckets, d, sieve, SUCCESSOR_LEAST), f"suffix-counts-{d}")
         sieve.destroy()
         free_finished(context)
         left = F.lit(BLEND) + F.col("total") - F.col("kept") + DISCOUNT * F.col("kinds")
@@ -298,13 +299,14 @@ def _grown(texts: DataFrame, words: DataFrame, buckets: int, depth: int, context
         rows = rows.join(parents.select(F.col("id").alias("parent"), F.col("p").alias("q")), "parent")
         given, blended = F.col("left") * F.col("q"), F.col("total") + BLEND
         without = (F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + given) / (blended - 1)
-        rows = cut_lineage(rows.select(
+        rows = scratch.cut(rows.select(
             _joined_column("context", "word").alias("id"), "context", "parent", (F.col("word") == END_ID).alias("ends"), "n", "q",
             ((F.col("n") - DISCOUNT + given) / blended).alias("p"), (F.col("n") * F.log(without / F.col("q"))).alias("gain")), f"suffix-level-{d}")
         gains = rows.groupBy("context").agg(F.sum("gain").alias("gain"))
         diverges = (F.col("gain") >= GAIN * F.col("total")) | (F.col("gain") >= GAIN_TOTAL)
-        states = cut_lineage(states.join(gains, "context").select(
+        states = scratch.cut(states.join(gains, "context").select(
             "context", "suffix", "total", F.log10(F.col("left") / blended).alias("share"), diverges.alias("stays")), f"suffix-states-{d}")
+        once.discard()
         free_finished(context)
         levels.append((states, rows))
         parents = rows.select("id", "p")
@@ -317,10 +319,11 @@ def _grown(texts: DataFrame, words: DataFrame, buckets: int, depth: int, context
         else:
             kept = states.join(needed, "context", "left").filter("stays or needed")
         # Written, as it is read three times and the next level's is made of it.
-        kept = cut_lineage(kept.select("context", "suffix", "total", "share"), "suffix-kept")
+        kept = scratch.cut(kept.select("context", "suffix", "total", "share"), "suffix-kept")
         needed = kept.select(F.col("suffix").alias("context")).distinct().withColumn("needed", F.lit(True))
-        parts.append(kept.select(F.col("context").alias("id"), F.col("share").alias("value"), F.col("total").alias("n")))
-        parts.append(rows.join(kept.select("context", "share"), "context").select("id", (F.log10(F.col("p") / F.col("q")) - F.col("share")).alias("value"), "n"))
+        parts.append(kept.select(F.col("context").alias("id"), F.col("share").alias("value"), F.col("total").alias("n"), F.lit(True).alias("leads")))
+        parts.append(rows.join(kept.select("context", "share"), "context").select(
+            "id", (F.log10(F.col("p") / F.col("q")) - F.col("share")).alias("value"), "n", F.lit(False).alias("leads")))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -364,23 +367,25 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unknown: float, tokens: int) -> DataFrame:
-    """Look up all sequences of all texts. ``values``: id, value, base, n."""
+    """Look up all sequences of all texts that follow a context of the tree. ``values``: id, value, base, n, leads."""
     context = texts.sparkSession.sparkContext
     frequent = [_most_frequent(part, most).select("id", "value", "base").toPandas() for part, most in (
         (values.filter("base is not null"), HOT_WORDS), (values.filter("base is null"), HOT))]
     frequent = pd.concat(frequent, ignore_index=True)
     hot = Values(frequent["id"].to_numpy(np.int64).view(np.uint64), frequent["value"].to_numpy(float), frequent["base"].to_numpy(float))
-    shared = context.broadcast((hot, _sieve(values)))
+    shared = context.broadcast((hot, _sieve(values), _sieve(values.filter("leads"))))
     del frequent, hot
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums over what is at hand, for the slice's own bucket (kind 1), and ids to look up with their texts (kind 2)."""
-        known, sieve = shared.value
+        known, sieve, contexts = shared.value
         for part in _slices(batches):
             size = len(part.frame)
-            ids, own = [], []
+            ids, own, before = [], [], None
             for key, inside in part.sequences(longest):
-                key = key[inside]
+                if before is not None:
+                    inside = inside[_passes(contexts, before[inside - 1])]
+                before, key = key, key[inside]
                 maybe = _passes(sieve, key)
                 ids.append(key[maybe])
                 own.append(part.own[inside[maybe]].astype(np.uint32))
@@ -456,10 +461,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens, kinds = total["n"] or 0, total["v"]
     smoothed = tokens + SMOOTH * (kinds + 1)
     words = counts.withColumn("p", (F.col("n") + SMOOTH) / smoothed)
-    grown = _grown(texts, words, buckets, depth, context_least)
+    scratch = Scratch(texts.sparkSession)
+    grown = _grown(texts, words, buckets, depth, context_least, scratch)
     nothing = F.lit(None).cast("double")
-    parts = grown.withColumn("base", nothing).unionByName(words.select("id", nothing.alias("value"), "n", F.log10("p").alias("base")))
-    values = cut_lineage(parts.groupBy("id").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"), F.max("base").alias("base"), F.max("n").alias("n")), "suffix-values")
+    parts = grown.withColumn("base", nothing).unionByName(words.select("id", nothing.alias("value"), "n", F.lit(False).alias("leads"), F.log10("p").alias("base")))
+    values = cut_lineage(parts.groupBy("id").agg(
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"), F.max("base").alias("base"), F.max("n").alias("n"), F.max("leads").alias("leads")), "suffix-values")
+    scratch.discard()
     free_finished(texts.sparkSession.sparkContext)
     return _scored(texts, values, buckets, depth + 1, float(np.log10(SMOOTH / smoothed)), tokens)
 

@@ -8,6 +8,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +30,26 @@ def free_finished(context: SparkContext) -> None:
     context._jvm.System.gc()
 
 
+class Scratch:
+    """Tables written to the shared folder on the way, to be discarded when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        path = shared_folder(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        context = self.spark.sparkContext
+        for path in self.paths:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths.clear()
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that other columns can't clash; a null text is empty."""
     small_batches(docs.sparkSession)
