@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from wirelore.llm import license_scan as ls
@@ -44,3 +47,47 @@ def test_many_equal_notices_are_judged_once(monkeypatch):
     judge = scanner.judge
     monkeypatch.setattr(scanner, "judge", lambda block: calls.append(block) or judge(block))
     assert len(scanner.notices("Released under the MIT License.\n" * 40)) == 40 and len(calls) == 1
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Licensed under the MIT License.\nReleased under CC BY 4.0.", ["MIT", "CC-BY-4.0"]),
+    ("Licensed under the MIT License.\nReleased under CC BY 4.0.\nLicensed under the MIT License.", ["MIT", "CC-BY-4.0", "MIT"]),
+    ("Released under CC0 1.0.", ["CC0-1.0"]), ("x\nReleased under CC  BY-NC-SA 4.0.\ny", ["CC-BY-NC-SA-4.0"]),
+    ("Licensed under the MIT License. See also page 4.", ["MIT"]),
+])
+def test_names_are_cues(text, names):
+    assert [n["license"] for n in ls.Scanner().notices(text)] == names
+
+
+def plain_scan(text, templates):
+    """Every template tried at every word, the longest first; words of found ones are used up."""
+    words = ls.Scanner._words(text)
+    free, found = [True] * len(words), []
+    for name, t in sorted(templates, key=lambda x: -len(ls.Scanner._words(x[1]))):
+        own = ls.Scanner._words(t)
+        for i in range(len(words) - len(own) + 1):
+            if words[i:i + len(own)] == own and all(free[i:i + len(own)]):
+                free[i:i + len(own)] = [False] * len(own)
+                found.append((i, name))
+    return [name for _, name in sorted(found)]
+
+
+def test_equals_every_template_at_every_word():
+    rng = random.Random(21)
+    scanner = ls.Scanner()
+    # "Copyright. All rights reserved." holds another template; either reading of it is "proprietary".
+    pool = [t for t in ls.TEMPLATES if t[1] != "All rights reserved."]
+    prose = ["und so weiter", "el perro come", "some plain words here", "", "x y z"]
+    for _ in range(250):
+        lines = [rng.choice([rng.choice(pool)[1], rng.choice(pool)[1], rng.choice(prose)]) for _ in range(rng.randint(1, 7))]
+        text = rng.choice(["\n", "\n", "\n\n", "\n\n\n", " "]).join(lines)
+        assert [n["license"] for n in scanner.notices(text)] == plain_scan(text, pool), text
+
+
+def test_long_blocks_take_time_in_proportion():
+    scanner = ls.Scanner()
+    lines = ["Licence: ask me", "licence terms of part"]
+    start = time.perf_counter()
+    found = scanner.notices("\n".join(f"{lines[i % 2]} {i}" for i in range(4000)) + "\nLicensed under the MIT License.\n" + "\n".join("Licence: ask" for _ in range(2000)))
+    assert [n["license"] for n in found] == ["unknown", "MIT", "unknown"] and time.perf_counter() - start < 60
+    assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))

@@ -384,7 +384,8 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
             ids, own, before = [], [], None
             for key, inside in part.sequences(longest):
                 if before is not None:
-                    inside = inside[_passes(contexts, before[inside - 1])]
+                    # A successor of a context, or a context itself.
+                    inside = inside[_passes(contexts, before[inside - 1]) | _passes(contexts, key[inside])]
                 before, key = key, key[inside]
                 maybe = _passes(sieve, key)
                 ids.append(key[maybe])
