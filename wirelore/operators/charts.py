@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import c, epoch_seconds, ratio
 from ..functions.layers import osi_layer
 from ..functions.text import string_entropy
+from ..session import cut_lineage
 
 TS = "@timestamp"
 
@@ -34,8 +35,7 @@ def _aggregate(agg: str, metric: str | None, exact_type: str | None) -> Column:
 def bucketed(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: str = TS, width: int = 60) -> DataFrame:
     """Aggregates per time bucket of ``width`` seconds, without the empty ones: (bucket, ...).
 
-    ``aggregates`` maps an output name to (aggregate, metric). A median is taken from the counts
-    per distinct value, so equal values of a busy bucket are collapsed before they meet.
+    ``aggregates`` maps an output name to (aggregate, metric). A median is exact; see ``exact_medians``.
     """
     rows = df.filter(c(ts).isNotNull()).withColumn("_t", epoch_seconds(c(ts)))
     rows = rows.withColumn("bucket", (F.floor(F.col("_t") / width) * width).cast("long"))
@@ -45,11 +45,31 @@ def bucketed(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: s
     out = rows.groupBy("bucket").agg(*plain) if plain else rows.select("bucket").distinct()
     for name, metric in medians.items():
         counted = rows.withColumn("_v", _number(c(metric))).groupBy("bucket", "_v").agg(F.count(F.lit(1)).alias("_k"))
-        median = counted.groupBy("bucket").agg(F.expr("percentile(_v, 0.5, _k)").alias(name))
-        out = out.join(median, "bucket")
+        out = out.join(exact_medians(counted).withColumnRenamed("median", name), "bucket")
     return out
 
 
+def exact_medians(counted: DataFrame) -> DataFrame:
+    """(bucket, median) from counts ``_k`` per (bucket, value ``_v``), whatever the number of a bucket's values.
+
+    The rows are range-partitioned by (bucket, value), which splits a large bucket over tasks. Counts per bucket and
+    partition tell which partition holds the middle, and only there running counts pick it. No task gathers a bucket.
+    """
+    dealt = counted.repartitionByRange("bucket", "_v").withColumn("_slice", F.spark_partition_id())
+    placed = cut_lineage(dealt, "median-slices")
+    slices = placed.groupBy("bucket", "_slice").agg(F.sum("_k").alias("_rows"))
+    in_order = Window.partitionBy("bucket").orderBy("_slice")
+    slices = slices.withColumn("_before", F.sum("_rows").over(in_order) - F.col("_rows")).withColumn(
+        "_total", F.sum("_rows").over(Window.partitionBy("bucket")))
+    lower, upper = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
+    middle = slices.filter((F.col("_before") <= upper) & (F.col("_before") + F.col("_rows") > lower))
+    inside = placed.join(middle, ["bucket", "_slice"])
+    end = F.col("_before") + F.sum("_k").over(Window.partitionBy("bucket", "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_k"))
+    at = lambda place: F.max(F.when((F.col("_start") <= place) & (F.col("_end") > place), F.col("_v")))
+    return ranked.groupBy("bucket").agg((at(lower) * 0.5 + at(upper) * 0.5).alias("median"))
+
+
 def time_series(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], ts: str = TS, width: int = 60) -> DataFrame:
     """Resampled series with empty buckets as zero (A27, R8): (bucket, one column per aggregate)."""
     filled = bucketed(df, aggregates, ts, width)

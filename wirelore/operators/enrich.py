@@ -108,13 +108,58 @@ def attach_alerts(events: DataFrame, matched: DataFrame, event_id: str = "event_
     return events.select(rest).join(per_event, event_id, "left").fillna(0, ["alert_count"])
 
 
+def block_pieces(blocks: DataFrame, shift: int) -> DataFrame:
+    """(_net, _n, _b): from address ``_n`` on, up to the next row of its network, ``_b`` is the innermost block, or NULL.
+
+    A sweep: starts and ends of blocks in order; the running depth says how many are open, and the innermost one is the
+    last start that reached the present depth. So a network costs a sort of its blocks. That holds where blocks
+    are nested or apart, as address blocks are; networks in which two blocks cross are found on the way (a block
+    that ends behind the one it starts in), and only there each cut point looks through its network's blocks.
+    """
+    laid = blocks.filter("lo <= hi").withColumn("_net", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
+    # Of blocks over the same range the greatest country counts.
+    laid = laid.groupBy("_net", "lo", "hi").agg(F.max(F.struct("country_code", "country_name")).alias("_c"))
+    first, last = F.shiftleft("_net", shift), F.shiftleft(F.col("_net") + 1, shift) - 1
+    own = F.struct("lo", "hi", "_c.country_code", "_c.country_name")
+    edges = F.array(
+        F.struct(F.greatest("lo", first).alias("at"), F.lit(1).alias("step"), own.alias("b")),
+        F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("step"), own.alias("b")))
+    events = laid.select("_net", F.explode(edges).alias("e")).select("_net", "e.at", "e.step", "e.b").filter(F.col("at") <= last)
+    # At one address ends come before starts, and outer starts before inner ones.
+    order = ["at", "step", F.col("b.lo"), F.col("b.hi").desc()]
+    swept = Window.partitionBy("_net").orderBy(*order)
+    events = events.withColumns({
+        "_i": F.row_number().over(swept), "_depth": F.sum("step").over(swept.rowsBetween(Window.unboundedPreceding, 0)),
+        "_last_here": F.coalesce(F.lead("at").over(swept) != F.col("at"), F.lit(True))})
+    start = F.when(F.col("step") == 1, F.col("b"))
+    same_depth = Window.partitionBy("_net", "_depth").orderBy("_i")
+    covered = events.withColumn("_b", F.last(start, ignorenulls=True).over(same_depth.rowsBetween(Window.unboundedPreceding, 0)))
+    covered = covered.withColumn("_b", F.when(F.col("_depth") > 0, F.col("_b")))
+    # What covers the place right before a start must reach as far as the block that starts there.
+    outer = F.lag("_b").over(Window.partitionBy("_net").orderBy("_i"))
+    checked = covered.withColumn("_outer", outer)
+    crossing = checked.filter((F.col("step") == 1) & (F.col("_outer.hi") < F.col("b.hi"))).select("_net").distinct()
+    crossing = crossing.withColumn("_crosses", F.lit(True))
+    nested = covered.filter("_last_here").join(crossing, "_net", "left_anti").select("_net", F.col("at").alias("_n"), "_b")
+
+    entry = F.struct("lo", (-F.col("hi")).alias("minus_hi"), "_c.country_code", "_c.country_name")
+    crossed = laid.join(crossing, "_net", "left_semi").groupBy("_net").agg(F.collect_set(entry).alias("_blocks"))
+    cuts = F.concat(F.transform("_blocks", lambda b: F.greatest(b["lo"], first)), F.transform("_blocks", lambda b: 1 - b["minus_hi"]))
+    points = crossed.select("_net", "_blocks", F.explode(F.array_distinct(cuts)).alias("_n")).filter(F.col("_n") <= last)
+    inner = F.array_max(F.filter("_blocks", lambda b: (b["lo"] <= F.col("_n")) & (-b["minus_hi"] >= F.col("_n"))))
+    found = points.select("_net", "_n", inner.alias("_x"))
+    rest = found.select("_net", "_n", F.when(F.col("_x").isNotNull(), F.struct(
+        F.col("_x.lo").alias("lo"), (-F.col("_x.minus_hi")).alias("hi"), F.col("_x.country_code").alias("country_code"), F.col("_x.country_name").alias("country_name"))).alias("_b"))
+    return nested.unionByName(rest)
+
+
 def geo_of_addresses(addresses: DataFrame, blocks: DataFrame, ip: str = "ip", bits: int = 16) -> DataFrame:
     """Country of each distinct address.
 
     ``blocks`` has ranges ``lo``..``hi`` with ``country_code`` and ``country_name``; they may be nested, and the
     innermost one counts. Blocks are laid over the networks of ``bits`` prefix bits and cut there into disjoint pieces
-    (a network has a bounded number of addresses, so also of blocks). Inside a network, addresses and starts of pieces
-    are merged in order and the last start is carried forward, so the work is a sort and not a range join.
+    by a sweep (``block_pieces``). Inside a network, addresses and starts of pieces are merged in order and the last
+    start is carried forward, so the work is a sort and not a range join.
     """
     shift = 32 - bits
     known = addresses.select(c(ip).alias("ip")).filter(F.col("ip").isNotNull()).distinct()
@@ -123,16 +168,8 @@ def geo_of_addresses(addresses: DataFrame, blocks: DataFrame, ip: str = "ip", bi
     classed = known.select("ip", private.alias("_private"), valid.alias("_valid"), ipv4_number(F.col("ip")).alias("_n"))
     searched = classed.filter(~F.col("_private") & F.col("_n").isNotNull())
 
-    # Ordered so that the greatest block over a point is the innermost: the latest start, then the earliest end.
-    entry = F.struct("lo", (-F.col("hi")).alias("minus_hi"), "country_code", "country_name")
-    laid = blocks.filter("lo <= hi").withColumn("_net", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
-    per_net = laid.groupBy("_net").agg(F.collect_set(entry).alias("_blocks"))
-    first, last = F.shiftleft("_net", shift), F.shiftleft(F.col("_net") + 1, shift) - 1
-    cuts = F.concat(F.transform("_blocks", lambda b: F.greatest(b["lo"], first)), F.transform("_blocks", lambda b: 1 - b["minus_hi"]))
-    points = per_net.select("_net", "_blocks", F.explode(F.array_distinct(cuts)).alias("_n")).filter(F.col("_n") <= last)
-    inner = F.array_max(F.filter("_blocks", lambda b: (b["lo"] <= F.col("_n")) & (-b["minus_hi"] >= F.col("_n"))))
-    owned = points.select("_net", "_n", inner.alias("_b"))
-    block = F.struct((-F.col("_b.minus_hi")).alias("hi"), F.col("_b.country_code").alias("country_code"), F.col("_b.country_name").alias("country_name"))
+    owned = block_pieces(blocks, shift)
+    block = F.struct(F.col("_b.hi").alias("hi"), F.col("_b.country_code").alias("country_code"), F.col("_b.country_name").alias("country_name"))
     nothing = F.struct(F.lit(-1).cast("long").alias("hi"), F.lit(None).cast("string").alias("country_code"), F.lit(None).cast("string").alias("country_name"))
     starts = owned.select("_net", "_n", F.when(F.col("_b").isNotNull(), block).otherwise(nothing).alias("_block"), F.lit(None).cast("string").alias("ip"))
     no_block = F.lit(None).cast(starts.schema["_block"].dataType)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addresses import NO_FLOW_ID
@@ -75,6 +75,39 @@ def page(df: DataFrame, order: str, descending: bool = False, number: int = 1, s
     return df.orderBy(key, *[c(x) for x in tiebreak]).offset((number - 1) * size).limit(size)
 
 
+def write_pages(df: DataFrame, path: str, order: str, descending: bool = False, tiebreak: Sequence[str] = (), ranges: int | None = None) -> None:
+    """Write a table in the order of its pages: a folder per range, and in each row its place there. Without ``ranges`` Spark sets their number.
+
+    A null comes first in ascending and last in descending order, as in ``page``.
+    """
+    key = c(order).desc() if descending else c(order).asc()
+    keys = [key, *[c(x) for x in tiebreak]]
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt.withColumns({"_part": F.spark_partition_id(), "_place": place}).write.mode("overwrite").partitionBy("_part").parquet(path)
+
+
+def page_bounds(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    """(range, rows before it, rows in it) in order: one entry per range, from the written places alone."""
+    counted = spark.read.parquet(path).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
+    out, before = [], 0
+    for r in sorted(counted):
+        out.append((r["_part"], before, r["n"]))
+        before += r["n"]
+    return out
+
+
+def read_page(spark: SparkSession, path: str, bounds: Sequence[tuple[int, int, int]], number: int = 1, size: int = 50) -> DataFrame:
+    """A page of a written table. Only the ranges that hold its rows are read, and in them only its places; no row before the page is."""
+    low, high = (number - 1) * size, number * size
+    rows = spark.read.parquet(path)
+    wanted = F.lit(False)
+    for part, before, n in bounds:
+        if before < high and before + n > low:
+            wanted = wanted | ((F.col("_part") == part) & F.col("_place").between(low - before, high - before - 1))
+    return rows.filter(wanted).orderBy("_part", "_place").drop("_part", "_place")
+
+
 def first_packets(packets: DataFrame, order: Sequence[str], count: int = 10, condition: Column | None = None) -> DataFrame:
     """The first packets in capture order, optionally only those that match."""
     if condition is not None:
