@@ -1,7 +1,10 @@
+import math
+import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -67,3 +70,42 @@ def test_both_tokenizers_agree(words):
     both, slow = packing.encoder(public_vocabulary()), packing.encoder(packing.Vocabulary(public_vocabulary().tokenizer_path))
     for text in [words(100), "It's  a\n\n test's\t<|endoftext|>", "<| x", "été über ñ", "x\x1c's", "１２ ½ ª", "  lead", "trail  ", "don't WE'LL", ""]:
         assert both(text) == slow(text), text
+
+
+def test_scores_are_those_of_plain_bm25():
+    rng = random.Random(17)
+    documents = [np.array([rng.choice([5, 6, 7, rng.randint(8, 60)]) for _ in range(rng.randint(0, 50))] + [1], "<u2") for _ in range(40)]
+    bags = [Counter(int(t) for t in d[:-1]) for d in documents]
+    df = np.zeros(100, np.int64)
+    for bag in bags:
+        df[list(bag)] += 1
+    mean = sum(map(len, documents)) / len(documents)
+    corpus = packing.Corpus(len(documents), mean, df, "<u2")
+    index = packing.Index(documents, corpus, corpus.idf())
+    for seed, bag in enumerate(bags):
+        want = []
+        for other, ids in zip(bags, documents, strict=True):
+            scale = packing.K1 * (1 - packing.B + packing.B * len(ids) / mean)
+            want.append(sum(math.log1p((len(documents) - df[t] + 0.5) / (df[t] + 0.5)) * other[t] * (packing.K1 + 1) / (other[t] + scale) for t in bag if t in other))
+        got = index.scores(seed)
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-6)
+        clear = [(a, b) for a in range(40) for b in range(40) if want[a] > want[b] + 1e-3]
+        assert all(got[a] > got[b] for a, b in clear)
+
+
+def test_routes_are_the_two_heaviest_terms():
+    rng = random.Random(23)
+    documents = [np.array([rng.randint(0, 30) for _ in range(rng.randint(0, 12))] + [1], "<u2") for _ in range(200)]
+    ranks = np.log1p(np.arange(40))
+    found = packing._routes(packing.Terms.of(documents), ranks)
+    for d, got in zip(documents, found.tolist(), strict=True):
+        bag = Counter(int(t) for t in d[:-1])
+        best = sorted(bag, key=lambda t: (-(bag[t] / (bag[t] + packing.K1) * ranks[t]), t))[:2]
+        assert got == [*best, -1, -1][:2]
+
+
+def test_two_runs_pack_alike(make_docs, words):
+    rows = [(i % 30, words(40, seed=i % 7)) for i in range(120)]
+    docs = make_docs(rows)
+    runs = [sorted(packing.digest(packing.pack(docs, public_vocabulary(), 256)).collect()) for _ in range(2)]
+    assert runs[0] == runs[1]

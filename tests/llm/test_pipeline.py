@@ -5,7 +5,7 @@ from wirelore.llm import queries
 
 def test_registered_names():
     names = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert names == set(range(1, 11)) and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert names == set(range(1, 14)) and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "benchmark_leaks", "pii", "packing"]
 
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -39,7 +38,6 @@ K1, B = 1.2, 0.75
 
 # Texts of these characters are split alike by both tokenizer libraries; all others go to the slower one.
 _ORDINARY = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ſ]*")
-_SPECIAL = re.compile(r"<\|")
 
 
 @dataclass(frozen=True)
@@ -73,6 +71,11 @@ def _fast(path: str, pattern: str):
     return tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _plain(text: str) -> bool:
+    """Whether both libraries split the text alike; most texts are told by two quick scans."""
+    return "<|" not in text and (text.isascii() and text.replace("\n", "").isprintable() or _ORDINARY.fullmatch(text) is not None)
+
+
 def encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
     def exact(text: str) -> list[int]:
         return _exact(vocabulary.tokenizer_path).encode(text, add_special_tokens=False).ids
@@ -80,7 +83,24 @@ def encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
     if not vocabulary.ranks_path:
         return exact
     fast = _fast(vocabulary.ranks_path, vocabulary.pattern)
-    return lambda text: fast.encode_ordinary(text) if _ORDINARY.fullmatch(text) and not _SPECIAL.search(text) else exact(text)
+    return lambda text: fast.encode_ordinary(text) if _plain(text) else exact(text)
+
+
+def array_encoder(vocabulary: Vocabulary, end_id: int) -> Callable[[str], np.ndarray]:
+    """Ids and end id of a text as an array of the stored type; the fast library hands over arrays, not lists."""
+    encode, kind = encoder(vocabulary), vocabulary.id_type
+    fast = _fast(vocabulary.ranks_path, vocabulary.pattern) if vocabulary.ranks_path else None
+
+    def ids(text: str) -> np.ndarray:
+        if fast is not None and _plain(text):
+            found = fast.encode_to_numpy(text, disallowed_special=())
+        else:
+            found = np.array(encode(text), np.uint32)
+        out = np.empty(len(found) + 1, kind)
+        out[:-1], out[-1] = found, end_id
+        return out
+
+    return ids
 
 
 @dataclass
@@ -111,34 +131,39 @@ class Terms:
         return slice(self.start[d], self.start[d + 1])
 
 
-def _routes(terms: Terms, documents: int) -> Iterator[tuple[int, int]]:
-    """Per document the two terms (-1 where there are fewer) that weigh most by frequency here and rank in the vocabulary."""
-    weight = terms.tf / (terms.tf + K1) * np.log1p(terms.term)
-    for d in range(documents):
-        own = terms.of_document(d)
-        w, best = weight[own], []
-        for _ in range(min(2, len(w))):
-            k = int(w.argmax())
-            best.append(int(terms.term[own][k]))
-            w[k] = -1
-        yield tuple([*best, -1, -1][:2])
+def _routes(terms: Terms, ranks: np.ndarray) -> np.ndarray:
+    """Per document the two terms (-1 where there are fewer) that weigh most by frequency here and rank in the vocabulary.
+
+    ``ranks`` has the weight of each id's rank. Equal weights go to the smaller id.
+    """
+    sizes = np.diff(terms.start)
+    out, used = np.full((len(sizes), 2), -1, np.int32), np.flatnonzero(sizes)
+    if not len(used):
+        return out
+    weight = terms.tf / (terms.tf + K1) * ranks[terms.term]
+    for k in range(2):
+        best = np.maximum.reduceat(weight, terms.start[used])
+        at = np.flatnonzero(weight == np.repeat(best, sizes[used]))
+        own = terms.owner[at]
+        first = at[np.concatenate([[True], own[1:] != own[:-1]])]
+        some = best >= 0
+        out[used[some], k] = terms.term[first[some]]
+        weight[first] = -1
+    return out
 
 
 def tokenised(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 1) -> DataFrame:
     """doc_id, ids with the end id, n of them, route, route2; and one row per task that only has df: term ids and their document counts."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, df = encoder(vocabulary), np.zeros(vocabulary.size, np.int64)
+        encode, df = array_encoder(vocabulary, end_id), np.zeros(vocabulary.size, np.int64)
+        ranks = np.log1p(np.arange(vocabulary.size))
         for batch in batches:
-            documents = []
-            for text in batch["text"]:
-                tokens = array("H" if vocabulary.id_type == "<u2" else "I", encode(text))
-                tokens.append(end_id)
-                documents.append(np.frombuffer(tokens, tokens.typecode).astype(vocabulary.id_type, copy=False))
+            documents = [encode(text) for text in batch["text"]]
             terms = Terms.of(documents)
             df += np.bincount(terms.term, minlength=vocabulary.size)
-            rows = [(d.tobytes(), len(d), *r) for d, r in zip(documents, _routes(terms, len(documents)), strict=True)]
-            out = pd.DataFrame(rows, columns=["ids", "n", "route", "route2"])
+            routes = _routes(terms, ranks)
+            out = pd.DataFrame({"ids": [d.tobytes() for d in documents], "n": [len(d) for d in documents], "route": routes[:, 0], "route2": routes[:, 1]})
             yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), df=None)[["doc_id", "ids", "n", "route", "route2", "df"]]
         used = np.flatnonzero(df)
         yield pd.DataFrame({"doc_id": [None], "ids": [None], "n": [0], "route": [-1], "route2": [-1], "df": [np.stack([used, df[used]]).tobytes()]}).astype({"doc_id": "Int64"})
@@ -282,7 +307,8 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
             yield out()
 
     dealt = tokens.filter("df is null").select("doc_id", "ids", "n", "route", "route2").repartitionByRange(parts, "route", "route2", F.xxhash64("doc_id", "n"))
-    return dealt.sortWithinPartitions("route", "route2").select("doc_id", "ids").mapInPandas(fill, _PIECES)
+    # The order is total but for equal rows, so a task that is run again packs alike.
+    return dealt.sortWithinPartitions("route", "route2", F.xxhash64("doc_id", "n"), "doc_id", "n", "ids").select("doc_id", "ids").mapInPandas(fill, _PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
