@@ -85,3 +85,17 @@ def test_a_plain_stump_does_not_hide_the_whole(spark, text, kind, hidden):
 
 def test_a_sentence_before_a_plain_address_is_not_part_of_it():
     assert pii.all_spans("the end . bob@example.com dot")[1] == [] and pii.all_spans("(dot) the end . bob@example.com")[1] == []
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("write bob@example . com now", "email", (6, 23)), ("host 10 . 0 . 0 . 1 is up", "ip", (5, 19)),
+    ("call plus one two double three four five triple six seven eight", "phone", (5, 63)),
+])
+def test_gates_are_as_wide_as_the_rewriting(text, kind, span):
+    _, added = pii.all_spans(text)
+    assert [(pii.KINDS[k], s, e) for s, e, k in added] == [(kind, *span)]
+
+
+def test_prose_is_left_alone():
+    for text in ("We ended . Then we went on . So it was", "meet me at example.com today", "version 1 . 2 of it", "double trouble, one two"):
+        assert pii.all_spans(text)[1] == []

@@ -4,6 +4,9 @@ A text runs through a chain of small transducers. Each one rewrites pieces of it
 spelled digits, "at" and "dot" in words or brackets) and keeps for every output character the source span it came
 from. The detectors then run on the rewritten text, and a hit is mapped back to the source characters.
 
+Left alone: "name at host.tld" with a plain dot (ordinary prose), "at" and "dot" with other than one space around them or in
+other languages, fewer than three spelled digits in a row, and identifiers broken over lines.
+
 Defined results: a null or empty text has no spans; rows are independent, so repeated rows come back repeated and
 an empty table gives an empty table; a null id is kept; other columns are ignored. Every pass is linear in the text.
 """
@@ -87,8 +90,9 @@ _LOOKALIKES = {
 }
 _FOREIGN = re.compile(r"[^\x00-\x7f\u00c0-\u017f]")  # letters with accents are left alone
 _WORDS = "zero one two three four five six seven eight nine".split()
-_DIGIT_WORD = {w: str(i) for i, w in enumerate(_WORDS)} | {"oh": "0", "plus": "+", "double": "", "triple": ""}
-_NUMBER = "(?:" + "|".join(_WORDS) + "|oh)"
+_DIGIT_WORD = {w: str(i) for i, w in enumerate(_WORDS)} | {"oh": "0", "plus": "+"}
+_TIMES = {"double": 2, "triple": 3}
+_NUMBER = "(?:(?:double |triple )?(?:" + "|".join(_WORDS) + "|oh))"
 # At least three spelled digits in a row, with further spelled or plain ones around them.
 _SPELLED = re.compile(
     rf"(?<![A-Za-z0-9])(?:plus[ ,-]*)?(?:(?:[0-9]+|{_NUMBER})[ ,.-]{{1,3}})*?{_NUMBER}(?:[ ,.-]{{1,3}}{_NUMBER}){{2,}}"
@@ -104,7 +108,7 @@ _MAIL = re.compile(
     rf"(?<![A-Za-z0-9%+])[A-Za-z0-9%+]+(?:(?:[._-]|{_DOT})[A-Za-z0-9%+]+)*?"
     rf"(?:(?P<sign>{_AT_SIGN}){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?P<word>@|{_AT_WORD}){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+(?:\.{_LABEL})*"
     rf"|(?P<plain>@){_LABEL}(?:\.{_LABEL})+)", re.IGNORECASE)
-_MAIL_GATE = re.compile(rf"{_OPEN} ?(?:at|@|dot|\.) ?{_CLOSE}|[_-](?:at|dot)[_-]| dot | @ ", re.IGNORECASE)
+_MAIL_GATE = re.compile(rf"{_OPEN} ?(?:at|@|dot|\.) ?{_CLOSE}|[_-](?:at|dot)[_-]| dot | @ |[A-Za-z0-9] \. [A-Za-z0-9]", re.IGNORECASE)
 _AT_ANY, _DOT_ANY = re.compile(rf"{_AT_SIGN}|{_AT_WORD}", re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
 _DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 
@@ -153,7 +157,9 @@ def _plain_letter(c: str) -> str:
 def _spelled_digits(match: re.Match) -> str:
     out, times = [], 1
     for token in re.findall(r"[A-Za-z]+|[0-9]+", match[0].lower()):
-        out.append(_DIGIT_WORD.get(token, token) * times)
+        if token not in _TIMES:
+            out.append(_DIGIT_WORD.get(token, token) * times)
+        times = _TIMES.get(token, 1)
     return "".join(out)
 
 
