@@ -48,7 +48,7 @@ GAIN_TOTAL = 50.0
 BLEND = 10.0
 DISCOUNT = 0.75
 SMOOTH = 0.1
-HOT_WORDS, HOT = 1 << 17, 1 << 19  # looked up in the task; all others in their bucket
+HOT_WORDS, HOT = 1 << 17, 1 << 17  # looked up in the task; all others in their bucket
 _SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
 _END = b"\xff"  # a byte that no text holds
