@@ -1,7 +1,9 @@
 """Clean and pack the documents: toxicity, near duplicates, benchmark leaks, personal data, packing.
 
-Each stage gets what the one before it kept; all but the last return the columns of documents. A row without id can't
-be rejected by name, so it stays; rows that repeat an id share its fate. Empty tables pass through every stage.
+Each stage gets what the one before it kept; all but the last return the columns of documents. Near duplicates and leaks are
+told by a written row number, so rows without id go like others and of rows that repeat an id only those concerned go; of
+a group one row stays. Toxicity is learned and judged by id: a row without id stays there, rows of
+one id share its fate. Texts of any length are taken whole, other columns pass through, empty tables pass every stage.
 """
 
 from __future__ import annotations
@@ -25,19 +27,39 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+ROW = "row_of_stage"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a written number, in the order of their ids within a task's share."""
+    numbered = docs.sortWithinPartitions(F.col("doc_id").asc_nulls_last()).withColumn(ROW, F.monotonically_increasing_id())
+    return cut_lineage(numbered, "numbered")
+
+
+def _by_row(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without_rows(numbered: DataFrame, rejected: DataFrame) -> DataFrame:
+    rows = cut_lineage(rejected.select(F.col("doc_id").alias(ROW)).distinct(), "rejected")
+    return numbered.join(rows, ROW, "left_anti").drop(ROW)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model is fitted on the labelled part of ``docs``."""
     return _without(docs, toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return _without(docs, near_dedup.link_documents(docs).filter("not kept"))
+    """Of each group of near duplicates one document stays."""
+    numbered = _numbered(docs)
+    return _without_rows(numbered, near_dedup.link_documents(_by_row(numbered)).filter("not kept")).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other values, go."""
-    return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    numbered = _numbered(docs)
+    return _without_rows(numbered, decontaminate.find_leaks(_by_row(numbered), table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
