@@ -194,7 +194,7 @@ def corpus_statistics(tokens: DataFrame, vocabulary: Vocabulary) -> Corpus:
         used = np.flatnonzero(df)
         yield pd.DataFrame({"term": used, "df": df[used]})
 
-    total = tokens.agg(F.count("ids").alias("documents"), F.sum("n").alias("n")).first()
+    total = tokens.agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("n")).first()
     rows = tokens.filter("df is not null").select("df").mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(vocabulary.size, np.int64)
     df[rows["term"].to_numpy(np.int64)] = rows["df"].to_numpy(np.int64)

@@ -48,13 +48,14 @@ GAIN_TOTAL = 50.0
 BLEND = 10.0
 DISCOUNT = 0.75
 SMOOTH = 0.1
-HOT_WORDS, HOT = 1 << 17, 1 << 17  # looked up in the task; all others in their bucket
+HOT_WORDS, HOT = 1 << 17, 1 << 18  # looked up in the task; all others in their bucket
 _SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
 _END = b"\xff"  # a byte that no text holds
 _BITS = 16
 _SLICE, _PIECE = 4 << 20, 1 << 18  # characters of text worked on at once, bytes hashed at once
 _BUCKET = 1 << 23  # bytes of text per bucket
+_TABLE_ROWS = 1 << 19  # of the value table, dealt at once
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -363,18 +364,23 @@ class Values:
             np.bincount(own, self.value[at], size), np.bincount(own[word], base[word], size), np.bincount(own[word], minlength=size).astype(float)]), found
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows of a task as three arrays of bytes: the driver gets some of these and not a row each."""
+    rows = [(b["id"].to_numpy(np.int64).tobytes(), b["value"].to_numpy(float).tobytes(), b["base"].to_numpy(float).tobytes()) for b in batches]
+    yield pd.DataFrame([[b"".join(x) for x in zip(*rows)] or [b"", b"", b""]], columns=["a", "b", "c"])
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unknown: float, tokens: int) -> DataFrame:
     """Look up all sequences of all texts that follow a context of the tree. ``values``: id, value, base, n, leads."""
     context = texts.sparkSession.sparkContext
-    frequent = [_most_frequent(part, most).select("id", "value", "base").toPandas() for part, most in (
-        (values.filter("base is not null"), HOT_WORDS), (values.filter("base is null"), HOT))]
-    frequent = pd.concat(frequent, ignore_index=True)
-    hot = Values(frequent["id"].to_numpy(np.int64).view(np.uint64), frequent["value"].to_numpy(float), frequent["base"].to_numpy(float))
+    frequent = _most_frequent(values.filter("base is not null"), HOT_WORDS).unionAll(_most_frequent(values.filter("base is null"), HOT))
+    packed = frequent.select("id", "value", "base").coalesce(8).mapInPandas(_packed, "a binary, b binary, c binary").collect()
+    hot = Values(*(np.frombuffer(b"".join(r[name] for r in packed), kind) for name, kind in (("a", np.uint64), ("b", float), ("c", float))))
     shared = context.broadcast((hot, _sieve(values), _sieve(values.filter("leads"))))
-    del frequent, hot
+    del packed, hot
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums over what is at hand, for the slice's own bucket (kind 1), and ids to look up with their texts (kind 2)."""
@@ -396,17 +402,28 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
             total, found = known.sums(ids, own, size)
             ids, own = ids[~found], own[~found]
             unit = int(part.frame["row"].iloc[0])
-            yield _chunks(buckets, 2, unit, ids, ids, own)
+            # Texts of a slice are numbered in two bytes where that is enough (kind 2), else in four (kind 3).
+            yield _chunks(buckets, 2, unit, ids, ids, own.astype(np.uint16)) if size <= 1 << 16 else _chunks(buckets, 3, unit, ids, ids, own)
             ids_of = part.frame["doc_id"]
             facts = np.stack([
                 ids_of.fillna(0).to_numpy(np.int64), ids_of.isna().to_numpy(np.int64), part.frame["held_out"].to_numpy(np.int64), np.bincount(part.own, minlength=size)])
             yield pd.DataFrame({"bucket": [unit % buckets], "kind": [1], "unit": [unit], "a": [facts.tobytes()], "b": [total.tobytes()], "c": [None]})
 
     def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["id"].to_numpy(np.int64).view(np.uint64)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pd.DataFrame:
+            ids, value, base = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order = _nearly_sorted(ids)
-            yield _chunks(buckets, 0, 0, ids[order], ids[order], batch["value"].to_numpy(float)[order], batch["base"].to_numpy(float)[order])
+            return _chunks(buckets, 0, 0, ids[order], ids[order], value[order], base[order])
+
+        for batch in batches:
+            held.append((batch["id"].to_numpy(np.int64).view(np.uint64), batch["value"].to_numpy(float), batch["base"].to_numpy(float)))
+            if sum(len(x) for x, *_ in held) >= _TABLE_ROWS:
+                yield out()
+        if held:
+            yield out()
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Table rows come first in their bucket; answers are sums per text of the asking slice (kind 2), the rest goes on."""
@@ -425,8 +442,8 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
                 passed = asked[asked["kind"] == 1]
                 if len(passed):
                     yield passed[["kind", "unit", "a", "b"]]
-                for unit, a, b in asked.loc[asked["kind"] == 2, ["unit", "a", "b"]].itertuples(index=False):
-                    ids, own_text = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+                for kind, unit, a, b in asked.loc[asked["kind"] > 1, ["kind", "unit", "a", "b"]].itertuples(index=False):
+                    ids, own_text = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint16 if kind == 2 else np.uint32).astype(np.int64)
                     places = np.flatnonzero(np.bincount(own_text)).astype(np.uint32)
                     sums, _ = known.sums(ids, own_text, int(places[-1]) + 1)
                     yield pd.DataFrame({"kind": [2], "unit": [unit], "a": [places.tobytes()], "b": [sums[:, places].tobytes()]})
