@@ -219,7 +219,8 @@ _PATTERN_SQL = f"""
         count(*) filter (dp in (445, 139) or sp in (445, 139)) as smb, count(*) filter (pr = 'tls' and tls_sni is null) as bare from v_events),
       s as (select count(distinct dp) as p from v_events group by si having count(distinct dp) > 20 or count(distinct di) > 10),
       p as (select 'rdp' as pattern, 'MEDIUM' as confidence from n where rdp > 2 union all select 'ssh', 'MEDIUM' from n where ssh > 2
-        union all select 'smb', 'MEDIUM' from n where smb > 2 union all select unnest(['tls_no_sni', 'tls_direct_ip']), 'HIGH' from n where bare > 3
+        union all select 'smb', 'MEDIUM' from n where smb > 2 
+        union all select unnest(['tls_no_sni', 'tls_direct_ip']), 'HIGH' from (select distinct di, tls_ja3 from v_events where pr = 'tls' and tls_sni is null), n where bare > 3
         union all select 'port_scan', case when p > 50 then 'HIGH' else 'MEDIUM' end from s)"""
 
 
