@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ioc
+from ..operators import ioc, window_index
+from ..session import cut_lineage
 from ..sources import warehouse
 from .core import query
 from .views import view
@@ -29,8 +30,10 @@ def found_by_indicator(spark, sf) -> DataFrame:
     return ioc.sightings(logs(spark, sf), cases(spark, sf))
 
 
-def found_by_ticket(spark, sf) -> DataFrame:
-    return ioc.in_ticket_windows(found_by_indicator(spark, sf), cases(spark, sf))
+def found_near_tickets(spark, sf) -> DataFrame:
+    """Sightings around any ticket, written once, as counts and runs of values both read them."""
+    near = ioc.within_any_window(logs(spark, sf), cases(spark, sf))
+    return cut_lineage(window_index.near_windows(ioc.sightings(near, cases(spark, sf)), cases(spark, sf)), "sightings")
 
 
 _COLUMNS = ["src_country", "dst_country", "query", "qtype_name", "rcode_name", "host", "uri", "method", "status_code",
@@ -126,7 +129,7 @@ def ioc_sightings(spark, sf):
     select ticket_id, log_type, matched_field, count(*) as sightings, count(distinct src_ip) as distinct_src,
       count(distinct dst_ip) as distinct_dst, min(ts) as first_seen, max(ts) as last_seen from w group by all""")
 def ticket_window_aggregate(spark, sf):
-    return ioc.window_aggregate(found_by_ticket(spark, sf), ["ticket_id"])
+    return window_index.ticket_aggregate(found_near_tickets(spark, sf), cases(spark, sf))
 
 
 @query("ticket_sighting_rollup", ids="A6", views=USED, sql=BY_TICKET + """,
@@ -248,7 +251,7 @@ def ioc_temporal_metrics(spark, sf):
     select ticket_id, count(distinct ip) filter (side = 's') as distinct_src_ip_count, count(distinct ip) filter (side = 'd') as distinct_dst_ip_count,
       count(distinct ip) as distinct_ip_total, greatest(0, count(distinct ip) - 1) as distinct_ip_excluding_trigger from d group by ticket_id""")
 def ticket_window_assets(spark, sf):
-    return ioc.window_assets(found_by_ticket(spark, sf), ["ticket_id"])
+    return window_index.ticket_assets(found_near_tickets(spark, sf), cases(spark, sf))
 
 
 _FIELDS = {"conn": ["ts", "t", "src_ip", "dst_ip"] + _HAS["conn"], **{k: ["ts", "t", "src_ip", "dst_ip"] + _HAS[k] for k in ("dns", "http", "ssl", "smtp")}}
