@@ -16,13 +16,14 @@ PLACEHOLDERS = ["", "-", "N/A", "unknown", "null", "none"]
 def string_entropy(col: Column) -> Column:
     """Shannon entropy (bits per character); 0 for a missing or empty string.
 
-    A character is counted by how much shorter the string gets without it, so long texts stay
-    inside native string functions.
+    The characters are sorted once and cut into runs of equal ones, so a text is gone through once however many distinct
+    characters it has.
     """
 
     def bits(text: Column, total: Column) -> Column:
-        share = lambda ch: (total - F.length(F.replace(text, ch, F.lit("")))) / total
-        shares = F.transform(F.array_distinct(F.split(text, "")), share)
+        ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+        runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*+"), 0)
+        shares = F.transform(runs, lambda run: F.length(run) / total)
         return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
     entropy = bound(col, lambda text: bound(F.length(text).cast("double"), lambda total: bits(text, total)))
