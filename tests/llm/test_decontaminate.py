@@ -17,6 +17,9 @@ CASES = {
     15: ("the quick brown fox jumps over the lazy dog", set()),  # too short a part
     16: ("x short item of five words y", {3}), 17: ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", set()), 18: (None, set()), 19: ("", set()),
     20: (ITEMS[1][1].upper(), {2}), 21: ("long " * 40_000 + ITEMS[1][1], {2}),
+    30: (ITEMS[0][1].upper(), {1, 6}), 31: (ITEMS[0][1].title(), {1, 6}), 32: (ITEMS[0][1].lower(), {1, 6}), 33: (ITEMS[1][1].title(), {2}),
+    34: ("so " + ITEMS[0][1].upper().replace("30", "44") + " AND MORE", {1, 6}), 35: (ITEMS[0][1].upper().replace("BOUGHT 12", "BOUGHT 15"), set()),
+    36: ("Before " + ITEMS[0][1].lower().replace("alice", "bertha"), {1, 6}),  # no capital tells the other name, but 16 words stand between the two
     22: ("a day at the zoo, " + " ".join(ITEMS[1][1].split()[:14]) + " was a line", {2}),
 }
 

@@ -2,20 +2,22 @@
 
 Words become a template: numbers, names (capitalised inside a sentence) and units after a number turn into typed
 placeholders. Windows of ``WINDOW`` template words of all documents are hash-joined with those of the benchmark, so
-a question with other numbers or names still meets its original. Matches of a document and an item at one shift are
-put together; the words under them are compared again, and the placeholders must be filled consistently: an item's value
-always becomes the same value, and two values never become one. An item is found if its matches cover ``LEAST`` of its
-words, or all of a shorter item.
+a question with other numbers or names still meets its original. As capitals tell names, every text is also read plainly,
+names as lower-case words: so an item is found whatever the letter case of its copy. Matches of a document and an item at one
+shift are put together, each reading apart; the words under them are compared again, and the placeholders must be filled
+consistently: an item's value always becomes the same value, and two values never become one. An item is found if its
+matches cover ``LEAST`` of its words in one reading, or all of a shorter item.
 
 Defined results: a null, empty or wordless text matches nothing, nor does a row with a null id. Windows with fewer than
 four plain words are not searched, so neither are items without any other window (a row of numbers says nothing). Items
-shorter than a window are searched whole. Repeated rows and repeated items give one row per document id and item id (the
-longest cover, then the smallest shift); rows that repeat an id are each compared by their own text. Empty tables give
-an empty table. Other columns are ignored.
+shorter than a window are searched whole. Long texts are read whole. Repeated rows and repeated items give one row per
+document id and item id (the longest cover, then the smallest shift, then the longest item and the most slots and changed
+slots); rows that repeat an id are each compared by their own text. Empty tables give an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,43 +50,85 @@ def _numeric(word: Column) -> Column:
     return (word >= "0") & (word < ":")
 
 
-def template_of(words: Column) -> Column:
-    """``words`` must be a plain column: it is looked up for every word."""
+def _bare(word: Column) -> Column:
+    return F.when(word.startswith(_MARK), F.substring(word, 2, 1 << 30)).otherwise(word)
 
-    def typed(word: Column, i: Column) -> Column:
+
+def _typed(words: Column, named: bool) -> Callable[[Column, Column], Column]:
+    """The template word at a place; ``words`` must be a plain column, as it is looked up for every word."""
+
+    def word_at(word: Column, i: Column) -> Column:
         after_number = (i > 0) & _numeric(F.get(words, i - 1))
-        return F.when(_numeric(word), NUMBER).when(word.startswith(_MARK), NAME).when(after_number & word.isin(*UNITS), UNIT).otherwise(word)
+        typed = F.when(_numeric(word), NUMBER)
+        if named:
+            return typed.when(word.startswith(_MARK), NAME).when(after_number & word.isin(*UNITS), UNIT).otherwise(word)
+        return typed.when(after_number & _bare(word).isin(*UNITS), UNIT).otherwise(_bare(word))
+
+    return word_at
+
+
+def template_of(words: Column, named: bool = True) -> Column:
+    """The template of a text in its typed reading, or in its plain one, where names are words."""
+    return F.transform(words, _typed(words, named))
 
-    return F.transform(words, typed)
 
+def _half(size: int) -> int:
+    return 1 << ((size - 1).bit_length() - 1)
 
-def _window_hashes(template: Column, size: int) -> Column:
-    last = F.size(template) - size + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(template, i, size))))
+
+def _hash_of(window: Column, size: int, at: int = 0) -> Column:
+    """Hash of a window: of the hashes of its two parts, down to words."""
+    if size == 1:
+        return F.xxhash64(F.get(window, at))
+    return F.xxhash64(_hash_of(window, _half(size), at), _hash_of(window, size - _half(size), at + _half(size)))
+
+
+def _with_hashes(df: DataFrame, name: str, size: int) -> DataFrame:
+    """``df`` with the hashes of all windows of a size, made of those of its parts: two look-ups a window. ``name``1: hashes of words."""
+    target, half = f"{name}{size}", _half(size) if size > 1 else 0
+    if target in df.columns:
+        return df
+    df = _with_hashes(_with_hashes(df, name, half), name, size - half)
+    left, right, last = F.col(f"{name}{half}"), F.col(f"{name}{size - half}"), F.size(f"{name}1") - size
+    return df.withColumn(target, F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(left, i), F.get(right, i + half)))))
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    items = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), words_of(benchmark[text_col]).alias("item_words")).filter(
-        "item_id is not null").distinct()
-    return items.withColumn("item_template", template_of(F.col("item_words"))).withColumn("item_tokens", F.size("item_words").cast("long"))
+    """item_id, item_words (without marks), reading (0 typed, 1 plain), item_template, item_tokens."""
+    items = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), words_of(benchmark[text_col]).alias("words")).filter("item_id is not null").distinct()
+    readings = F.array(*[F.struct(F.lit(r).alias("reading"), template_of(F.col("words"), not r).alias("template")) for r in (0, 1)])
+    return items.select(
+        "item_id", F.transform("words", _bare).alias("item_words"), F.size("words").cast("long").alias("item_tokens"), F.explode(readings).alias("r")).select(
+        "item_id", "item_words", "item_tokens", F.col("r.reading").alias("reading"), F.col("r.template").alias("item_template"))
 
 
 def item_windows(items: DataFrame, size: int, whole: bool) -> DataFrame:
-    """hash, item_id, item_position of the windows of one size; ``whole``: only of items that are just as long."""
+    """hash, size, item_id, reading, item_position of the windows of one size; ``whole``: only of items that are just as long."""
     plain = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("<"))) >= min(PLAIN, size)
     rows = items.filter(F.col("item_tokens") == size) if whole else items
-    rows = rows.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("item_template") - size + 1)), lambda i: F.slice("item_template", i, size))).alias("item_position", "w"))
-    return rows.filter((F.size("w") == size) & plain(F.col("w"))).select(F.xxhash64("w").alias("hash"), "item_id", "item_position").distinct()
+    rows = rows.select("item_id", "reading", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("item_template") - size + 1)), lambda i: F.slice("item_template", i, size))).alias("item_position", "w"))
+    return rows.filter((F.size("w") == size) & plain(F.col("w"))).select(
+        _hash_of(F.col("w"), size).alias("hash"), F.lit(size).alias("size"), "item_id", "reading", "item_position").distinct()
 
 
-def _matches(docs: DataFrame, items: DataFrame, size: int, whole: bool) -> DataFrame:
-    windows = item_windows(items, size, whole)
+def _matches(texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Windows of the documents, of the first size and of items as short as the others, that meet one of the benchmark."""
+    windows = reduce(DataFrame.unionAll, [item_windows(items, n, n != sizes[0]) for n in sizes])
     # The benchmark is small as a rule: its size decides, and a larger one is joined by a shuffle.
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
-    hashed = docs.select("doc_id", F.posexplode(_window_hashes(F.col("template"), size)).alias("position", "hash"))
-    found = hashed.join(windows, "hash")
-    return found.select("doc_id", "item_id", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", F.lit(size).alias("size"))
+    words = texts.select("doc_id", words_of(F.col("text")).alias("words"))
+    word_hashes = lambda named: F.transform("words", lambda w, i: F.xxhash64(_typed(F.col("words"), named)(w, i)))
+    marked = F.exists("words", lambda w: w.startswith(_MARK))
+    hashed = words.select("doc_id", word_hashes(True).alias("t1"), F.when(marked, word_hashes(False)).alias("p1"))
+    for n in sizes:
+        hashed = _with_hashes(_with_hashes(hashed, "t", n), "p", n)
+    # The plain reading is searched apart only where it differs: elsewhere the typed window stands for both.
+    differing = lambda n: F.transform(f"p{n}", lambda x, i: F.when(x != F.get(F.col(f"t{n}"), i), x))
+    lists = F.array(*[x for n in sizes for x in (F.col(f"t{n}"), differing(n))])
+    hashed = hashed.select("doc_id", F.posexplode(lists).alias("list", "hashes")).select("doc_id", "list", F.posexplode("hashes").alias("position", "hash"))
+    found = hashed.join(windows, "hash").filter((F.get(F.array(*[F.lit(n) for n in sizes]), F.floor(F.col("list") / 2).cast("int")) == F.col("size")) & (F.col("list") % 2 <= F.col("reading")))
+    return found.select("doc_id", "item_id", "reading", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "size")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
@@ -92,19 +136,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
     """doc_id, item_id, start (word of the document, from 0), covered, item_tokens, slots and changed_slots of every leak."""
     items = _items(benchmark, item_id_col, item_text_col)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).filter("doc_id is not null")
-    # Words and templates are columns of their own: each is used more than once below and must not be worked out again.
-    templates = texts.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", template_of(F.col("words")).alias("template"))
-    sizes = [r["n"] for r in items.filter((F.col("item_tokens") < window) & (F.col("item_tokens") > 0)).select(F.col("item_tokens").alias("n")).distinct().collect()]
-    parts = [_matches(templates, items, window, False)] + [_matches(templates, items, n, True) for n in sorted(sizes)]
-    matches = reduce(DataFrame.unionAll, parts)
+    short = items.filter((F.col("item_tokens") < window) & (F.col("item_tokens") > 0)).select(F.col("item_tokens").alias("n")).distinct().collect()
+    matches = _matches(texts, items, [window, *sorted(r["n"] for r in short)])
 
     # Word places of the item under the matches of one shift.
-    places = matches.groupBy("doc_id", "item_id", "shift").agg(
+    places = matches.groupBy("doc_id", "item_id", "reading", "shift").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_position", F.col("item_position") + F.col("size") - 1))))).alias("places"))
-    candidates = places.join(items, "item_id").filter(F.size("places") >= F.least(F.lit(least), F.col("item_tokens")))
+    candidates = places.join(items, ["item_id", "reading"]).filter(F.size("places") >= F.least(F.lit(least), F.col("item_tokens")))
 
-    suspects = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("words"))
-    aligned = suspects.withColumn("template", template_of(F.col("words"))).join(candidates, "doc_id")
+    suspects = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("marked"))
+    suspects = suspects.select(
+        "doc_id", F.transform("marked", _bare).alias("words"), template_of(F.col("marked")).alias("typed"), template_of(F.col("marked"), False).alias("plain"))
+    aligned = suspects.join(candidates, "doc_id").withColumn("template", F.when(F.col("reading") == 0, F.col("typed")).otherwise(F.col("plain")))
     here = lambda p: F.get("words", p + F.col("shift"))
     equal = F.forall("places", lambda p: F.coalesce(F.get("template", p + F.col("shift")) == F.get("item_template", p), F.lit(False)))
     slots = F.transform(
@@ -131,31 +174,35 @@ def _sql_template(words: str) -> str:
             when i > 1 and {words}[i - 1] >= '0' and {words}[i - 1] < ':' and w in ({units}) then '{UNIT}' else w end)"""
 
 
-#: The same rows for DuckDB, for benchmarks whose items have at least WINDOW words or none below it.
+#: The same rows for DuckDB. Reading 0 has names; reading 1 is the same text with the marks before names taken out.
 LEAKS_SQL = f"""
-    with item_words as (select distinct item_id::bigint as item_id, {_sql_words('text')} as words from benchmark where item_id is not null),
-    items as (select *, {_sql_template('words')} as template, len(words)::bigint as item_tokens from item_words),
-    doc_words as (select doc_id::bigint as doc_id, row_number() over () as row, {_sql_words('text')} as words from documents where doc_id is not null),
-    docs as (select *, {_sql_template('words')} as template from doc_words),
+    with item_words as (select distinct item_id::bigint as item_id, {_sql_words('text')} as marked from benchmark where item_id is not null),
+    item_readings as (select *, unnest([0, 1]) as reading, list_transform(marked, lambda w: replace(w, chr(1), '')) as words from item_words),
+    item_said as (select *, case when reading = 0 then marked else words end as said, len(words)::bigint as item_tokens from item_readings),
+    items as (select *, {_sql_template('said')} as template from item_said),
+    doc_words as (select doc_id::bigint as doc_id, row_number() over () as row, {_sql_words('text')} as marked from documents where doc_id is not null),
+    doc_readings as (select *, unnest([0, 1]) as reading, list_transform(marked, lambda w: replace(w, chr(1), '')) as words from doc_words),
+    doc_said as (select *, case when reading = 0 then marked else words end as said from doc_readings),
+    docs as (select *, {_sql_template('said')} as template from doc_said),
     item_starts as (select *, unnest(range(0, greatest(1, item_tokens - {WINDOW} + 1))) as item_position, least({WINDOW}, item_tokens) as size from items where item_tokens > 0),
     item_windows as (
-        select distinct item_id, item_position, size, array_to_string(template[item_position + 1:item_position + size], ' ') as key from item_starts
+        select distinct item_id, reading, item_position, size, array_to_string(template[item_position + 1:item_position + size], ' ') as key from item_starts
         where len(list_filter(template[item_position + 1:item_position + size], lambda x: not starts_with(x, '<'))) >= least({PLAIN}, size)),
     sizes as (select distinct size from item_windows),
-    doc_starts as (select doc_id, row, size, template, unnest(range(0, len(template) - size + 1)) as position from docs, sizes where len(template) >= size),
+    doc_starts as (select doc_id, row, reading, size, template, unnest(range(0, len(template) - size + 1)) as position from docs, sizes where len(template) >= size),
     matches as (
-        select doc_id, row, item_id, position - item_position as shift, unnest(range(item_position, item_position + size)) as place
-        from (select *, array_to_string(template[position + 1:position + size], ' ') as key from doc_starts) join item_windows using (key, size)),
-    places as (select doc_id, row, item_id, shift, list_sort(list(distinct place)) as places from matches group by all),
+        select doc_id, row, item_id, reading, position - item_position as shift, unnest(range(item_position, item_position + size)) as place
+        from (select *, array_to_string(template[position + 1:position + size], ' ') as key from doc_starts) join item_windows using (key, size, reading)),
+    places as (select doc_id, row, item_id, reading, shift, list_sort(list(distinct place)) as places from matches group by all),
     slots as (
         select p.doc_id, p.item_id, shift, len(places)::bigint as covered, i.item_tokens,
             list_transform(list_filter(places, lambda p: i.template[p + 1] in ('{NUMBER}', '{NAME}', '{UNIT}')),
                 lambda p: {{'old': i.words[p + 1], 'new': d.words[p + shift + 1]}}) as all_slots
-        from places p join items i using (item_id) join docs d using (row) where len(places) >= least({LEAST}, i.item_tokens)),
-    kept as (
-        select *, row_number() over (partition by doc_id, item_id order by covered desc, shift, item_tokens desc) as k from slots
+        from places p join items i using (item_id, reading) join docs d using (row, reading) where len(places) >= least({LEAST}, i.item_tokens)),
+    counted as (
+        select *, len(all_slots)::bigint as slots, len(list_filter(all_slots, lambda s: s.old <> s.new))::bigint as changed_slots from slots
         where len(list_distinct(all_slots)) = len(list_distinct(list_transform(all_slots, lambda s: s.old)))
-          and len(list_distinct(all_slots)) = len(list_distinct(list_transform(all_slots, lambda s: s.new))))
-    select doc_id, item_id, shift::bigint as start, covered, item_tokens, len(all_slots)::bigint as slots,
-        len(list_filter(all_slots, lambda s: s.old <> s.new))::bigint as changed_slots
-    from kept where k = 1"""
+          and len(list_distinct(all_slots)) = len(list_distinct(list_transform(all_slots, lambda s: s.new)))),
+    kept as (
+        select *, row_number() over (partition by doc_id, item_id order by covered desc, shift, item_tokens desc, slots desc, changed_slots desc) as k from counted)
+    select doc_id, item_id, shift::bigint as start, covered, item_tokens, slots, changed_slots from kept where k = 1"""
