@@ -29,7 +29,7 @@ def check(spark, rows, k=10, **options):
 
 
 def test_recall_on_clusters(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 4)  # several blocks
+    monkeypatch.setattr(ann, "SLICE", 4)  # several blocks
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((8, 32))
     rows = [(i, (centres[i % 8] + 0.5 * rng.standard_normal(32)).tolist()) for i in range(1500)]

@@ -6,8 +6,9 @@ these the inner product with a rotated query is estimated without bias, with an
 dimension. A vector is reranked by its exact distance only if the lower bound of its distance does not exceed the distance
 of the current k-th neighbour. With ``bound`` 3 the bound fails for about one vector in a thousand, so recall is near 1.
 
-The centre is the mean of all vectors. All vectors are coded; queries are searched in blocks of ``BLOCK`` rows, so what
-a task gets for a block is bounded, and every block scans the codes once.
+The centre is the mean of all vectors. All vectors are coded and dealt to slices of about ``SLICE`` rows; every slice gets all
+queries behind its codes and answers them an Arrow batch at a time. A task holds one slice and one batch of queries, and
+neither goes through the driver.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, take no part, nor do rows with a
 null id; ``dimension`` (default: the most frequent length) sets aside vectors of another length. Ties go to the smaller id.
@@ -18,7 +19,7 @@ returned; an empty table gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BLOCK = 4096
+SLICE = 1 << 16
 BOUND = 3.0
 _RESULT = "query_id long, vec_id long, score double"
 
@@ -83,7 +84,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 class BlockSearch:
-    """Best k per query of one block, over the batches of one task."""
+    """Best k per query of one batch of queries, over the candidates of a slice."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int, bound: float) -> None:
         self.ids, self.queries, self.k, self.bound = ids, queries, k, bound
@@ -134,33 +135,38 @@ class BlockSearch:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
             bound: float = BOUND, dimension: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows of each query; ``is_query`` is a condition on column vec_id."""
-    spark = vectors.sparkSession
     coded, centre = build_index(vectors, id_col, vector_col, dimension)
-    coded = cut_lineage(coded, "ann-codes")
-    blocks = coded.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    count = blocks.count()
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    number = -(-count // BLOCK)
-    found = None
-    for b in range(number):
-        rows = blocks.filter(F.pmod(F.xxhash64("vec_id"), F.lit(number)) == b).toPandas() if number > 1 else blocks.toPandas()
-        if len(rows):
-            part = _search(coded, rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"]), centre, k, bound)
-            found = part if found is None else found.unionAll(part)
+    coded = cut_lineage(coded.withColumn("row", F.monotonically_increasing_id()), "ann-codes")
+    slices = max(-(-coded.count() // SLICE), 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    candidates = coded.select(
+        F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"), "vec_id", "v", "code", "length", "own")
+    queries = coded.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"), "vec_id", "v",
+        F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("length"), F.lit(None).cast("double").alias("own"))
+    met = candidates.unionAll(asked).repartition(slices, "slice").sortWithinPartitions("slice", "asks")
+    found = met.mapInPandas(_answers(centre, k, bound), _RESULT)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _search(coded: DataFrame, ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int, bound: float) -> DataFrame:
-    block = coded.sparkSession.sparkContext.broadcast((ids, queries))
+def _answers(centre: np.ndarray, k: int, bound: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Over rows ordered by slice, candidates first: the best k of the slice for each batch of queries that follows them."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = BlockSearch(*block.value, centre, k, bound)
+        own, held = None, []
         for batch in batches:
-            if len(batch):
-                code = np.frombuffer(b"".join(batch["code"]), np.uint8).reshape(len(batch), -1)
-                search.add(batch["vec_id"].to_numpy(np.int64), np.stack(batch["v"]), code, batch["length"].to_numpy(), batch["own"].to_numpy())
-        yield search.result()
-
-    return coded.mapInPandas(scan, _RESULT)
+            for (part, asks), rows in batch.groupby(["slice", "asks"], sort=True):
+                if part != own:
+                    own, held = part, []
+                ids, v = rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"])
+                if asks:
+                    search = BlockSearch(ids, v, centre, k, bound)
+                    for candidates in held:
+                        search.add(*candidates)
+                    yield search.result()
+                else:
+                    code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+                    held.append((ids, v, code, rows["length"].to_numpy(), rows["own"].to_numpy()))
+
+    return scan
