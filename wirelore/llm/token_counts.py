@@ -10,7 +10,8 @@ The text is split before each word mark (a space), as the tokenizer does, so a w
 surroundings and is remembered per task (``MEMO`` words at most, then forgotten).
 
 Defined results: a null or empty text has zero tokens; rows are independent, so repeated rows come back repeated and
-an empty table gives an empty table; a null id is kept; other columns are ignored.
+an empty table gives an empty table; a null id is kept; other columns are ignored. Long texts are counted whole, word by word; a
+word without spaces, however long, takes time in proportion to its length times the longest piece.
 """
 
 from __future__ import annotations

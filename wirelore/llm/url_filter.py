@@ -6,7 +6,8 @@ The regression is trained from a small labelled URL table (``LABELLED`` unless t
 
 Defined results: a null url, or one without "://", has empty host and path, matches no rule and gets the method's
 verdict for an empty url (allow). Rows are independent, so repeated rows come back repeated and an empty table gives an
-empty table; a null page id is kept; other columns are ignored. Of two equally long rules the first in order wins.
+empty table; a null page id is kept; other columns are ignored. Of two equally long rules the first in order wins. Long
+urls are read whole.
 """
 
 from __future__ import annotations
