@@ -125,6 +125,7 @@ def _matches(texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
         hashed = _with_hashes(_with_hashes(hashed, "t", n), "p", n)
     # The plain reading is searched apart only where it differs: elsewhere the typed window stands for both.
     differing = lambda n: F.transform(f"p{n}", lambda x, i: F.when(x != F.get(F.col(f"t{n}"), i), x))
+    # An array made here is exploded, not a computed column: Spark would filter that by its size first, and work the hashes out anew.
     lists = F.array(*[x for n in sizes for x in (F.col(f"t{n}"), differing(n))])
     hashed = hashed.select("doc_id", F.posexplode(lists).alias("list", "hashes")).select("doc_id", "list", F.posexplode("hashes").alias("position", "hash"))
     found = hashed.join(windows, "hash").filter((F.get(F.array(*[F.lit(n) for n in sizes]), F.floor(F.col("list") / 2).cast("int")) == F.col("size")) & (F.col("list") % 2 <= F.col("reading")))
