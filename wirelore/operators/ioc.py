@@ -30,6 +30,7 @@ MATCH_RULES = [
 LOG_COLUMNS = """src_ip dst_ip src_country dst_country query qtype_name rcode_name host uri method status_code
     user_agent server_name version ja3 mailfrom rcptto md5 sha1 sha256""".split()
 
+INDICATOR = ["ioc_type", "ioc_value"]
 GRAM = 4
 
 
@@ -63,34 +64,22 @@ def name_suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
 
 
-KEYS_TYPE = "array<struct<ioc_type:string,matched_field:string,value:string>>"
+LOOKUPS_TYPE = "array<struct<ioc_type:string,way:string,matched_field:string,value:string>>"
 
 
-def _lookup(kind: str, field: str, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("ioc_type"), F.lit(field).alias("matched_field"), value.alias("value"))
-
-
-def _row_keys(log_type: str, columns: Sequence[str], ways: Sequence[str]) -> Column:
-    """The (indicator type, field, value) look-ups that a row offers for some ways of matching."""
-    single, arrays = [], []
-    for kind, column, field, way in rules_for(log_type, columns):
-        if way not in ways:
-            continue
-        if way == "suffix":
-            names = F.when(c(column).isNotNull(), name_suffixes(c(column))).otherwise(F.array(c(column)))
-            arrays.append(F.transform(names, lambda v: _lookup(kind, field, v)))
-        else:
-            single.append(_lookup(kind, field, c(column).cast("string")))
-    if single:
-        arrays.append(F.array(*single))
-    return F.concat(*arrays).cast(KEYS_TYPE) if arrays else F.array().cast(KEYS_TYPE)
+def _row_lookups(log_type: str, columns: Sequence[str]) -> Column:
+    """The (indicator type, way, field, value) look-ups that a row offers, one per rule."""
+    found = [
+        F.struct(F.lit(kind).alias("ioc_type"), F.lit(way).alias("way"), F.lit(field).alias("matched_field"), c(column).cast("string").alias("value"))
+        for kind, column, field, way in rules_for(log_type, columns)]
+    return F.array(*found).cast(LOOKUPS_TYPE)
 
 
 def stack_logs(logs: Mapping[str, DataFrame]) -> DataFrame:
     """All log tables in one shape with their name as ``log_type``; absent columns are NULL.
 
-    ``_exact`` and ``_texts`` carry the look-ups of the row, built per table because the rules
-    depend on the columns a table has.
+    ``_lookups`` carries the look-ups of the row, built per table because the rules depend on the
+    columns a table has.
     """
     stacked = None
     for log_type, df in logs.items():
@@ -98,8 +87,7 @@ def stack_logs(logs: Mapping[str, DataFrame]) -> DataFrame:
         part = df.select(
             F.lit(log_type).alias("log_type"), "ts",
             *[optional(present, name).cast("string").alias(name) for name in LOG_COLUMNS],
-            _row_keys(log_type, present, ("equal", "suffix")).alias("_exact"),
-            _row_keys(log_type, present, ("contains",)).alias("_texts"))
+            _row_lookups(log_type, present).alias("_lookups"))
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 
@@ -146,28 +134,50 @@ def within_any_window(logs: Mapping[str, DataFrame], tickets: DataFrame, hours:
     return {name: df.filter((F.col("ts") >= low) & (F.col("ts") <= high)) for name, df in logs.items()}
 
 
-def sightings(logs: Mapping[str, DataFrame], indicators: DataFrame) -> DataFrame:
+LOOKUP = ["ioc_type", "way", "value"]
+SPREAD = 100_000  # rows of one look-up value that may meet in one task
+
+
+def _kinds(way: str) -> list[str]:
+    return sorted({kind for kind, *_, rule in MATCH_RULES if rule == way})
+
+
+def _hits(values: DataFrame, indicators: DataFrame) -> DataFrame:
+    """(indicator type, way, value, indicator) for every distinct look-up value that an indicator matches."""
+    def of(way: str) -> tuple[DataFrame, DataFrame]:
+        return values.filter(F.col("way") == way), indicators.filter(F.col("ioc_type").isin(_kinds(way)))
+
+    _, wanted = of("equal")
+    equal = wanted.select("ioc_type", F.lit("equal").alias("way"), F.col("ioc_value").alias("value"), "ioc_value").dropna()
+    names, wanted = of("suffix")
+    suffixes = names.select(*LOOKUP, F.explode_outer(name_suffixes(F.col("value"))).alias("ioc_value"))
+    suffix = suffixes.join(wanted, INDICATOR).select(*LOOKUP, "ioc_value")
+    texts, wanted = of("contains")
+    held = contains_join(texts.select(F.col("ioc_type").alias("kind"), F.col("value").alias("text")),
+                         wanted.select(F.col("ioc_type").alias("kind"), F.col("ioc_value").alias("needle")))
+    contains = held.select(F.col("kind").alias("ioc_type"), F.lit("contains").alias("way"), F.col("text").alias("value"), F.col("needle").alias("ioc_value"))
+    return equal.unionByName(suffix).unionByName(contains)
+
+
+def sightings(logs: Mapping[str, DataFrame], indicators: DataFrame, spread: int = SPREAD) -> DataFrame:
     """One row per log row, matching field and indicator.
 
-    Equality and host-suffix rules become look-ups of the row and meet the indicators in one
-    equi-join; substring rules go through ``contains_join`` on the distinct texts.
+    Indicators first meet the distinct values of the logs: by equality, by host suffix, or through ``contains_join``. The
+    log rows then meet the values that were hit in one equi-join, with one look-up per rule, so the suffixes that all names
+    share never carry rows. A value with more than ``spread`` rows is dealt to several tasks.
     """
-    indicators = indicators.select("ioc_type", "ioc_value").distinct()
-    rows = stack_logs(logs)
+    indicators = indicators.select(INDICATOR).distinct()
     plain = ["log_type", "ts", *LOG_COLUMNS]
-
-    def opened(lookups: str) -> DataFrame:
-        return rows.select(*plain, F.explode_outer(lookups).alias("_l")).select(*plain, "_l.*").filter(F.col("value").isNotNull())
-
-    columns = ["ioc_type", "ioc_value", "matched_field", *plain]
-    exact = opened("_exact").withColumnRenamed("value", "ioc_value").join(indicators, ["ioc_type", "ioc_value"]).select(columns)
-    searched = sorted({kind for kind, *_, way in MATCH_RULES if way == "contains"})
-    texts = opened("_texts")
-    needles = indicators.filter(F.col("ioc_type").isin(searched)).select(
-        F.col("ioc_type").alias("kind"), F.col("ioc_value").alias("needle"))
-    hits = contains_join(texts.select(F.col("ioc_type").alias("kind"), F.col("value").alias("text")), needles)
-    hits = hits.select(F.col("kind").alias("ioc_type"), F.col("text").alias("value"), F.col("needle").alias("ioc_value"))
-    return exact.unionByName(texts.join(hits, ["ioc_type", "value"]).select(columns))
+    opened = stack_logs(logs).select(*plain, F.explode_outer("_lookups").alias("_l")).select(*plain, "_l.*").filter(F.col("value").isNotNull())
+    values = cut_lineage(opened.groupBy(LOOKUP).agg(F.count(F.lit(1)).alias("_n")), "look-ups")
+    # At most one value per `spread` look-ups of the logs.
+    hot = F.broadcast(values.filter(F.col("_n") > spread).select(*LOOKUP, F.ceil(F.col("_n") / spread).cast("int").alias("_parts")))
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    hits = _hits(values, indicators).join(hot, LOOKUP, "left").select(*LOOKUP, "ioc_value", F.explode(parts).alias("_part"))
+    hits = cut_lineage(hits, "hits")  # written, so that a small table is known to be small before rows are shuffled
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("ts", "src_ip", "dst_ip"), F.col("_parts")).cast("int")).otherwise(0)
+    dealt = opened.join(hot, LOOKUP, "left").withColumn("_part", part)
+    return dealt.join(hits, [*LOOKUP, "_part"]).select(*INDICATOR, "matched_field", *plain)
 
 
 def in_ticket_windows(found: DataFrame, tickets: DataFrame, hours: int = 24, keep: Sequence[str] = ("ticket_id",)) -> DataFrame:
