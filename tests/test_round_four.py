@@ -2,7 +2,10 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from wirelore.operators import ioc
+from wirelore.streaming import beacons
 
 T = datetime(2024, 3, 1)
 
@@ -40,3 +43,27 @@ def test_sightings_meet_values_and_deal_out_hot_ones(spark):
         got = sorted((r.ioc_type, r.ioc_value, r.matched_field, r.log_type, r.ts,
                       r[r.matched_field.split(".")[-1]]) for r in rows)
         assert got == brute_sightings({"http": http, "smtp": mail}, wanted)
+
+
+def test_connections_share_the_state_of_a_bucket(spark, tmp_path):
+    """Many connections (a missing and a long port among them) are held in few state rows and come out one by one as they fall silent."""
+    big = 2**53 + 1
+    events = [(f"s{i % 50}", "d", None if i % 3 == 0 else big, 1.7e9 + i * 10.0) for i in range(1500)]
+    batches = [events[:700], events[700:], [("end", "d", 1, 1.8e9)], [("end", "d", 1, 1.9e9)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "si string, di string, dp long, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("si string, di string, dp long, t double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    made = beacons.interval_stream(stream, ("si", "dp"), buckets=4)
+    query = made.writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = max((p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]), default=0)
+    got = sorted((r.si, r.dp or 0, r.intervals, r.interval_avg, r.interval_stddev) for r in spark.table("buckets").collect())
+    assert rows <= 4
+    want = {}
+    for si, _, dp, t in events:
+        want.setdefault((si, dp or 0), []).append(t)
+    assert [g[:3] for g in got] == sorted((*k, len(v) - 1) for k, v in want.items()) and len(got) == 100
+    for si, dp, _, mean, sd in got:
+        times = want[si, dp]
+        gaps = [b - a for a, b in zip(times, times[1:])]
+        assert abs(mean - sum(gaps) / len(gaps)) < 1e-6 and abs(sd - (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5) < 1e-4

@@ -5,11 +5,15 @@ count, mean and M2 of the intervals (each new interval is merged into them) and
 taken over in order once the watermark has passed them, so events that come late but in time count as in a batch. A
 connection that stays silent for ``silence`` seconds after its last event is given out with its final metrics, and its
 state goes. The state of a connection grows with the watermark's delay and its different seconds, not with its events.
+
+Spark's state is kept per bucket of connections, as a call and a state row for each of millions of connections cost far
+more than their few events. A bucket's timer is that of its first connection to fall silent.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -21,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect
 
-STATE = "last double, n long, mean double, m2 double, seconds array<double>, counts array<long>, waiting array<double>"
+STATE = "connections binary"  # pickled: connection -> (state of its Intervals, its timer in ms)
 METRICS = "intervals long, interval_avg double, interval_stddev double, entropy double, events long, cv double"
 
 
@@ -46,13 +50,14 @@ class Intervals:
 
     def take(self, until: float) -> None:
         """Take over the waiting times up to ``until``, in order."""
-        ready = np.sort([t for t in self.waiting if t <= until])
-        if not len(ready):
+        ready = sorted(t for t in self.waiting if t <= until)
+        if not ready:
             return
         self.waiting = [t for t in self.waiting if t > until]
-        gaps = np.diff(ready) if self.last is None else np.diff(ready, prepend=self.last)
+        times = ready if self.last is None else [self.last, *ready]
         self.last = float(ready[-1])
-        if len(gaps):
+        if len(times) > 1:
+            gaps = np.diff(times)
             self.merge(len(gaps), float(gaps.mean()), float(((gaps - gaps.mean()) ** 2).sum()))
             self.seconds.update(Counter(np.rint(gaps).tolist()))
 
@@ -62,35 +67,52 @@ class Intervals:
         return (self.n, self.mean, deviation, entropy, self.n + 1, deviation / self.mean if self.mean > 0 else 1.0)
 
 
-def interval_stream(events: DataFrame, keys: Sequence[str] = detect.CONNECTION, min_events: int = 5, delay: str = "10 minutes", silence: float = 3600) -> DataFrame:
+def interval_stream(events: DataFrame, keys: Sequence[str] = detect.CONNECTION, min_events: int = 5, delay: str = "10 minutes", silence: float = 3600,
+                    buckets: int = 4096) -> DataFrame:
     """The metrics of :func:`detect.interval_metrics` for each connection, when it has been silent for long enough.
 
-    ``events`` is a stream with the epoch seconds ``t`` and the timestamp ``ts``.
+    ``events`` is a stream with the epoch seconds ``t`` and the timestamp ``ts``. ``buckets`` should make some hundred to
+    some ten thousand open connections a bucket.
     """
     kinds = dict(events.dtypes)
-    key_types = ", ".join(f"{k} {kinds[k]}" for k in keys)
-
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = Intervals(*state.get) if state.exists else Intervals()
-        passed = state.getCurrentWatermarkMs() / 1000
-        if state.hasTimedOut:
+    columns = [*keys, *(x.split()[0] for x in METRICS.split(", "))]
+
+    def follow(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = pickle.loads(state.get[0]) if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
+        passed = watermark / 1000
+        heard: dict[tuple, list[float]] = {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for *who, t in zip(*(frame[k].tolist() for k in (*keys, "t")), strict=True):
+                    heard.setdefault(tuple(who), []).append(t)
+        due = [who for who, (_values, timer) in known.items() if timer < watermark and who not in heard]
+        finished = []
+        for who in (*heard, *due):
+            own = Intervals(*known[who][0]) if who in known else Intervals()
+            own.waiting.extend(heard.get(who, ()))
             own.take(passed)
             newest = max(own.waiting, default=own.last)
-            if newest is None or newest + silence <= passed:
-                state.remove()
+            if who not in heard and newest + silence <= passed:
+                del known[who]
                 if own.n + 1 >= min_events:
-                    yield pd.DataFrame([(*key, *own.metrics())], columns=[*keys, *(x.split()[0] for x in METRICS.split(", "))])
-                return
+                    finished.append((*who, *own.metrics()))
+            else:
+                known[who] = (own.state(), int(max(newest + silence, passed) * 1000) + 1)
+        if finished:
+            yield pd.DataFrame(finished, columns=columns)
+        if known:
+            state.update((pickle.dumps(known),))
+            state.setTimeoutTimestamp(min(timer for _values, timer in known.values()))
         else:
-            for frame in frames:
-                own.waiting.extend(frame["t"].tolist())
-            own.take(passed)
-        newest = max(own.waiting, default=own.last)
-        state.update(own.state())
-        state.setTimeoutTimestamp(int(max(newest + silence, passed) * 1000) + 1)
-
-    known = events.filter(F.col("si").isNotNull() & F.col("di").isNotNull()).withWatermark("ts", delay).select(*keys, "t", "ts")
-    return known.groupBy(*keys).applyInPandasWithState(follow, f"{key_types}, {METRICS}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            state.remove()
+
+    # Keys travel as text, so that a missing number stays missing and a long one exact.
+    known = events.filter(F.col("si").isNotNull() & F.col("di").isNotNull()).withWatermark("ts", delay)
+    bucketed = known.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *[F.col(k).cast("string").alias(k) for k in keys], "t", "ts")
+    shape = ", ".join(f"{k} string" for k in keys) + f", {METRICS}"
+    found = bucketed.groupBy("_bucket").applyInPandasWithState(follow, shape, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
 
 
 def beacon_stream(events: DataFrame, keys: Sequence[str] = detect.CONNECTION, min_events: int = 5, delay: str = "10 minutes", silence: float = 3600, **thresholds: float) -> DataFrame:
