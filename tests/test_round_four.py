@@ -1,10 +1,12 @@
 """Steps that met hot keys or too many groups in earlier rounds."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from wirelore.operators import ioc
+from wirelore.operators import ioc, window_sweep
+from wirelore.plans import ticket_reports
 from wirelore.streaming import beacons
 
 T = datetime(2024, 3, 1)
@@ -67,3 +69,43 @@ def test_connections_share_the_state_of_a_bucket(spark, tmp_path):
         times = want[si, dp]
         gaps = [b - a for a, b in zip(times, times[1:])]
         assert abs(mean - sum(gaps) / len(gaps)) < 1e-6 and abs(sd - (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5) < 1e-4
+
+
+FULL = "ioc_type string, ioc_value string, log_type string, matched_field string, ts timestamp_ntz, " + ", ".join(
+    f"{x} string" for x in ("src_ip", "dst_ip", "query", "qtype_name", "rcode_name", "method", "user_agent", "ja3", "mailfrom", "rcptto"))
+
+
+def test_sweep_equals_window_pairs(spark):
+    """Every feature of the report's windows, against sightings joined with windows; whole hours, repeated times and NULLs among them."""
+    rng = random.Random(5)
+    pick = lambda *of: rng.choice([None, "", *of])
+    rows = []
+    for _ in range(400):
+        at = T + rng.choice([timedelta(hours=rng.randint(0, 150)), timedelta(seconds=rng.uniform(0, 86400 * 6))])
+        log = rng.choice(["conn", "dns", "http", "ssl", "smtp"])
+        rows.append(("ip", rng.choice("abc"), log, rng.choice(["src_ip", "dst_ip"]), at, pick("1", "2", "3"), pick("2", "4"), pick("q", "r"), pick("TXT", "NULL"),
+                     pick("NXDOMAIN", "3"), pick("POST", "GET"), pick("u", "v"), pick("j"), pick("m"), pick("n", "o")))
+    rows += rows[:40] + [("ip", "a", "conn", "src_ip", None, *["9"] * 10), ("ip", "n", "conn", "src_ip", T, *[None] * 10)]
+    found = spark.createDataFrame(rows, FULL)
+    times = [T + rng.choice([timedelta(hours=rng.randint(-30, 180)), timedelta(seconds=rng.uniform(0, 86400 * 6))]) for _ in range(30)]
+    windows = spark.createDataFrame([("ip", rng.choice("abcd"), t) for t in times] + [("ip", "a", None), ("ip", "n", T), ("ip", "b", rows[0][4])],
+                                    "ioc_type string, ioc_value string, t0 timestamp_ntz").distinct()
+    for hours in (24, 3):
+        key = ["ioc_type", "ioc_value", "t0"]
+        want = ticket_reports.window_features(ioc.in_ticket_windows(found, windows, hours, keep=["t0"]), key)
+        got = window_sweep.window_features(found, windows, hours)
+        assert sorted(got.columns) == sorted(want.columns) and len(set(got.dtypes) ^ set(want.dtypes)) == 0
+        exact = [c for c in sorted(want.columns) if c != "bucket_variance"]
+        shown = lambda df: {tuple(r[k] for k in key): (str([r[c] for c in exact]), r.bucket_variance) for r in df.collect()}
+        a, b = shown(got), shown(want)
+        assert {k: v[0] for k, v in a.items()} == {k: v[0] for k, v in b.items()} and len(a) > 15
+        assert all(abs(a[k][1] - b[k][1]) < 1e-9 for k in a)
+
+
+def test_report_rows_do_not_grow_with_pairs(spark):
+    """2000 sightings in 2000 overlapping windows give the sweep a few rows each; every window reads all of them."""
+    found = spark.range(2000).selectExpr("'ip' ioc_type", "'a' ioc_value", "'conn' log_type", "'src_ip' matched_field", "timestampadd(SECOND, id, timestamp_ntz'2024-03-01') ts",
+                                         "string(id % 7) src_ip", *[f"cast(null as string) {c.split()[0]}" for c in FULL.split(", ")[6:]])
+    windows = found.selectExpr("ioc_type", "ioc_value", "ts as t0")
+    rows = window_sweep.window_features(found, windows).collect()
+    assert len(rows) == 2000 and {(r.total_sightings, r.distinct_src_ip_count, r.top1_share) for r in rows} == {(2000, 7, 286 / 2000)}

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layers import table_protocol
-from ..operators import history, ioc, rules, scoring
-from ..session import cut_lineage
+from ..operators import history, ioc, rules, scoring, window_sweep
 
 
 def window_features(found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,14 +55,13 @@ def ticket_reports(logs: Mapping[str, DataFrame], tickets: DataFrame, hours: int
 
     ``tickets`` has ticket_id, created_at, status, severity, outcome, ioc_type, ioc_value and t0. A
     ticket without sightings keeps an empty window. Tickets of one indicator and trigger time share
-    a window, which is evaluated once. The sightings are written once, because counts,
-    peers and time buckets all read them and they are far smaller than the logs.
+    a window, which is evaluated once. All of a window's aggregates come from one sweep over trigger
+    time, so sightings and windows never meet in pairs.
     """
     window = ["ioc_type", "ioc_value", "t0"]
     distinct_windows = tickets.select(window).distinct()
     near = ioc.within_any_window(logs, distinct_windows, hours)
-    sighted = ioc.in_ticket_windows(ioc.sightings(near, tickets), distinct_windows, hours, keep=["t0"])
-    features = window_features(cut_lineage(sighted, "sightings"), window)
+    features = window_sweep.window_features(ioc.sightings(near, tickets), distinct_windows, hours)
     base = history.history_without_self(tickets)
     joined = rules.map_techniques(base.join(features, window, "left"))
     sightings = F.coalesce("total_sightings", F.lit(0))
