@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import one_decimal
 from .detect import dns_events, interval_metrics, scan_metrics
 
 # Technique, name, tactic, indicators.
@@ -40,8 +41,8 @@ def beaconing_pattern(events: DataFrame, max_cv: float = 0.05, min_events: int =
     evidence = [
         link,
         F.format_string("Beacons: %d", "events"),
-        F.format_string("Interval: %.1fs (±%.1fs)", "interval_avg", "interval_stddev"),
-        F.format_string("Consistency: %.1f%%", (1 - F.col("cv")) * 100),
+        F.format_string("Interval: %ss (±%ss)", one_decimal(F.col("interval_avg")), one_decimal(F.col("interval_stddev"))),
+        F.format_string("Consistency: %s%%", one_decimal((1 - F.col("cv")) * 100)),
     ]
     return _pattern(steady, ["beaconing", "c2_pattern"], evidence, F.lit("HIGH"))
 
