@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .tables import free_finished
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -33,5 +34,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+        free_finished(links.sparkSession.sparkContext)  # the round's broadcasts
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
-from .tables import id_and_text
+from .tables import free_finished, id_and_text
 
 WORDS = 5
 K = 64
@@ -302,25 +302,35 @@ def block_links(blocks: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    Small tables are broadcast by way of the driver; what finished steps leave there is freed between them, not when its heap is full.
+    """
+    context = docs.sparkSession.sparkContext
     texts = id_and_text(docs, id_col, text_col)
     table = cut_lineage(sketches(texts), "dedup-sketches")
     classes = table.filter("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
+    free_finished(context)
 
     members = cut_lineage(list_members(postings(classes, value_counts(classes))), "dedup-members")
+    free_finished(context)
     close = cut_lineage(estimated(members, classes), "dedup-close")
+    free_finished(context)
     sets = cut_lineage(full_sets(texts, classes, _nodes(close)), "dedup-sets")
     links = cut_lineage(verified(close, sets), "dedup-links")
+    free_finished(context)
 
     labels = connected_components(links)
     labels = cut_lineage(_nodes(members).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "dedup-labels")
     of_lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
     placed = members.join(labels, "node").join(of_lead, "lead").select("lead", "node", (F.col("component") != F.col("lead_component")).alias("outside"))
     doubtful = cut_lineage(block_candidates(in_blocks(placed), classes, labels), "dedup-doubtful")
+    free_finished(context)
     rest = placed.join(doubtful, ["lead", "node"])
     more = cut_lineage(full_sets(texts, classes, doubtful.select("node").distinct()), "dedup-more-sets")
     links = links.unionAll(cut_lineage(block_links(in_blocks(rest), more, labels), "dedup-more-links"))
+    free_finished(context)
     return _finish(table, classes, cut_lineage(connected_components(links), "dedup-components"))
 
 
