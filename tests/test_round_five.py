@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from wirelore.functions.text import one_decimal
-from wirelore.operators import ttp
+from wirelore.operators import correlate, ttp
 
 
 def test_one_decimal_is_rounded_from_the_exact_value(spark):
@@ -21,3 +21,15 @@ def test_beaconing_evidence_of_whole_seconds(spark, make_events):
     events = make_events([{"t": 1_700_000_000.0 + t, "si": "a", "di": "b", "dp": 80} for t in (0, 10, 20, 30, 41)])
     texts = {r["evidence"][2] for r in ttp.beaconing_pattern(events, max_cv=0.6).collect()}
     assert texts == {"Interval: 10.2s (±0.4s)"}
+
+
+def test_merged_groups_sort_by_a_hash_of_their_key(spark):
+    """Keys that begin alike are told apart by a hash first; the longest value of a fact wins, blocks and facts keep their order."""
+    rows = [("k1", "flow", "low", f"p{i}", [("FLOW", {"b": "x" * (i % 3), "a": f"v{i}"}), (None, {"n": "1"}), ("PROTO:IDS", {"id": "7"}), ("META", {"ts": "0"})]) for i in range(5)]
+    rows += [("k2", "packet", "high", "q", [("PROTO:DNS", {"c": "d"}), ("EMPTY", {})]), (None, None, None, "r", [("FLOW", {"a": "b"})])]
+    df = spark.createDataFrame(rows, "corr_key string, corr_level string, corr_confidence string, ord string, blocks array<struct<type:string,kv:map<string,string>>>")
+    merged = correlate.merge_groups(df, "ord")
+    assert {r["corr_key"]: r["blocks"] for r in merged.collect()} == {
+        "k1": ["[META]\nts=0", "[FLOW]\na=v0\nb=xx", "n=1", "[PROTO:IDS]\nid=7"], "k2": ["[PROTO:DNS]\nc=d"]}
+    plan = correlate.merge_groups(df, "ord")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ObjectHashAggregate") == 2, "a shuffle for the facts and one for the groups"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import computed, first_rule, time_bucket
-from .blocks import BLOCKS_TYPE, PARTS, add_blocks, block_text, fact_of, filled, staged_facts
+from .blocks import BLOCKS_TYPE, PARTS, add_blocks, fact_of, filled, staged_facts
 
 # Order of blocks in a group; others come after these by name, IDS last.
 BLOCK_ORDER = ["META", "FLOW", "PROTO:IP", "PROTO:IPV6", "PROTO:TCP", "PROTO:UDP", "PROTO:ICMP"]
@@ -142,20 +142,28 @@ def merge_groups(correlated: DataFrame, order: str) -> DataFrame:
     Per block type and fact the longest value wins, among equals the first by ``order``. That choice
     is a partial aggregate, so a key with very many rows is reduced in every map task. What is
     gathered afterwards is at most one value per fact name.
+
+    These aggregates sort their rows by the grouping columns. A hash of these comes first, since most keys begin with the
+    same characters and would be compared at full length.
     """
     keys = ["corr_key", "corr_level", "corr_confidence"]
-    facts = correlated.filter(F.col("corr_key").isNotNull()).select(*keys, F.col(order).alias("_ord"), F.explode("blocks").alias("b"))
-    facts = facts.select(*keys, "_ord", F.col("b.type").alias("type"), F.explode("b.kv").alias("fact", "value"))
-    best = facts.groupBy(*keys, "type", "fact").agg(
+    rows = correlated.filter(F.col("corr_key").isNotNull()).select(F.xxhash64(*keys).alias("_h"), *keys, F.col(order).alias("_ord"), "blocks")
+    facts = rows.select("_h", *keys, "_ord", F.explode("blocks").alias("b"))
+    facts = facts.select("_h", *keys, "_ord", F.col("b.type").alias("type"), F.explode("b.kv").alias("fact", "value"))
+    best = facts.groupBy(F.xxhash64("_h", "type", "fact").alias("_f"), "_h", *keys, "type", "fact").agg(
         F.min(F.struct((-F.length("value")).alias("rank"), F.col("_ord"), F.col("value"))).alias("best"))
-    entry = F.struct(F.col("fact").alias("key"), F.col("best.value").alias("value"))
-    blocks = best.groupBy(*keys, "type").agg(F.map_from_entries(F.collect_list(entry)).alias("kv"))
     position = F.array_position(F.array(*[F.lit(x) for x in BLOCK_ORDER]), F.col("type"))
     rank = F.when(F.col("type") == "PROTO:IDS", LAST).when(position > 0, position.cast("int")).otherwise(OTHERS)
-    text = block_text(F.struct("type", "kv"))
-    groups = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("type"), text.alias("text")))).alias("_b"))
-    return groups.select(
-        corr_id(F.col("corr_level"), F.col("corr_key")).alias("corr_id"), *keys, F.transform("_b", lambda b: b["text"]).alias("blocks"))
+    entry = F.struct(rank.alias("rank"), F.col("type"), F.col("fact"), F.col("best.value").alias("value"))
+    groups = best.groupBy("_h", *keys).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+
+    def text(kind: Column) -> Column:
+        of_kind = F.filter("_e", lambda e: e["type"].eqNullSafe(kind))
+        lines = F.transform(of_kind, lambda e: F.concat(e["fact"], F.lit("="), e["value"]))
+        return F.array_join(F.concat(F.array(F.concat(F.lit("["), kind, F.lit("]"))), lines), "\n")
+
+    kinds = F.array_distinct(F.transform("_e", lambda e: e["type"]))
+    return groups.select(corr_id(F.col("corr_level"), F.col("corr_key")).alias("corr_id"), *keys, F.transform(kinds, text).alias("blocks"))
 
 
 def correlation_counters(correlated: DataFrame) -> DataFrame:
