@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wirelore.functions.text import one_decimal
 from wirelore.operators import correlate, ttp
+from wirelore.sources import sessions
 
 
 def test_one_decimal_is_rounded_from_the_exact_value(spark):
@@ -33,3 +34,18 @@ def test_merged_groups_sort_by_a_hash_of_their_key(spark):
         "k1": ["[META]\nts=0", "[FLOW]\na=v0\nb=xx", "n=1", "[PROTO:IDS]\nid=7"], "k2": ["[PROTO:DNS]\nc=d"]}
     plan = correlate.merge_groups(df, "ord")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ObjectHashAggregate") == 2, "a shuffle for the facts and one for the groups"
+
+
+def test_session_log_rows_stay_in_their_split(spark, tmp_path):
+    """The heads go to the rows; rows are not shuffled by file, where a task would read whole files."""
+    for name, head in (("a.log", "#fields\tts\tuid\n"), ("b.log", "#fields\tuid\tts\n")):
+        (tmp_path / name).write_text(head + "".join(f"{i}\t{i + 100}\n" for i in range(3)))
+    rows = sessions.read_session_log(spark, str(tmp_path))
+    assert sorted((r["ts"], r["uid"]) for r in rows.collect()) == sorted([(str(i), str(i + 100)) for i in range(3)] + [(str(i + 100), str(i)) for i in range(3)])
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sessions.read_session_log(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -20,6 +20,9 @@ from .ioc_queries import BY_TICKET, USED, cases, logs
 from .views import table, view
 
 
+LOG_ROWS = 500_000  # lines of one file of a rotated log
+
+
 def epoch_text(ts) -> F.Column:
     us = F.unix_micros(ts.cast("timestamp"))
     return F.concat(F.floor(us / 1000000).cast("string"), F.lit("."), F.lpad((us % 1000000).cast("string"), 6, "0"))
@@ -134,8 +137,8 @@ def session_log_ecs_text(spark, sf):
         F.when(n % 10 == 3, "x").otherwise(F.coalesce("sp", F.lit(0)).cast("string")), F.col("di"), F.col("dp").cast("string"),
         F.col("transport"), F.when(n % 3 == 0, "-").otherwise(F.col("pr")), F.lit("1.5"),
         F.when(n % 5 == 0, "-").otherwise(F.col("bytes_sent").cast("string")), F.col("bytes_recv").cast("string"), F.col("conn_state")]
-    # Every part file begins with the header lines, as each file of a rotated log does.
-    parts = 4
+    # Every part file begins with the header lines, as each file of a rotated log does; the number of files follows the rows.
+    parts = max(4, -(-e.count() // LOG_ROWS))
     lines = e.select(F.pmod("event_id", F.lit(parts)).alias("part"), F.lit(2).alias("place"), F.concat_ws("\t", *fields).alias("value"))
     names = "#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tservice\tduration\torig_bytes\tresp_bytes\tconn_state"
     heads = F.array(F.struct(F.lit(0).alias("place"), F.lit("#separator \\x09").alias("value")), F.struct(F.lit(1).alias("place"), F.lit(names).alias("value")))

@@ -54,7 +54,8 @@ def read_session_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     heads = lines.filter(F.col("value").startswith("#fields")).groupBy("file").agg(F.max("value").alias("head"))
     heads = heads.select("file", F.slice(F.split("head", "\t"), 2, 1000).alias("names"))
     rows = lines.filter(~is_json & ~F.col("value").startswith("#") & (F.col("value") != ""))
-    split = rows.join(heads, "file", "left").select(F.split("value", "\t").alias("f"), "names")
+    # One row per file; by a shuffle a task would get whole files.
+    split = rows.join(F.broadcast(heads), "file", "left").select(F.split("value", "\t").alias("f"), "names")
     return split.select(*_named(F.col("f"), F.col("names"))).unionByName(from_json)
 
 
