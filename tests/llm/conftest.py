@@ -16,6 +16,21 @@ def make_docs(spark):
     return make
 
 
+@pytest.fixture
+def written(monkeypatch, tmp_path):
+    """Labels of the tables in the shared folder, which is empty at first."""
+    from wirelore import session
+    from wirelore.llm import tables
+
+    kept = tmp_path / "kept"
+    kept.mkdir()
+    folder = lambda spark, label: f"file://{kept}/{label}-{len(made)}{made.append(label) or ''}"
+    made = []
+    monkeypatch.setattr(session, "shared_folder", folder)
+    monkeypatch.setattr(tables, "shared_folder", folder)
+    return lambda: sorted(p.name.rsplit("-", 1)[0] for p in kept.iterdir())
+
+
 @pytest.fixture
 def words():
     rng = random.Random(5)

@@ -44,3 +44,10 @@ def test_stages_on_planted_cases(spark, make_docs, words, tmp_path):
     _, packed = step("packing", docs)
     assert packed == ids
     assert {r.doc_id for r in cp.run(spark, sf).collect()} == ids
+
+
+def test_stages_keep_no_tables_made_on_the_way(spark, make_docs, words, written, tmp_path):
+    """A stage leaves its numbered rows and the rejected ids; sketches, classes, links and the like are gone."""
+    docs = make_docs([(i, words(30 + i, seed=i)) for i in range(20)] * 2).select("doc_id", "text", "lang", "source", "n_chars")
+    rows = cp.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert written() == ["numbered", "rejected"] and sorted(r.doc_id for r in rows.collect()) == list(range(20))

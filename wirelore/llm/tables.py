@@ -8,7 +8,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import delete_folders, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def discard(self) -> None:
-        context = self.spark.sparkContext
-        for path in self.paths:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        delete_folders(self.spark, self.paths)
         self.paths.clear()
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,8 +55,39 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor only costs a re-read."""
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut_lineage`` writes in this block are deleted at its end, but for those to be kept.
+
+    Only for blocks whose results are written in them: what is still to be computed must not read those tables.
+    """
+    paths: list[str] = []
+    before = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(before)
+        delete_folders(spark, paths)
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut_lineage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that a lost executor only costs a re-read.
+
+    With ``keep`` it outlives a block of ``passing_tables``.
+    """
     path = shared_folder(df.sparkSession, label)
+    passing = _PASSING.get()
+    if passing is not None and not keep:
+        passing.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
