@@ -110,3 +110,22 @@ def test_a_repeated_passage_is_learned_in_a_large_table(make_docs, words):
     rows = [(i, " ".join(rng.choices(filler, k=60_000))) for i in range(1, 35)] + [(9_000 + i, passage) for i in range(26)]
     held = st.score_texts(make_docs(rows)).filter("held_out and doc_id >= 9000").collect()
     assert held and all(r.score - r.base_score > 8 for r in held)
+
+
+def test_gaps_give_the_ids_back_and_shrink():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000):
+        ids = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        assert (st._of_gaps(st._gaps(ids)) == ids).all() and len(st._of_gaps(st._gaps(ids))) == n
+    ids.sort()
+    assert len(zlib.compress(st._gaps(ids))) < 0.88 * len(zlib.compress(ids.tobytes()))
+
+
+def test_sums_of_a_batch_come_back_together(make_docs, words, monkeypatch):
+    """Few frequent words at hand, so nearly all is looked up in buckets, of which there are several."""
+    rows = [(i, words(60, seed=i % 50)) for i in range(150)] + [(None, words(12)), (3, None)]
+    plain = sorted((r.doc_id or -1, round(r.score, 6)) for r in st.score_texts(make_docs(rows)).collect())
+    for name, value in (("HOT", 3), ("HOT_WORDS", 3), ("_BUCKET", 1 << 11), ("_ASKED", 2)):
+        monkeypatch.setattr(st, name, value)
+    found = st.score_texts(make_docs(rows)).collect()
+    assert got(found) == base(rows) and sorted((r.doc_id or -1, round(r.score, 6)) for r in found) == plain

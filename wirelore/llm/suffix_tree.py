@@ -55,6 +55,7 @@ _END = b"\xff"  # a byte that no text holds
 _BITS = 16
 _SLICE, _PIECE = 4 << 20, 1 << 18  # characters of text worked on at once, bytes hashed at once
 _BUCKET = 1 << 23  # bytes of text per bucket
+_ASKED = 4  # of these in one bucket of the look-up: a slice's texts get one row of sums from each
 _TABLE_ROWS = 1 << 19  # of the value table, dealt at once
 
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -182,13 +183,24 @@ def _cuts(ids: np.ndarray, buckets: int) -> np.ndarray:
 _CHUNK = "bucket int, kind int, unit long, a binary, b binary, c binary"
 
 
-def _chunks(buckets: int, kind: int, unit: int, ids: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
-    """One row per bucket that sorted ``ids`` fall into, with the ids first or, for two columns, only these."""
+def _gaps(ids: np.ndarray) -> bytes:
+    """The differences of nearly sorted ids, all first bytes before all second ones and so on: the leading ones are mostly zero, so files shrink."""
+    gaps = np.concatenate([ids[:1], ids[1:] - ids[:-1]])
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_gaps(raw: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def _chunks(buckets: int, kind: int, unit: int, ids: np.ndarray, *columns: np.ndarray, gaps: bool = False) -> pd.DataFrame:
+    """One row per bucket that sorted ``ids`` fall into; ``gaps``: the first column, which is the ids, is written as such."""
     cuts = _cuts(ids, buckets)
     used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
     out = {"bucket": used, "kind": kind, "unit": unit}
     for name, column in zip("abc", columns, strict=False):
-        out[name] = [column[cuts[b]:cuts[b + 1]].tobytes() for b in used]
+        out[name] = [_gaps(part) if gaps and name == "a" else part.tobytes() for part in (column[cuts[b]:cuts[b + 1]] for b in used)]
     return pd.DataFrame({**out, **{x: None for x in "abc" if x not in out}})[["bucket", "kind", "unit", "a", "b", "c"]]
 
 
@@ -381,6 +393,7 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
     hot = Values(*(np.frombuffer(b"".join(r[name] for r in packed), kind) for name, kind in (("a", np.uint64), ("b", float), ("c", float))))
     shared = context.broadcast((hot, _sieve(values), _sieve(values.filter("leads"))))
     del packed, hot
+    free_finished(context, last=True)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums over what is at hand, for the slice's own bucket (kind 1), and ids to look up with their texts (kind 2)."""
@@ -403,7 +416,8 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
             ids, own = ids[~found], own[~found]
             unit = int(part.frame["row"].iloc[0])
             # Texts of a slice are numbered in two bytes where that is enough (kind 2), else in four (kind 3).
-            yield _chunks(buckets, 2, unit, ids, ids, own.astype(np.uint16)) if size <= 1 << 16 else _chunks(buckets, 3, unit, ids, ids, own)
+            kind, own = (2, own.astype(np.uint16)) if size <= 1 << 16 else (3, own)
+            yield _chunks(buckets, kind, unit, ids, ids, own, gaps=True)
             ids_of = part.frame["doc_id"]
             facts = np.stack([
                 ids_of.fillna(0).to_numpy(np.int64), ids_of.isna().to_numpy(np.int64), part.frame["held_out"].to_numpy(np.int64), np.bincount(part.own, minlength=size)])
@@ -416,7 +430,7 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
             ids, value, base = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order = _nearly_sorted(ids)
-            return _chunks(buckets, 0, 0, ids[order], ids[order], value[order], base[order])
+            return _chunks(buckets, 0, 0, ids[order], ids[order], value[order], base[order], gaps=True)
 
         for batch in batches:
             held.append((batch["id"].to_numpy(np.int64).view(np.uint64), batch["value"].to_numpy(float), batch["base"].to_numpy(float)))
@@ -438,15 +452,18 @@ def _scored(texts: DataFrame, values: DataFrame, buckets: int, longest: int, unk
                     continue
                 if known is None:
                     chunk = pd.concat(held, ignore_index=True)
-                    known, held = Values(_array(chunk["a"], np.uint64), _array(chunk["b"], float), _array(chunk["c"], float)), []
+                    known, held = Values(np.concatenate([np.zeros(0, np.uint64), *map(_of_gaps, chunk["a"])]), _array(chunk["b"], float), _array(chunk["c"], float)), []
                 passed = asked[asked["kind"] == 1]
                 if len(passed):
                     yield passed[["kind", "unit", "a", "b"]]
+                sums_of = []
                 for kind, unit, a, b in asked.loc[asked["kind"] > 1, ["kind", "unit", "a", "b"]].itertuples(index=False):
-                    ids, own_text = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint16 if kind == 2 else np.uint32).astype(np.int64)
+                    ids, own_text = _of_gaps(a), np.frombuffer(b, np.uint16 if kind == 2 else np.uint32).astype(np.int64)
                     places = np.flatnonzero(np.bincount(own_text)).astype(np.uint32)
                     sums, _ = known.sums(ids, own_text, int(places[-1]) + 1)
-                    yield pd.DataFrame({"kind": [2], "unit": [unit], "a": [places.tobytes()], "b": [sums[:, places].tobytes()]})
+                    sums_of.append((2, unit, places.tobytes(), sums[:, places].tobytes()))
+                if sums_of:
+                    yield pd.DataFrame(sums_of, columns=["kind", "unit", "a", "b"])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _grouped(batches, "unit"):
@@ -487,7 +504,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"), F.max("base").alias("base"), F.max("n").alias("n"), F.max("leads").alias("leads")), "suffix-values")
     scratch.discard()
     free_finished(texts.sparkSession.sparkContext)
-    return _scored(texts, values, buckets, depth + 1, float(np.log10(SMOOTH / smoothed)), tokens)
+    return _scored(texts, values, -(-buckets // _ASKED), depth + 1, float(np.log10(SMOOTH / smoothed)), tokens)
 
 
 # The same tree in memory, over a small alphabet of numbered symbols: what the tables above are tested against.

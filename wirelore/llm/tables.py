@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +25,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def free_finished(context: SparkContext) -> None:
-    """Shuffle files of finished steps go when the driver collects its garbage: ask for that between large steps."""
+def free_finished(context: SparkContext, last: bool = False) -> None:
+    """Shuffle files of finished steps go when the driver collects its garbage: ask for that between large steps.
+
+    The JVM hears within a second that Python has dropped a table; ``last`` waits for that, so that the files of the step just
+    finished go too.
+    """
     gc.collect()
+    if last:
+        time.sleep(1.2)
     context._jvm.System.gc()
 
 
