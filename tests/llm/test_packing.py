@@ -109,3 +109,27 @@ def test_two_runs_pack_alike(make_docs, words):
     docs = make_docs(rows)
     runs = [sorted(packing.digest(packing.pack(docs, public_vocabulary(), 256)).collect()) for _ in range(2)]
     assert runs[0] == runs[1]
+
+
+def test_split_without_looking_ahead_gives_the_tokenizers_ids():
+    vocabulary, rng = public_vocabulary(), random.Random(31)
+    exact, ids = Tokenizer.from_file(vocabulary.tokenizer_path), packing.array_encoder(vocabulary, 1)
+    parts = ["a", "The", "'s", "'", "ll", "é", "ſ", "23", ".", "_", " ", " ", "\n", "\t", " ", "中", "<|"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)]
+    for text in texts:
+        assert ids(text).tolist() == [*exact.encode(text, add_special_tokens=False).ids, 1], text
+    parted = [t for t in texts if packing._plain(t) and packing._parted(t)]
+    assert len(parted) > 500 and not any(a.isspace() and b.isspace() for t in parted for a, b in zip(t, t[1:]))
+
+
+def test_a_smaller_index_scores_what_is_left_as_before():
+    rng = np.random.default_rng(37)
+    documents = [np.append(rng.integers(2, 40, rng.integers(0, 30)), 1).astype("<u2") for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in documents]), minlength=50)
+    corpus = packing.Corpus(60, float(np.mean([len(d) for d in documents])), df, "<u2")
+    index, left = packing.Index(documents, corpus, corpus.idf()), rng.random(60) < 0.4
+    before, postings = [index.scores(d) for d in range(60)], len(index.owner)
+    index.keep(left)
+    assert len(index.owner) < postings
+    for d in range(60):
+        assert index.scores(d)[left].tolist() == before[d][left].tolist() and not index.scores(d)[~left].any()

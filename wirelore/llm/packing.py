@@ -38,6 +38,8 @@ K1, B = 1.2, 0.75
 
 # Texts of these characters are split alike by both tokenizer libraries; all others go to the slower one.
 _ORDINARY = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ſ]*")
+# Where no white space stands beside white space, these last branches of a pattern match one character, as plain \s does without looking ahead.
+_AHEAD = r"|\s+(?!\S)|\s+"
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,11 @@ def _plain(text: str) -> bool:
     return "<|" not in text and (text.isascii() and text.replace("\n", "").isprintable() or _ORDINARY.fullmatch(text) is not None)
 
 
+def _parted(text: str) -> bool:
+    """Whether no white space stands beside white space in a text that is ``_plain``: it has spaces and line breaks only."""
+    return "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
+
+
 def encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
     def exact(text: str) -> list[int]:
         return _exact(vocabulary.tokenizer_path).encode(text, add_special_tokens=False).ids
@@ -90,10 +97,13 @@ def array_encoder(vocabulary: Vocabulary, end_id: int) -> Callable[[str], np.nda
     """Ids and end id of a text as an array of the stored type; the fast library hands over arrays, not lists."""
     encode, kind = encoder(vocabulary), vocabulary.id_type
     fast = _fast(vocabulary.ranks_path, vocabulary.pattern) if vocabulary.ranks_path else None
+    faster = fast
+    if fast is not None and vocabulary.pattern.endswith(_AHEAD):
+        faster = _fast(vocabulary.ranks_path, vocabulary.pattern.removesuffix(_AHEAD) + r"|\s")
 
     def ids(text: str) -> np.ndarray:
         if fast is not None and _plain(text):
-            found = fast.encode_to_numpy(text, disallowed_special=())
+            found = (faster if _parted(text) else fast).encode_to_numpy(text, disallowed_special=())
         else:
             found = np.array(encode(text), np.uint32)
         out = np.empty(len(found) + 1, kind)
@@ -214,6 +224,12 @@ class Index:
         self.vocabulary, self.start = np.unique(t.term[order], return_index=True)
         self.start = np.append(self.start, len(order))
 
+    def keep(self, documents: np.ndarray) -> None:
+        """Drop the postings of documents that are not in this mask; the others score as before."""
+        kept = documents[self.owner]
+        self.start = np.concatenate([[0], np.cumsum(kept)])[self.start]
+        self.owner, self.weight = self.owner[kept], self.weight[kept]
+
     def scores(self, document: int) -> np.ndarray:
         at = np.searchsorted(self.vocabulary, self.terms.term[self.terms.of_document(document)])
         begin, size = self.start[at], self.start[at + 1] - self.start[at]
@@ -247,7 +263,7 @@ class Packer:
     def shard(self, documents: list[tuple[int | None, np.ndarray]]) -> None:
         index = Index([ids for _, ids in documents], self.corpus, self.idf)
         unused = np.ones(len(documents), bool)
-        first = 0
+        first, indexed = 0, len(documents)
         seed: int | None = None
         while True:
             if seed is None:
@@ -264,6 +280,9 @@ class Packer:
             rest = np.flatnonzero(unused)
             if not len(rest):
                 return
+            if len(rest) <= 0.75 * indexed:
+                index.keep(unused)
+                indexed = len(rest)
             scores = index.scores(seed)[rest]
             window, seed = self.next_id, None
             for i in rest[np.argsort(-scores, kind="stable")]:
