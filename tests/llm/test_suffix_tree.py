@@ -129,3 +129,20 @@ def test_sums_of_a_batch_come_back_together(make_docs, words, monkeypatch):
         monkeypatch.setattr(st, name, value)
     found = st.score_texts(make_docs(rows)).collect()
     assert got(found) == base(rows) and sorted((r.doc_id or -1, round(r.score, 6)) for r in found) == plain
+
+
+def test_hashes_are_polynomials_of_the_words_and_need_no_new_powers(monkeypatch):
+    def plain(word):
+        h = sum((b + 1) * pow(int(st._BASE), i, 1 << 64) for i, b in enumerate(word)) % (1 << 64)
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ (h >> 33)) * factor % (1 << 64)
+        return h ^ (h >> 33)
+
+    rng = random.Random(41)
+    texts = [bytes(rng.choices(b"aAzZ \t\n\x0b\x0c\r.\xc3\xa9\xfe", k=rng.randint(0, 40))) for _ in range(300)]
+    long = b"Q" * (5 * st._PIECE) + b" ab\tC "
+    assert st._hashes(long).tolist() == [plain(w) for w in long.lower().split()]
+    monkeypatch.setattr(st, "_powers", None)
+    for text in [*texts, b" \xff ".join([*texts, b""])]:
+        assert st._hashes(text).tolist() == [plain(w) for w in text.lower().split()]
+    assert int(st.END) == plain(st._END)

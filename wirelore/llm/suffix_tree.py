@@ -53,16 +53,13 @@ _SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
 _END = b"\xff"  # a byte that no text holds
 _BITS = 16
-_SLICE, _PIECE = 4 << 20, 1 << 18  # characters of text worked on at once, bytes hashed at once
+_SLICE, _PIECE = 4 << 20, 1 << 16  # characters of text worked on at once, bytes hashed at once
 _BUCKET = 1 << 23  # bytes of text per bucket
 _ASKED = 4  # of these in one bucket of the look-up: a slice's texts get one row of sums from each
 _TABLE_ROWS = 1 << 19  # of the value table, dealt at once
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
-_LOWER += 1
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+# What a byte counts: one more than its lower-case form, nothing if it is white. The end byte's 256 does not fit in here.
+_COUNTS = bytes(0 if b in b" \t\n\v\f\r" else min(b + 33 if 65 <= b < 91 else b + 1, 255) for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,19 +67,33 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, as numbers of 64 bits."""
+    out = []
+    for base in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+        powers = np.full(length, base)
+        powers[:1] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+_READY = _powers(4 * _PIECE)
+
+
 def _hashes(text: bytes) -> np.ndarray:
-    """Hash of each word of a text: a polynomial in its lower-cased bytes, mixed."""
-    raw = np.frombuffer(text, np.uint8)
-    inside = np.flatnonzero(~_WHITE[raw])
-    if not len(inside):
+    """Hash of each word of a text: a polynomial in its lower-cased bytes, mixed.
+
+    Bytes are weighted by their place in the text, and a word's sum is divided by the power of its first place."""
+    counts = np.frombuffer(text.translate(_COUNTS), np.uint8)
+    inside = counts > 0
+    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(first):
         return np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.diff(inside, prepend=-2) != 1)
-    sizes = np.diff(first, append=len(inside))
-    powers = np.full(sizes.max(), _BASE)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    place = np.arange(len(inside)) - np.repeat(first, sizes)
-    h = np.add.reduceat(_LOWER[raw[inside]] * powers[place], first)
+    powers, inverse = _READY if len(counts) <= len(_READY[0]) else _powers(len(counts))
+    weighted = counts.astype(np.uint64)
+    weighted[np.flatnonzero(np.frombuffer(text, np.uint8) == _END[0])] = 256
+    weighted *= powers[:len(counts)]
+    h = np.add.reduceat(weighted, first) * inverse[first]
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
@@ -117,7 +128,8 @@ class Slice:
         ends = np.flatnonzero(ids == END)
         sizes = np.diff(ends, prepend=-1)
         own = np.repeat(np.arange(len(ends)), sizes)
-        return cls(frame.drop(columns="text"), ids, own, np.arange(len(ids)) - np.repeat(ends + 1 - sizes, sizes))
+        place = np.arange(len(ids), dtype=np.int32) - np.repeat((ends + 1 - sizes).astype(np.int32), sizes)
+        return cls(frame.drop(columns="text"), ids, own, place)
 
     def sequences(self, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of the sequences of 1, 2, ... words that end at each token, with the places of those inside their text."""
