@@ -53,7 +53,7 @@ _SIEVE_BITS, _BLOCK_BITS = 26, 19
 _TURN = 21
 _END = b"\xff"  # a byte that no text holds
 _BITS = 16
-_SLICE, _PIECE = 4 << 20, 1 << 16  # characters of text worked on at once, bytes hashed at once
+_SLICE, _PIECE = 4 << 20, 1 << 15  # characters of text worked on at once, bytes hashed at once
 _BUCKET = 1 << 23  # bytes of text per bucket
 _ASKED = 4  # of these in one bucket of the look-up: a slice's texts get one row of sums from each
 _TABLE_ROWS = 1 << 19  # of the value table, dealt at once
@@ -77,7 +77,7 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_READY = _powers(4 * _PIECE)
+_READY = _powers(2 * _PIECE)
 
 
 def _hashes(text: bytes) -> np.ndarray:
